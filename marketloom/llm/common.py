@@ -71,10 +71,13 @@ class TwoGenerations:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def missing(self, keys) -> list:
-        """Keys without a value; those found in the old half become young again."""
+    def turn(self) -> None:
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
+
+    def missing(self, keys) -> list:
+        """Keys without a value; those found in the old half become young again."""
+        self.turn()
         out = []
         for k in set(keys).difference(self.young):
             v = self.old.get(k)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import materialise, worker_cache
-from marketloom.llm.tokens import encoded
+from marketloom.llm.tokens import blocks, encoded
 
 #: Hashed vector, its projection, and bits of each projected dimension on the curve.
 BUCKETS, DIMENSIONS, BITS = 4096, 4, 10
@@ -82,14 +82,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
     spark = docs.sparkSession
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                some = pdf.iloc[at : at + 1024]
-                raw = encoded(some, tokenizer, False, end_id)
-                ids = [np.frombuffer(x, dtype="<u4") for x in raw]
-                # Two bytes an id where the vocabulary allows; the first byte says which.
-                small = [(b"\x02" + x.astype("<u2").tobytes()) if not len(x) or x.max() < 65536 else b"\x04" + x.tobytes() for x in ids]
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "key": curve_keys(raw), "n": [len(x) for x in ids], "ids": small})
+        for some in blocks(batches):
+            raw = encoded(some["text"].tolist(), tokenizer, False, end_id)
+            ids = [np.frombuffer(x, dtype="<u4") for x in raw]
+            # Two bytes an id where the vocabulary allows; the first byte says which.
+            small = [(b"\x02" + x.astype("<u2").tobytes()) if not len(x) or x.max() < 65536 else b"\x04" + x.tobytes() for x in ids]
+            yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "key": curve_keys(raw), "n": [len(x) for x in ids], "ids": small})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(keyed, "doc_id long, key long, n long, ids binary"), "tokens")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,15 +17,27 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import TwoGenerations, scratch_path, worker_cache
 
 #: Ids of distinct pieces kept in each Python worker, twice.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 250_000
+
+
+#: White space beside white space or at an end: there a cut could change pieces that keep their space.
+_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level files write each byte as a printable character: itself, or the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
     """A public tokenizer with a cache of pieces.
 
-    Texts are cut at single spaces between two visible characters. There the pre-tokenizers of both files always end a piece
-    too, so the ids of a text are those of its pieces. With keep_space (byte-level files) a piece after the first starts with
-    its space, and texts with other white space beside a space are encoded whole.
+    Texts are cut at single spaces and line ends between two visible characters, where the pre-tokenizers of both files always
+    end a piece, so the ids of a text are those of its pieces. With keep_space (byte-level files) a piece keeps the space
+    before it, and a text with white space beside white space is encoded whole. A new piece of letters, with one . or , after
+    them perhaps, goes straight to the tokenizer's model; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -33,29 +46,67 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.keep_space = keep_space
         self.cache = TwoGenerations(CACHED_PIECES)
+        self.bytes = _byte_letters()
+        self.space = self.bytes[32]
+        self.marks = {m: self._plain(m) for m in ".,"}
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.keep_space:
+            return text.replace("\n", " ").split(" ")
+        if "\0" in text or _ODD_SPACE.search(text):
+            return [text]
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _word(self, core: str) -> bytes | None:
+        """Ids of letters that need no normalising but lower case, perhaps after a space; None for anything else."""
+        letters = core[1:] if core[:1] == " " else core
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0250"):
+            return None
+        raw = core if self.keep_space else core.lower()
+        raw = raw.replace(" ", self.space) if raw.isascii() else raw.encode().decode("latin-1").translate(self.bytes)
+        ids = [t.id for t in self.model.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, pieces: set[str]) -> None:
+        young, old, rest = self.cache.young, self.cache.old, []
+        for p in pieces:
+            known = old.get(p)
+            if known is None:
+                tail = self.marks.get(p[-1:], b"")
+                core = p[:-1] if tail else p
+                stem = young.get(core)
+                if stem is None:
+                    stem = self._word(core)
+                    if stem is None:
+                        rest.append(p)
+                        continue
+                    if tail:
+                        young[core] = stem
+                elif tail and not core[-1:].isalpha():
+                    rest.append(p)
+                    continue
+                known = stem + tail
+            young[p] = known
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                young[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        glue = " " if self.keep_space else ""
-        cut = []
-        for t in texts:
-            pieces = t.split(" ")
-            if self.keep_space and any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
-                pieces = [t]
-            cut.append(pieces)
-        keys = [[p[0], *[glue + x for x in p[1:]]] if self.keep_space else p for p in cut]
-        out = []
-        for at in range(0, len(keys), 512):
-            block = keys[at : at + 512]
-            missing = self.cache.missing(k for p in block for k in p)
+        out: list[bytes] = []
+        for at in range(0, len(texts), 512):
+            cut = [self._cut(t) for t in texts[at : at + 512]]
+            self.cache.turn()
             young = self.cache.young
-            for start in range(0, len(missing), 4096):
-                some = missing[start : start + 4096]
-                for k, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    young[k] = np.array(e.ids, dtype="<u4").tobytes()
-            out += [b"".join([young[k] for k in p]) for p in block]
+            self._learn(set().union(*cut).difference(young))
+            out += [b"".join(map(young.__getitem__, p)) for p in cut]
         return out
 
 
@@ -173,9 +224,16 @@ class TokenFile:
 # --- jobs ------------------------------------------------------------------------------------------------------------
 
 
-def encoded(pdf: pd.DataFrame, path: str, keep_space: bool, end_id: int) -> list[bytes]:
+def encoded(texts: list, path: str, keep_space: bool, end_id: int) -> list[bytes]:
     end = struct.pack("<I", end_id)
-    return [x + end for x in encoder(path, keep_space).encode(["" if t is None or t != t else t for t in pdf["text"]])]
+    return [x + end for x in encoder(path, keep_space).encode(["" if t is None or t != t else t for t in texts])]
+
+
+def blocks(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """Batches in slices of a few rows, so that what is made of them stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, keep_space: bool = True, end_id: int = 2) -> DataFrame:
@@ -193,7 +251,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.tok.zst"
-        pairs = (pair for pdf in batches for pair in zip(pdf["doc_id"].tolist(), encoded(pdf, tokenizer, keep_space, end_id)))
+        pairs = (pair for pdf in blocks(batches) for pair in zip(pdf["doc_id"].tolist(), encoded(pdf["text"].tolist(), tokenizer, keep_space, end_id)))
         first = next(pairs, None)
         if first is None:
             return
