@@ -7,10 +7,10 @@ from math import sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import ASCII_LOWER, TwoGenerations, materialise, worker_cache, words_of
+from marketloom.llm.common import ASCII_LOWER, SEPARATORS, materialise, worker_cache
 from marketloom.llm.components import connected_components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -22,26 +22,62 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
+#: Bytes of a text that are hashed at once.
+_BLOCK = 1 << 22
 
-    cache = worker_cache("words")
-    words_seen = cache.setdefault("seen", TwoGenerations(200_000))
-    for w in words_seen.missing(words):
-        words_seen.young[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    young = words_seen.young
-    return np.fromiter((young[w] for w in words), dtype=np.uint64, count=len(words))
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Random numbers for bytes (A-Z as a-z), which bytes separate words, and powers of an odd number with their inverses."""
+    cache = worker_cache("bytes")
+    if "letters" not in cache:
+        letters = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for upper, lower in ASCII_LOWER.items():
+            letters[upper] = letters[lower]
+        gaps = np.zeros(256, dtype=bool)
+        gaps[list(SEPARATORS.encode())] = True
+        cache["letters"], cache["gaps"], cache["size"] = letters, gaps, 0
+    if cache["size"] < n:
+        size = max(1 << 14, 1 << n.bit_length())
+        steps = np.full(size, _ODD[0], dtype=np.uint64)
+        back = np.full(size, np.uint64(pow(int(_ODD[0]), -1, 1 << 64)), dtype=np.uint64)
+        steps[0] = back[0] = np.uint64(1)
+        cache["powers"], cache["inverse"], cache["size"] = np.multiply.accumulate(steps), np.multiply.accumulate(back), size
+    return cache["letters"], cache["gaps"], cache["powers"], cache["inverse"]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z as a-z, in order.
+
+    A word's hash is the difference of two running sums of its bytes' random numbers times powers, moved to a common start and
+    mixed with its length, so the whole text is hashed with a few vector operations.
+    """
+    if not text:
+        return np.empty(0, dtype=np.uint64)
+    raw = text.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + _BLOCK, len(raw))
+        while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        part = np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at)
+        letters, gaps, powers, inverse = _tables(len(part) + 1)
+        inside = np.concatenate([[False], ~gaps[part], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(letters[part] * powers[: len(part)], dtype=np.uint64)])
+        out.append(_mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _ODD[1]))
+        at = end
+    return np.concatenate(out)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """64-bit hashes of all shingles of `size` words in order; the whole sequence as one where it has fewer words.
 
-    The words are those of the lower-cased (A-Z) text. Two different shingles of a corpus share a hash once in 2 ** 64 pairs.
+    Two different shingles of a corpus share a hash once in about 2 ** 64 pairs.
     """
-    words = words_of(text.translate(ASCII_LOWER)) if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = word_hashes(words)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for i in range(n):
@@ -133,6 +169,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return both.mapInPandas(confirm, "a long, b long")
 
 
+def _can_link(open_docs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """doc_ids of open_docs (doc_id, component) that may link across components, by the prefix filter.
+
+    Put each set's shingles in order of how few of the open documents hold them. Two sets as similar as the threshold must
+    share one of the first n - ceil(threshold * n) + 1, so a document whose rarest shingles nobody else's component holds has
+    no open link. The filter loses nothing.
+    """
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at : at + 256]
+                sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in some["text"]]
+                n = [len(s) for s in sets]
+                if sum(n):
+                    yield pd.DataFrame({"doc_id": np.repeat(some["doc_id"].to_numpy(), n), "component": np.repeat(some["component"].to_numpy(), n), "n": np.repeat(n, n), "h": np.concatenate(sets)})
+
+    each = materialise(open_docs.join(texts, "doc_id").select("doc_id", "component", "text").mapInPandas(shingles, "doc_id long, component long, n long, h long"), "open_shingles")
+    held = each.groupBy("h").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("crosses"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h"))
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    return each.join(held, "h").withColumn("_place", order).filter((F.col("_place") <= prefix) & F.col("crosses")).select("doc_id").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -140,8 +199,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     2. Every band bucket proposes links to its least member only (as many pairs as members). Signatures discard, full sets
        confirm, stars give components.
     3. Buckets that still hold several components propose again with other leaders, only across components; members of one
-       component need no more links. Buckets that stay split are compared member by member across components, so that no link
-       that the bands propose is missed: those rows are as many as the links that are really open.
+       component need no more links. In buckets that stay split, the prefix filter first drops the documents that cannot link
+       anywhere else; what is left is compared member by member, across components only, so that no link that the bands
+       propose is missed.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), one row for each row
     given. Texts without words and nulls have no shingles and link with nothing. Rows that repeat a doc_id give equal rows. A
@@ -177,7 +237,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if turn < 3:
             pairs = open_.filter(F.col("component") != F.col("leader.component")).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
-            # Only members that are alone or few against the rest remain: link across components, never inside one.
+            able = materialise(_can_link(open_.select("doc_id", "component").distinct(), texts, size, percent / 100), "able")
+            open_ = open_.join(able, "doc_id", "left_semi")
             left, right = (open_.select("key", F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
             pairs = left.join(right, "key").filter("c_a < c_b").select("a", "b")
         components = verify(pairs)
