@@ -88,7 +88,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     chains = (hits.groupBy("id", "item", "shift").agg(F.count("*").alias("n_windows"), F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("n")).alias("hi"))
               .join(of_item, "item").filter(F.col("n_windows") >= F.least(F.lit(RUN), F.greatest(F.col("n_item") - 1, F.lit(1)))))
     # Words of both sides, for the few documents that are left; slots must be replaced one for one.
-    words = tokens.join(chains.select("id").distinct(), "id", "left_semi").select("id", _words("raw").alias("doc_w"))
+    held_docs = own_docs.join(chains.select(F.col("id").alias(doc_id)).distinct(), doc_id, "left_semi")
+    words = _tokens(held_docs, doc_id).select("id", _words("raw").alias("doc_w"))
     sides = chains.join(words, "id").join(items.select(F.col("id").alias("item"), F.col("w").alias("item_w"), F.col("k").alias("item_k")), "item")
     span = F.sequence(F.col("lo"), F.col("hi") - 1)
     slots = F.filter(F.transform(span, lambda i: F.struct(F.get("item_k", i).alias("type"), F.get("item_w", i).alias("a"), F.get("doc_w", i + F.col("shift")).alias("b"))), lambda s: s["type"].isin("#", "@", "%"))
