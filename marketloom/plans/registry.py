@@ -228,7 +228,7 @@ on_bars("h3_annual_volatility", lambda b: finance.annual_volatility(panel.change
 on_bars("h6_sharpe", lambda b: finance.sharpe(panel.change_rate(b)), d("sharpe"), f"SELECT symbol, (ear - 0.04) / nullif(volatility, 0) AS sharpe FROM (SELECT symbol, {_RATES} FROM ({_HPR})) JOIN ({_AV}) USING (symbol)", keys="symbol", symbol="p_brand")
 on_bars("h7_max_drawdown", finance.max_drawdown, d("max_drawdown"), f'SELECT a.symbol, min(b.{C} / a.{C} - 1) AS max_drawdown FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.i >= a.i GROUP BY a.symbol', keys="symbol", symbol="p_brand")
 on_bars("h5_period_rate_risk", lambda b: finance.period_rate_risk(b, "month"), d("hpr", "ccr", "rate_mean", "rate_std"),
-        f'''SELECT symbol, period, hpr, CASE WHEN days > 0 AND hpr > -1 THEN 365.0 / days * ln(1 + hpr) END AS ccr, rate_mean, rate_std FROM (SELECT symbol, CAST(date_trunc('month', "Date") AS DATE) AS period, arg_max({C}, "Date") / nullif(arg_min({C}, "Date"), 0) - 1 AS hpr,
+        f'''SELECT symbol, period, hpr, CASE WHEN days > 0 AND pow(1 + hpr, 365.0 / days) - 1 > -1 THEN ln(1 + (pow(1 + hpr, 365.0 / days) - 1)) END AS ccr, rate_mean, rate_std FROM (SELECT symbol, CAST(date_trunc('month', "Date") AS DATE) AS period, arg_max({C}, "Date") / nullif(arg_min({C}, "Date"), 0) - 1 AS hpr,
             date_diff('day', min("Date"), max("Date")) AS days, avg(r) AS rate_mean, stddev_samp(r) AS rate_std, count(*) AS n FROM (SELECT *, {C} / nullif({lag(C)}, 0) - 1 AS r FROM bars) GROUP BY 1, 2) WHERE n > 1''', keys="symbol, period", digits=3)
 
 # --- ranking ---
