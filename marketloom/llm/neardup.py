@@ -192,6 +192,52 @@ def _can_link(open_docs: DataFrame, texts: DataFrame, size: int, threshold: floa
     return each.join(held, "h").withColumn("_place", order).filter((F.col("_place") <= prefix) & F.col("crosses")).select("doc_id").distinct()
 
 
+#: Documents of a block in which open links are looked for.
+_BLOCK_DOCS = 256
+
+
+def _open_links(open_: DataFrame, texts: DataFrame, size: int, percent: int, k: int) -> DataFrame:
+    """Links across components among the members of open buckets (key, doc_id, component), block against block.
+
+    Documents that share buckets, directly or over others, form a cluster. A cluster's documents are dealt by hash to blocks of
+    about _BLOCK_DOCS, and each task compares two blocks on signatures and full sets and returns the links alone: no pair
+    becomes a row, and no task holds more than two blocks, whatever the cluster's size.
+    """
+    threshold = percent / 100
+    least = threshold - 4 * sqrt(threshold * (1 - threshold) / k)
+    first = open_.groupBy("key").agg(F.min("doc_id").alias("u"))
+    clusters = connected_components(open_.join(first, "key").select("u", F.col("doc_id").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / _BLOCK_DOCS).cast("int").alias("blocks"))
+    rows = clusters.join(blocks, "cluster").join(open_.select("doc_id", "component").distinct(), "doc_id").join(texts, "doc_id")
+
+    def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["doc_id", "component", "cluster", "blocks"]].assign(set=[np.unique(shingle_hashes(t, size)).tobytes() for t in pdf["text"]])
+
+    sets = rows.select("doc_id", "component", "cluster", "blocks", "text").mapInPandas(with_sets, "doc_id long, component long, cluster long, blocks int, set binary")
+    sets = materialise(sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "open_sets")
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        ids, parts, block = p["doc_id"].to_numpy(), p["component"].to_numpy(), p["block"].to_numpy()
+        own = [np.frombuffer(x, dtype=np.uint64) for x in p["set"]]
+        n, sigs = np.array([len(x) for x in own]), np.stack([signature(x, k) for x in own])
+        one_block, out = block.min() == block.max(), []
+        for i in range(len(ids)):
+            ok = (parts != parts[i]) & (ids > ids[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9)
+            if not one_block:
+                ok &= block != block[i]
+            at = np.flatnonzero(ok)
+            at = at[(sigs[at] == sigs[i]).mean(axis=1) >= least] if len(at) else at
+            for j in at:
+                common = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if 100 * common >= percent * (n[i] + n[j] - common):
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.select("doc_id", "component", "cluster", "block", "lo", "hi", "set").groupBy("cluster", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -200,8 +246,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
        confirm, stars give components.
     3. Buckets that still hold several components propose again with other leaders, only across components; members of one
        component need no more links. In buckets that stay split, the prefix filter first drops the documents that cannot link
-       anywhere else; what is left is compared member by member, across components only, so that no link that the bands
-       propose is missed.
+       anywhere else; what is left is compared block by block, across components only, so that no link that the bands
+       propose is missed and no pair without a link becomes a row.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), one row for each row
     given. Texts without words and nulls have no shingles and link with nothing. Rows that repeat a doc_id give equal rows. A
@@ -235,13 +281,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                                          F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("leader")).filter("lo < hi")
         open_ = named.join(mixed.select("key", "leader"), "key")
         if turn < 3:
-            pairs = open_.filter(F.col("component") != F.col("leader.component")).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        else:
-            able = materialise(_can_link(open_.select("doc_id", "component").distinct(), texts, size, percent / 100), "able")
-            open_ = open_.join(able, "doc_id", "left_semi")
-            left, right = (open_.select("key", F.col("doc_id").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-            pairs = left.join(right, "key").filter("c_a < c_b").select("a", "b")
-        components = verify(pairs)
+            components = verify(open_.filter(F.col("component") != F.col("leader.component")).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")))
+            continue
+        able = materialise(_can_link(open_.select("doc_id", "component").distinct(), texts, size, percent / 100), "able")
+        rest = materialise(open_.select("key", "doc_id", "component").join(able, "doc_id", "left_semi"), "open")
+        found = materialise(_open_links(rest, texts, size, percent, bands * rows), "links")
+        components = connected_components(links.unionByName(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     part_of = reps.select("doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("head"), F.coalesce("component", "doc_id").alias("component_id"))
     named = sets.join(heads, ["s1", "s2"]).select("doc_id", "head").join(part_of, "head").select("doc_id", "component_id").distinct()
