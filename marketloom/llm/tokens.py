@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import TwoGenerations, scratch_path, worker_cache
 
 #: Ids of distinct pieces kept in each Python worker, twice.
-CACHED_PIECES = 250_000
+CACHED_PIECES = 100_000
 
 
 #: White space beside white space or at an end: there a cut could change pieces that keep their space.
