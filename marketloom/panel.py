@@ -86,8 +86,8 @@ def clean_bars(df: DataFrame) -> DataFrame:
     zero = F.lit(False)
     for c in ("Open", "High", "Low", "Close", "AdjClose", "Volume"):
         zero = zero | (F.col(c) == 0)
-    newest = F.col("Date") == F.max("Date").over(Window.partitionBy("symbol"))
-    return kept.filter(~(newest & zero))
+    kept = kept.withColumn("_newest", F.max("Date").over(Window.partitionBy("symbol")))
+    return kept.filter(~((F.col("Date") == F.col("_newest")) & zero)).drop("_newest")
 
 
 def resample(df: DataFrame, by: str = "week", literal: bool = False) -> DataFrame:

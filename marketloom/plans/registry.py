@@ -320,3 +320,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from marketloom.plans import desk  # noqa: E402, F401  registers its queries with the functions above
