@@ -38,7 +38,7 @@ def portfolio_value(records: DataFrame, calendar: DataFrame) -> DataFrame:
 def backtest_report(records: DataFrame, riskfree: float = 0.04) -> DataFrame:
     """One row a symbol of backtest records (symbol, Date, value), the best EAR first by `place`, then rows mean and total.
 
-    The mean and total rows sum up money alone; their rates come from portfolio_value through the same measures.
+    The mean and total rows sum up money alone; the rates of the whole come from this report over portfolio_value's rows.
     """
     rated = records.withColumn("rate", div(F.col("value"), lag("value")) - 1)
     ends = records.groupBy("symbol").agg(F.min("Date").alias("start_date"), F.max("Date").alias("end_date"), F.min_by("value", "Date").alias("start_money"), F.max_by("value", "Date").alias("end_money"))
