@@ -119,3 +119,22 @@ def bfill(c: str) -> Column:
 def fill_value(c: str, value: float) -> Column:
     x = F.col(c)
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), value).otherwise(x)
+
+
+def moving_averages(df: DataFrame, c: str, windows: list[int]) -> DataFrame:
+    """<c>_ma_<n> for several windows in one pass; null before a window is full."""
+    return df.withColumns({f"{c}_ma_{n}": rolling(c, n) for n in windows})
+
+
+def drop_extreme(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null, a zero, a NaN or a value of e ** 709 or more in the columns."""
+    keep = F.lit(True)
+    for c in columns:
+        x = F.col(c)
+        keep = keep & x.isNotNull() & ~F.isnan(x) & (x != 0) & (x < F.exp(F.lit(709.0)))
+    return df.filter(keep)
+
+
+def minmax_pair(a: str, b: str, which: str = "max") -> Column:
+    """The larger or smaller of two, null where either is."""
+    return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), (F.greatest if which == "max" else F.least)(a, b))

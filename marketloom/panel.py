@@ -107,3 +107,16 @@ def latest_per_symbol(df: DataFrame) -> DataFrame:
     """The newest row of each symbol, by one aggregate without a sort."""
     cols = [c for c in df.columns if c != "symbol"]
     return df.groupBy("symbol").agg(F.max_by(F.struct(*cols), "Date").alias("_r")).select("symbol", "_r.*")
+
+
+def slice_dates(df: DataFrame, start: str | None = None, end: str | None = None, look_back: int = 0) -> DataFrame:
+    """Rows from start less look_back days to end, both included. Plain comparisons, so that they reach the scan."""
+    if start is not None:
+        df = df.filter(F.col("Date") >= F.date_sub(F.lit(start).cast("date"), look_back))
+    return df if end is None else df.filter(F.col("Date") <= F.lit(end).cast("date"))
+
+
+def zone_date(epoch: str | Column, zone: str, unit: str = "s") -> Column:
+    """The calendar date at an exchange (a zone name) of an epoch time in seconds (s) or milliseconds (ms)."""
+    x = F.col(epoch) if isinstance(epoch, str) else epoch
+    return F.from_utc_timestamp(F.timestamp_millis(x.cast("long") if unit == "ms" else x.cast("long") * 1000), zone).cast("date")
