@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from marketloom import panel
 from marketloom.functions import series
-from marketloom.operators import patterns, ranking, recursive, reports, trading
+from marketloom.operators import model, patterns, ranking, recursive, reports, trading
 from marketloom.operators.indicators import candle_shape
 from marketloom.plans import registry as R
 from marketloom.plans.desk import O, OHLCV
 from marketloom.plans.registry import C, H, L, RUN, V, W, d, lag, on_bars, rounded
 from marketloom.sources import history, screener
+from marketloom.streaming import quotes as streams
 
 # --- screener: parts as listings ---
 _NAMES = {"code": "symbol", "title": "name", "sector": "category", "heat": "hotness", "last": "close", "vol": "volume", "amount": "volume_value", "cap": "market_value", "cap_float": "market_value_circulation",
@@ -152,3 +153,56 @@ R._register("k10_size_orders", _sized, """WITH RECURSIVE g AS (SELECT o_custkey
     r AS (SELECT account, symbol, i, CASE WHEN cash > 1000 THEN greatest(floor((least(5000.0, cash) - 5) / p), 0) ELSE 0 END AS n, cash - CASE WHEN cash > 1000 THEN greatest(floor((least(5000.0, cash) - 5) / p), 0) ELSE 0 END * p AS rest FROM g WHERE i = 1
           UNION ALL SELECT g.account, g.symbol, g.i, CASE WHEN rest > 1000 THEN greatest(floor((least(5000.0, rest) - 5) / g.p), 0) ELSE 0 END, rest - CASE WHEN rest > 1000 THEN greatest(floor((least(5000.0, rest) - 5) / g.p), 0) ELSE 0 END * g.p FROM r JOIN g ON g.account = r.account AND g.i = r.i + 1)
     SELECT account, symbol, 'BUY' AS side, n AS quantity FROM r WHERE n > 0 UNION ALL SELECT o_custkey, CAST(o_orderkey AS VARCHAR), 'SELL', 7.0 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0""")
+
+# --- model ---
+_FEATURES = ["ret_5d", "ret_20d", "vol_20d", "vol_zscore_20d"]
+
+
+def _features(b: DataFrame) -> DataFrame:
+    return ranking.forward_label(ranking.volume_features(ranking.realized_vol(ranking.return_features(b))))
+
+
+def _scored_pool(b: DataFrame) -> DataFrame:
+    rows = _features(b)
+    return model.score_pool(rows, model.train_pool(rows, _FEATURES, "2000-01-01")[0], _FEATURES)
+
+
+on_bars("m8_pool_features", lambda b: model.pool_features(b, b.filter("symbol = 'Brand#12'")), d("ret_20d", "month"),
+        f"""SELECT * FROM (SELECT *, {C} / {lag(C, 20)} - 1 AS ret_20d, month("Date") AS month FROM bars) WHERE "Date" IN (SELECT "Date" FROM bars WHERE symbol = 'Brand#12')""", symbol="p_brand")
+on_bars("m15_train_pool", lambda b: model.train_pool(_features(b), _FEATURES, "2000-01-01")[1], {"n_train": "s", "n_valid": "s", "accuracy": "d"}, keys="", symbol="p_brand", sql=False)
+on_bars("m16_score_pool", _scored_pool, d("p_down", "p_flat", "p_up", "ml_score") | {"ml_signal": "s"}, symbol="p_brand", sql=False)
+
+
+# --- streams ---
+def _events(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if stream else spark.read.parquet(path)
+    return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("value") + 1.0).alias("price"), F.lit(1.0).alias("quantity"))
+
+
+def _shared(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored bars to 2024-01-20 at half their close, under the stream of all events."""
+    root = _shared(spark)
+    streams.write_updates(streams.stream_bars(_events(spark, sf_dir, True)), f"{root}/bars", f"{root}/state").awaitTermination()
+    old = panel.bars_from_ticks(_events(spark, sf_dir, False).filter("ts < TIMESTAMP '2024-01-21'").withColumn("Date", F.col("ts").cast("date")), ("ts", "seq")).withColumn("Close", F.col("Close") / 2)
+    return rounded(streams.stream_overlay(old, spark.read.parquet(f"{root}/bars")))
+
+
+R._register("s2_stream_overlay", _overlaid, R._SQL["s1_stream_bars"])
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, lo, hi = _shared(spark), F.min("price"), F.max("price")
+    levels = _events(spark, sf_dir, False).groupBy("symbol").agg((lo + (hi - lo) * 0.125).alias("supporter"), (hi - (hi - lo) * 0.25).alias("resistanter"))
+    found = streams.stream_alerts(_events(spark, sf_dir, True), levels)
+    found.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/alerts").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/alerts").select("symbol", F.col("seq").alias("event_id"), "alert")
+
+
+R._register("s3_stream_alerts", _alerts, """WITH e AS (SELECT event_type AS symbol, event_id, value + 1.0::DOUBLE AS p FROM events), l AS (SELECT symbol, min(p) + (max(p) - min(p)) * 0.125::DOUBLE AS a, max(p) - (max(p) - min(p)) * 0.25::DOUBLE AS z FROM e GROUP BY symbol)
+    SELECT symbol, event_id, CASE WHEN p <= a THEN 'support' ELSE 'resistant' END AS alert FROM e JOIN l USING (symbol) WHERE p <= a OR p >= z""")
