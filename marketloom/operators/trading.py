@@ -19,10 +19,15 @@ def order_ledger(orders: DataFrame, init_cash: float = 0.0, fee: float = 3.0) ->
 
 
 def mark_positions(positions: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Join the latest quote: rate against average cost, market value; 2 digits. Positions without a quote keep nulls."""
-    out = positions.join(quotes.select("symbol", "latest_price"), "symbol", "left")
-    rate = F.try_divide(F.col("latest_price"), F.col("average_cost")) - 1
-    return out.withColumns({"rate": F.bround(rate, 2), "market_value": F.bround(F.col("latest_price") * F.col("quantity"), 2)})
+    """Join the latest quote: rate against average cost, market value and, where quotes hold Open and Close, the day's move against
+    average cost (rate_inday); 2 digits. Positions without a quote keep nulls."""
+    day = ["Open", "Close"] if {"Open", "Close"} <= set(quotes.columns) else []
+    kept = positions.drop(*day)
+    out = kept.join(quotes.select("symbol", "latest_price", *day), "symbol", "left")
+    new = {"rate": F.try_divide(F.col("latest_price"), F.col("average_cost")) - 1, "market_value": F.col("latest_price") * F.col("quantity")}
+    if day:
+        new["rate_inday"] = F.try_divide(F.col("Close") - F.col("Open"), F.col("average_cost"))
+    return out.withColumns({c: F.bround(x, 2) for c, x in new.items()}).drop(*day)
 
 
 def backtest(signals: DataFrame, cash: float = 10_000.0, stop_profit: float | None = None, stop_loss: float | None = None, fee: float = 3.0) -> DataFrame:

