@@ -210,6 +210,21 @@ def test_passages(spark):
     assert list(got.loc[2].sources) == [1] and list(got.loc[11].sources) == [4]
 
 
+@pytest.mark.parametrize("extra", [5, 6, 7])
+@pytest.mark.parametrize("longer_first", [True, False])
+def test_passages_with_inserted_words(spark, extra, longer_first):
+    r = np.random.default_rng(extra)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 50000, n)]
+    passage = word(80)
+    longer = passage[:40] + word(extra) + passage[40:]
+    one, two = (longer, passage) if longer_first else (passage, longer)
+    a, b = (passages.shingle_hashes(" ".join(word(30) + x + word(30)), 5) for x in (one, two))
+    assert passages._stretches(a, b, 46) == [(30, 30 + len(two) - 4)]
+    rows = [(1, " ".join(one)), (2, " ".join(two))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert [tuple(x) for x in got.loc[2].spans] == [(0, len(two))] and not len(got.loc[1].spans)
+
+
 def test_compact_windows_cover_each_subsequence_once():
     r = np.random.default_rng(0)
     for h in (r.integers(0, 1000, 60), r.integers(0, 3, 60), np.zeros(60, dtype=int)):
