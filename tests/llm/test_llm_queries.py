@@ -225,6 +225,42 @@ def test_passages_with_inserted_words(spark, extra, longer_first):
     assert [tuple(x) for x in got.loc[2].spans] == [(0, len(two))] and not len(got.loc[1].spans)
 
 
+def brute_passages(docs, n=50, size=5, percent=80):
+    """The words of each document in a stretch of n words, shared at both ends, that is similar to n words of an earlier document."""
+    cut = lambda w, i: tuple(w[i : i + size])
+    sets = {d: [{cut(w, j) for j in range(i, i + n - size + 1)} for i in range(len(w) - n + 1)] for d, w in docs.items()}
+    out = {d: set() for d in docs}
+    for b in docs:
+        for a in docs:
+            if a < b:
+                for i, x in enumerate(sets[b]):
+                    ends = {cut(docs[b], i), cut(docs[b], i + n - size)}
+                    if any(ends <= y and 100 * len(x & y) >= percent * len(x | y) for y in sets[a]):
+                        out[b].update(range(i, i + n))
+    return out
+
+
+def test_passages_reach_every_holder(spark):
+    r = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 90000, n)]
+    docs = {}
+    for family in range(6):
+        base = word(60)
+        # The first documents hold parts too short and a variant too far from the passage, those after it the passage and variants.
+        docs[10 + family], docs[20 + family] = base[:35] + word(30), word(30) + base[25:]
+        for k, changed in enumerate([(9, 29, 49), (), (), (15,), (22, 44), (40,), (5, 35)], 1):
+            w = base.copy()
+            for j in changed:
+                w[j] = f"x{family}-{k}-{j}"
+            docs[100 * k + family] = word(5 + 3 * k) + w + word(12 - k)
+    got = passages.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")).toPandas().set_index("doc_id")
+    held = {d: {i for x in got.spans[d] for i in range(*x)} for d in docs}
+    want = brute_passages(docs)
+    assert sum(map(len, want.values())) > 1000
+    assert {d: sorted(want[d] - held[d]) for d in docs if want[d] - held[d]} == {}
+    assert all(set(range(14, 74)) <= held[300 + f] and not held[200 + f] for f in range(6))
+
+
 def test_compact_windows_cover_each_subsequence_once():
     r = np.random.default_rng(0)
     for h in (r.integers(0, 1000, 60), r.integers(0, 3, 60), np.zeros(60, dtype=int)):
