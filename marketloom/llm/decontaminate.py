@@ -60,10 +60,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     """(doc_id, item_id, n_windows, n_slots, verbatim): which documents hold a benchmark passage, also with other values.
 
     Windows of WINDOW templates of documents and items join by hash. Matches of one document and item at one distance between
-    positions form a chain; a chain counts with RUN windows, or all but one of an item that has no more. Slots are checked along the
-    chain: each slot value of the item must always stand for one and the same value of the document, and for no two values of
-    one type the same, so a question with changed numbers and names is caught and an accidental template is not. Items shorter
-    than WINDOW match as one window of their own length. A window of slots alone never counts.
+    positions form a chain; a chain counts with RUN windows, or all but one of an item that has no more. Slots are checked on the
+    chain's windows, not in the gaps between them: each slot value of the item must always stand for one and the same value of the
+    document, and for no two values of one type the same, so a question with changed numbers and names is caught and an
+    accidental template is not. Windows with the same words count without that check; a chain whose slots differ counts by these
+    alone (and n_windows is their number). Items shorter than WINDOW match as one window of their own length. A window of slots
+    alone never counts.
 
     Null and empty texts hold nothing; repeated rows count once; an empty benchmark finds nothing. Rows whose id is null
     are left out. Other columns are not looked at.
@@ -85,17 +87,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     hits = materialise(hits.distinct(), "template_hits")
 
     of_item = item_windows.groupBy("item").agg(F.count("*").alias("n_item"))
-    chains = (hits.groupBy("id", "item", "shift").agg(F.count("*").alias("n_windows"), F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("n")).alias("hi"))
-              .join(of_item, "item").filter(F.col("n_windows") >= F.least(F.lit(RUN), F.greatest(F.col("n_item") - 1, F.lit(1)))))
+    chains = (hits.groupBy("id", "item", "shift").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("n").alias("n"))
+              .join(of_item, "item").withColumn("need", F.least(F.lit(RUN), F.greatest(F.col("n_item") - 1, F.lit(1)))).filter("n_windows >= need"))
     # Words of both sides, for the few documents that are left; slots must be replaced one for one.
     held_docs = own_docs.join(chains.select(F.col("id").alias(doc_id)).distinct(), doc_id, "left_semi")
     words = _tokens(held_docs, doc_id).select("id", _words("raw").alias("doc_w"))
     sides = chains.join(words, "id").join(items.select(F.col("id").alias("item"), F.col("w").alias("item_w"), F.col("k").alias("item_k")), "item")
-    span = F.sequence(F.col("lo"), F.col("hi") - 1)
+    span = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("n") - 1))))
+    same = F.filter("at", lambda p: F.slice("item_w", p + 1, F.col("n")) == F.slice("doc_w", p + F.col("shift") + 1, F.col("n")))
     slots = F.filter(F.transform(span, lambda i: F.struct(F.get("item_k", i).alias("type"), F.get("item_w", i).alias("a"), F.get("doc_w", i + F.col("shift")).alias("b"))), lambda s: s["type"].isin("#", "@", "%"))
-    sides = sides.withColumn("slots", F.array_distinct(slots))
+    sides = sides.withColumns({"slots": F.array_distinct(slots), "n_same": F.size(same).cast("long")})
     types = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s[f]))))
-    consistent = sides.filter((types("a") == F.size("slots")) & (types("b") == F.size("slots")))
+    sides = sides.withColumn("one_for_one", (types("a") == F.size("slots")) & (types("b") == F.size("slots")))
+    consistent = sides.filter("one_for_one or n_same >= need").withColumn("n_windows", F.when(F.col("one_for_one"), F.col("n_windows")).otherwise(F.col("n_same")))
     return (consistent.groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"), F.max(F.forall("slots", lambda s: s["a"] == s["b"])).alias("verbatim"))
             .select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_slots", "verbatim"))
 

@@ -152,6 +152,18 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(docs.filter("doc_id < 0"), items).count() == 0
 
 
+def test_decontamination_checks_slots_on_windows_only(spark):
+    word = lambda c, n: " ".join(f"{c}{chr(97 + i)}x" for i in range(n))
+    items = spark.createDataFrame([(1, f"{word('p', 12)} 5 {word('q', 12)} 5 {word('r', 12)}"), (2, f"{word('s', 12)} 7 {word('t', 12)} 7 and {word('u', 12)}")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, f"{word('p', 12)} 5 {word('q', 12)} 6 {word('r', 12)}"),
+        (2, f"{word('s', 12)} 8 {word('t', 12)} 9 or {word('u', 12)}"),
+        (3, f"{word('s', 12)} 8 {word('v', 12)} 9 or {word('w', 12)}")], "doc_id long, text string")
+    got = decontaminate.find_contamination(docs, items).toPandas().set_index("doc_id")
+    assert {d: got.item_id[d] for d in (1, 2, 3)} == {1: 1, 2: 2, 3: 2} and not got.verbatim.any()
+    assert got.n_windows[1] < 39 - 8
+
+
 def test_contained_items_are_found(spark, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
     held = {d for d, t in zip(documents.doc_id, documents.text) if any(i in (t or "") for i in items.text)}
