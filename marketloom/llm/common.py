@@ -66,23 +66,25 @@ def worker_cache(name: str) -> dict:
 
 
 class TwoGenerations:
-    """A cache of at most 2 * limit entries: when the young half is full it becomes the old half."""
+    """A cache of bytes by string that holds about 2 * limit bytes: when the young half is full it becomes the old half."""
+
+    #: About what a key, a value and their place in the table take besides their contents.
+    EACH = 150
 
     def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def turn(self) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-
-    def missing(self, keys) -> list:
-        """Keys without a value; those found in the old half become young again."""
-        self.turn()
-        out = []
-        for k in set(keys).difference(self.young):
-            v = self.old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self.young[k] = v
-        return out
+        self.limit, self.young, self.old, self.held = limit, {}, {}, 0
+
+    def put(self, key: str, value: bytes) -> None:
+        if self.held >= self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = value
+        self.held += len(key) + len(value) + self.EACH
+
+    def get(self, key: str) -> bytes | None:
+        """The value, or None; what is found in the old half becomes young again."""
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import worker_cache
+from marketloom.llm.tokens import blocks
 
 #: Hashed n-gram features, and n-gram lengths.
 FEATURES, LENGTHS = 1 << 15, (1, 2, 3)
@@ -18,6 +20,7 @@ FEATURES, LENGTHS = 1 << 15, (1, 2, 3)
 
 def _letters() -> np.ndarray:
     """For each code point: itself if a letter, else a space. Digits, signs and spaces all read as one kind of gap."""
+    worker_cache("encoders").clear()  # what an earlier job left in this worker
     cache = worker_cache("letters")
     if "table" not in cache:
         points = np.arange(0x110000, dtype=np.uint32)
@@ -52,7 +55,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(FEATURES + 1, dtype=np.int64), 0
-        for pdf in batches:
+        for pdf in blocks(batches, 512):
             for t in _texts(pdf):
                 hit = np.bincount(ngram_hashes(t), minlength=FEATURES) > 0
                 df[:FEATURES] += hit
@@ -75,17 +78,23 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
 
-    def probabilities(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Calibrated probabilities by language, and which texts have a letter."""
-        logits, known = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=bool)
-        for i, t in enumerate(texts):
-            at, value = vector(t, self.idf)
-            if len(at):
-                known[i] = True
-                logits[i] = value @ self.weights[at] + self.bias
-        z = logits / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True)) if len(texts) and len(self.languages) else z
-        return z / np.maximum(z.sum(axis=1, keepdims=True), 1e-300), known
+    def parts(self) -> tuple:
+        """Plain lists and arrays, which a worker can read without this package."""
+        return self.languages, self.idf, self.weights, self.bias, self.temperature
+
+
+def probabilities(model: tuple, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated probabilities by language, and which texts have a letter. model: LanguageModel.parts()."""
+    languages, idf, weights, bias, temperature = model
+    logits, known = np.zeros((len(texts), len(languages))), np.zeros(len(texts), dtype=bool)
+    for i, t in enumerate(texts):
+        at, value = vector(t, idf)
+        if len(at):
+            known[i] = True
+            logits[i] = value @ weights[at] + bias
+    z = logits / temperature
+    z = np.exp(z - z.max(axis=1, keepdims=True)) if len(texts) and len(languages) else z
+    return z / np.maximum(z.sum(axis=1, keepdims=True), 1e-300), known
 
 
 def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,34 +192,43 @@ def train_language_model(docs: DataFrame, may_learn: Column, rows_per_language:
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score of every whole text, one row for each row given; und and 0 for null or letterless texts.
 
+    Of equally likely languages the first by name is taken. Rows with a null doc_id or one met before are rows like any other.
     Only the text is looked at: other columns, whatever their names, do not matter.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())  # FEATURES x languages numbers
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        for pdf in batches:
-            p, known = m.probabilities(_texts(pdf))
-            best = p.argmax(axis=1) if m.languages else np.zeros(len(p), dtype=int)
-            known = known & bool(m.languages)
+        languages = m[0]
+        for pdf in blocks(batches, 512):
+            p, known = probabilities(m, _texts(pdf))
+            best = p.argmax(axis=1) if languages else np.zeros(len(p), dtype=int)
+            known = known & bool(languages)
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"),
-                "lang_pred": [m.languages[b] if k else "und" for b, k in zip(best, known)],
+                "lang_pred": [languages[b] if k else "und" for b, k in zip(best, known)],
                 "score": [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))]})
 
     return docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double")
 
 
 def known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text the model assigns a language with a score of at least `least`."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, with all their columns, whose text the model assigns a language with a score of at least `least`.
 
-    def accepted(text: pd.Series) -> pd.Series:
-        m = sent.value
-        p, known = m.probabilities([None if t is None or t != t else t for t in text])
-        return pd.Series(known & (p.max(axis=1, initial=0.0) >= least), dtype=bool)
+    Null, empty and letterless texts have no language and go. Repeated rows share their fate; doc_id is not looked at.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
-    return docs.filter(F.pandas_udf(accepted, "boolean")("text"))
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for i in range(0, batch.num_rows, 512):
+                some = batch.slice(i, 512)
+                p, known = probabilities(m, some.column(at).to_pylist())
+                yield some.filter(pa.array(known & (p.max(axis=1, initial=0.0) >= least)))
+
+    return docs.mapInArrow(accepted, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

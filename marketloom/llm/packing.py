@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,13 +52,13 @@ def _projection(seed: int = 11) -> np.ndarray:
     return cache[seed]
 
 
-def curve_keys(raw_ids: list[bytes]) -> np.ndarray:
+def curve_keys(all_ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents: token ids hashed to BUCKETS counts, damped, normed, projected, cut into cells."""
     proj = _projection()
-    points = np.zeros((len(raw_ids), DIMENSIONS))
-    for i, raw in enumerate(raw_ids):
-        ids = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
-        counts = np.bincount(((ids * np.uint64(2654435761)) >> np.uint64(7)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+    points = np.zeros((len(all_ids), DIMENSIONS))
+    for i, ids in enumerate(all_ids):
+        hashed = (ids.astype(np.uint64) * np.uint64(2654435761)) >> np.uint64(7)
+        counts = np.bincount((hashed & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         held = np.flatnonzero(counts)
         v = np.log1p(counts[held])
         points[i] = (v / np.sqrt(v @ v)) @ proj[held]
@@ -75,7 +74,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
     ids of the ranges (one row a range) give every document its place on the one line, and sequence k holds places
     k * length to (k + 1) * length - 1: only the very last sequence is shorter. No document meets another on a driver.
 
-    Returns one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text is empty and holds
+    Returns one row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit integers), ids_crc32 (of those bytes),
+    doc_tokens, sequence_id, offset. A null text is empty and holds
     the end id only. Repeated rows are packed each; null doc_ids too. An empty table gives no rows; other columns are not
     looked at.
     """
@@ -83,11 +83,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in blocks(batches):
-            raw = encoded(some["text"].tolist(), tokenizer, False, end_id)
-            ids = [np.frombuffer(x, dtype="<u4") for x in raw]
+            ids = list(encoded(some["text"].tolist(), tokenizer, False, end_id))
             # Two bytes an id where the vocabulary allows; the first byte says which.
             small = [(b"\x02" + x.astype("<u2").tobytes()) if not len(x) or x.max() < 65536 else b"\x04" + x.tobytes() for x in ids]
-            yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "key": curve_keys(raw), "n": [len(x) for x in ids], "ids": small})
+            yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "key": curve_keys(ids), "n": [len(x) for x in ids], "ids": small})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(keyed, "doc_id long, key long, n long, ids binary"), "tokens")
@@ -110,17 +109,22 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, n, raw, place in zip(pdf["doc_id"], pdf["n"], pdf["ids"], pdf["place"]):
                 ids = np.frombuffer(raw, dtype="<u2" if raw[0] == 2 else "<u4", offset=1).astype("<u4")
                 at = 0
                 while at < n:
                     offset = (place + at) % length
                     take = min(n - at, length - offset)
-                    rows.append((doc_id, at, take, zlib.crc32(ids[at : at + take].tobytes()), n, (place + at) // length, offset))
+                    rows.append((doc_id, at, take, ids[at : at + take].tobytes(), n, (place + at) // length, offset))
                     at += take
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return placed.select("doc_id", "n", "ids", "place").mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+                    held += take
+                if held > 2_000_000:
+                    yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    cut = placed.select("doc_id", "n", "ids", "place").mapInPandas(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return cut.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,75 +25,82 @@ def _digits(hash_col: Column, id_col: Column) -> list[Column]:
     return out
 
 
-def histogram_shards(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001, parts_per_shard: int | None = None) -> DataFrame:
+def _crossings(rows: DataFrame, cols: list[str], targets: DataFrame) -> dict:
+    """For each target the cell of its prefix that holds it: (digit, bytes and rows before it in the prefix, bytes and rows in it).
+
+    Cells are counted exactly; only one row a target comes back.
+    """
+    order = Window.partitionBy(*cols[:-1]).orderBy(cols[-1]).rowsBetween(Window.unboundedPreceding, 0)  # at most 4096 cells each
+    cells = rows.groupBy(*cols).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    cells = cells.withColumns({"upto": F.sum("size").over(order), "n_upto": F.sum("n").over(order)})
+    on = [F.col(f"t.{c}") == F.col(f"c.{c}") for c in cols[:-1]]
+    on += [F.col("c.upto") + F.col("t.below") >= F.col("t.goal"), F.col("c.upto") - F.col("c.size") + F.col("t.below") < F.col("t.goal")]
+    held = cells.alias("c").join(F.broadcast(targets.alias("t")), on)  # at most one row a splitter
+    return {r[0]: tuple(r)[1:] for r in held.select("t.k", f"c.{cols[-1]}", F.col("c.upto") - F.col("c.size"), F.col("c.n_upto") - F.col("c.n"), "c.size", "c.n").collect()}
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001, parts_per_shard: int | None = None) -> DataFrame:
     """Put every document into one of n_shards shards of near equal bytes.
 
     The order is (hash of the text, doc_id), so equal texts lie together and only a splitter that must cut them does. Each
     round counts the exact bytes and rows of the candidate intervals and refines those that hold a splitter, until the bytes
     below each are within tolerance of its share (or one row remains). Finer splitters, with a loose tolerance, cut shards
-    into parts for the one exchange; no part holds more than its share, whatever repeats.
+    into parts for the one exchange, in which the whole rows move; no part holds more than its share, whatever repeats.
 
-    Returns doc_id, size (UTF-8 bytes + 1; null text: 1), text_crc32 (null text: 0), shard, slot (gapless from 0 in a shard).
-    Rows that repeat a doc_id and text are separate rows. Fewer rows than shards leave some shards empty; an empty table gives
-    no rows. Other columns are not looked at.
+    Returns the columns of docs with size (UTF-8 bytes of the text + 1; null text: 1), text_crc32 (of the text as it lies in its
+    shard; null text: 0), shard, slot (gapless from 0 in a shard); columns of docs with one of these names are left out, as are
+    those whose names start with _hs_. Rows that repeat a doc_id and text are separate rows; a null doc_id comes before all
+    others. Fewer rows than shards leave some shards empty; an empty table gives no rows.
     """
     spark = docs.sparkSession
     per = parts_per_shard or max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_shards))
     n_parts = n_shards * per
     text = F.coalesce(F.col("text"), F.lit(""))
-    light = materialise(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")), "sizes")
+    size, hashed, doc_id = F.octet_length(text).cast("long") + 1, F.xxhash64(text), F.col("doc_id").cast("long")
+    light = materialise(docs.select(doc_id.alias("doc_id"), size.alias("size"), hashed.alias("h")), "sizes")
     digits = _digits(F.col("h"), F.coalesce(F.col("doc_id"), F.lit(_MIN)))
     keyed = light.select("size", *[d.alias(f"d{i}") for i, d in enumerate(digits)])
 
     total = light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = total / n_parts
     # A splitter is a digit prefix: rows below it, in bytes and rows, are before it. open: the prefix that still holds the target.
-    open_, splitters = {(): [k for k in range(1, n_parts)]}, {}
-    base = {(): (0, 0)}
+    open_ = {k: ((), 0, 0) for k in range(1, n_parts)} if total else {}
+    splitters: dict = {}
     for level in range(len(_ROUNDS)):
-        if not open_ or not total:
+        if not open_:
             break
         cols = [f"d{i}" for i in range(level + 1)]
-        rows = keyed
-        if level:
-            held = spark.createDataFrame(list(open_), ", ".join(f"d{i} int" for i in range(level)))
-            rows = keyed.join(F.broadcast(held), cols[:-1])  # at most n_parts prefixes
-        counts: dict = {}
-        for *prefix, size, n in rows.groupBy(*cols).agg(F.sum("size"), F.count("*")).collect():  # at most n_parts * 4096
-            counts.setdefault(tuple(prefix[:-1]), []).append((prefix[-1], size, n))
-        next_open: dict = {}
-        next_base: dict = {}
-        for prefix, targets in open_.items():
-            below, n_below = base[prefix]
-            cells, i = sorted(counts[prefix]), 0
-            for k in targets:
-                goal = share * k
-                while i < len(cells) and below + cells[i][1] < goal:
-                    below, n_below, i = below + cells[i][1], n_below + cells[i][2], i + 1
-                if i == len(cells):
-                    splitters[k] = (prefix + (1 << 20,), n_below)
-                    continue
-                digit, size, n = cells[i]
-                allowed = tolerance * share * per if k % per == 0 else 0.25 * share
-                if goal - below <= allowed and goal - below <= below + size - goal:
-                    splitters[k] = (prefix + (digit,), n_below)
-                elif below + size - goal <= allowed or n == 1 or level == len(_ROUNDS) - 1:
-                    splitters[k] = (prefix + (digit + 1,), n_below + n)
-                else:
-                    next_open.setdefault(prefix + (digit,), []).append(k)
-                    next_base[prefix + (digit,)] = (below, n_below)
-        open_, base = next_open, next_base
+        names = "".join(f", d{i} int" for i in range(level))
+        targets = spark.createDataFrame([(k, share * k, below, *prefix) for k, (prefix, below, _) in open_.items()], f"k int, goal double, below long{names}")
+        rows = keyed.join(F.broadcast(targets.select(*cols[:-1]).distinct()), cols[:-1]) if level else keyed  # at most n_parts prefixes
+        found, next_open = _crossings(rows, cols, targets), {}
+        for k, (prefix, below, n_below) in open_.items():
+            goal = share * k
+            digit, before, n_before, held, n = found[k]
+            below, n_below = below + before, n_below + n_before
+            allowed = tolerance * share * per if k % per == 0 else 0.25 * share
+            if goal - below <= allowed and goal - below <= below + held - goal:
+                splitters[k] = (prefix + (digit,), n_below)
+            elif below + held - goal <= allowed or n == 1 or level == len(_ROUNDS) - 1:
+                splitters[k] = (prefix + (digit + 1,), n_below + n)
+            else:
+                next_open[k] = (prefix + (digit,), below, n_below)
+        open_ = next_open
     # Parts in order; equal splitters leave an empty part between them.
-    order_of = sorted(splitters)
-    first = {0: 0} | {k: splitters[k][1] for k in order_of}
-    part = _count_at_or_below([_bound(splitters[k][0]) for k in order_of])
-    parts = light.withColumns({"_hi": F.col("h").bitwiseXOR(F.lit(_MIN)), "_lo": F.coalesce("doc_id", F.lit(_MIN))}).withColumn("_part", part).repartition(n_parts, "_part")
-    starts = spark.createDataFrame([(k, k // per, n - first[k // per * per]) for k, n in sorted(first.items())], "_part int, shard int, _start long")
-    order = Window.partitionBy("_part").orderBy("_hi", "_lo", "size", "text_crc32")
-    return (parts.withColumn("_row", F.row_number().over(order) - 1).join(F.broadcast(starts), "_part")
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("_start") + F.col("_row")).alias("slot")))
+    first = {0: 0} | {k: n for k, (_, n) in sorted(splitters.items())}
+    part = _count_at_or_below([_bound(splitters[k][0]) for k in sorted(splitters)])
+    own = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot") and not c.startswith("_hs_")]
+    keys = docs.select(*own, size.alias("size"), hashed.bitwiseXOR(F.lit(_MIN)).alias("_hs_hi"), F.coalesce(doc_id, F.lit(_MIN)).alias("_hs_lo"))
+    moved = keys.withColumn("_hs_part", part("_hs_hi", "_hs_lo")).repartition(n_parts, "_hs_part").withColumn("text_crc32", F.crc32(text.cast("binary")))
+    starts = spark.createDataFrame([(k, k // per, n - first[k // per * per]) for k, n in sorted(first.items())], "_hs_part int, shard int, _hs_start long")
+    order = Window.partitionBy("_hs_part").orderBy("_hs_hi", "_hs_lo", "size", "text_crc32")
+    return (moved.withColumn("_hs_row", F.row_number().over(order) - 1).join(F.broadcast(starts), "_hs_part")  # one row a part
+            .select(*own, "size", "text_crc32", "shard", (F.col("_hs_start") + F.col("_hs_row")).alias("slot")))
+
+
+def histogram_shards(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001, parts_per_shard: int | None = None) -> DataFrame:
+    """The digest of shard_documents: doc_id, size, text_crc32, shard, slot."""
+    return shard_documents(docs, n_shards, tolerance, parts_per_shard).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def _bound(digits: tuple) -> tuple[int, int] | None:
@@ -100,14 +109,19 @@ def _bound(digits: tuple) -> tuple[int, int] | None:
     return None if key >> 128 else ((key >> 64) + _MIN, (key & ((1 << 64) - 1)) + _MIN)
 
 
-def _count_at_or_below(bounds: list) -> Column:
-    """How many of the sorted bounds are at or below the row's key, by bisection."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    below = _count_at_or_below(bounds[:mid])
-    if bounds[mid] is None:
-        return below
-    hi, lo = bounds[mid]
-    at = (F.col("_hi") > hi) | ((F.col("_hi") == hi) & (F.col("_lo") >= lo))
-    return F.when(at, F.lit(mid + 1) + _count_at_or_below(bounds[mid + 1:])).otherwise(below)
+def _count_at_or_below(bounds: list):
+    """A function of two long columns: how many of the sorted bounds are at or below the row's key, by binary search."""
+    held = [b for b in bounds if b is not None]
+    his, los = (np.array([b[i] for b in held], dtype=np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def count(hi: pd.Series, lo: pd.Series) -> pd.Series:
+        h, x = hi.to_numpy(), lo.to_numpy()
+        out, upto = np.searchsorted(his, h, "left"), np.searchsorted(his, h, "right")
+        for begin in np.unique(out[upto > out]):  # rows whose text a splitter cuts
+            own = (out == begin) & (upto > begin)
+            end = upto[own][0]
+            out[own] = begin + np.searchsorted(los[begin:end], x[own], "right")
+        return pd.Series(out.astype(np.int32))
+
+    return count

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import TwoGenerations, scratch_path, worker_cache
 
-#: Ids of distinct pieces kept in each Python worker, twice.
-CACHED_PIECES = 100_000
+#: Bytes of distinct pieces and their ids kept in each Python worker, twice; characters of the texts encoded together.
+CACHED_BYTES, BLOCK_CHARS = 64_000_000, 4_000_000
 
 
 #: White space beside white space or at an end: there a cut could change pieces that keep their space.
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_SPACE = rf"{_SPACES}{_SPACES}|^{_SPACES}|{_SPACES}$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,8 +38,10 @@ class PieceEncoder:
 
     Texts are cut at single spaces and line ends between two visible characters, where the pre-tokenizers of both files always
     end a piece, so the ids of a text are those of its pieces. With keep_space (byte-level files) a piece keeps the space
-    before it, and a text with white space beside white space is encoded whole. A new piece of letters, with one . or , after
-    them perhaps, goes straight to the tokenizer's model; any other goes through the whole tokenizer.
+    before it, and a text with white space beside white space is encoded whole, as is any text that holds a special token. The
+    pieces of a block of texts are numbered by Arrow's dictionary encoding, so Python sees each distinct one once. A new piece
+    of letters, with one . or , after them perhaps, goes straight to the tokenizer's model; any other goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -45,10 +49,10 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.keep_space = keep_space
-        self.cache = TwoGenerations(CACHED_PIECES)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = TwoGenerations(CACHED_BYTES)
         self.bytes = _byte_letters()
         self.space = self.bytes[32]
         self.marks = {m: self._plain(m) for m in ".,"}
@@ -56,12 +60,13 @@ class PieceEncoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, texts: list[str]) -> list[str | None]:
+        """Each text with \\0 between its pieces; None where it has to be encoded whole."""
+        whole = ["\0" in t or any(s in t for s in self.special) for t in texts]
         if not self.keep_space:
-            return text.replace("\n", " ").split(" ")
-        if "\0" in text or _ODD_SPACE.search(text):
-            return [text]
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            return [None if w else t.replace("\n", "\0").replace(" ", "\0") for t, w in zip(texts, whole)]
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD_SPACE).to_pylist()
+        return [None if w or o else t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t, w, o in zip(texts, whole, odd)]
 
     def _word(self, core: str) -> bytes | None:
         """Ids of letters that need no normalising but lower case, perhaps after a space; None for anything else."""
@@ -69,57 +74,74 @@ class PieceEncoder:
         if not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0250"):
             return None
         raw = core if self.keep_space else core.lower()
+        if not self.keep_space and not raw.isalpha():  # a dotted capital I becomes a letter and a mark
+            return None
         raw = raw.replace(" ", self.space) if raw.isascii() else raw.encode().decode("latin-1").translate(self.bytes)
         ids = [t.id for t in self.model.tokenize(raw)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, pieces: set[str]) -> None:
-        young, old, rest = self.cache.young, self.cache.old, []
-        for p in pieces:
-            known = old.get(p)
-            if known is None:
-                tail = self.marks.get(p[-1:], b"")
-                core = p[:-1] if tail else p
-                stem = young.get(core)
-                if stem is None:
-                    stem = self._word(core)
-                    if stem is None:
-                        rest.append(p)
-                        continue
-                    if tail:
-                        young[core] = stem
-                elif tail and not core[-1:].isalpha():
-                    rest.append(p)
-                    continue
-                known = stem + tail
-            young[p] = known
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        find, learn, rest = self.cache.get, self.cache.put, []
+        out = list(map(find, pieces))
+        for i in [i for i, x in enumerate(out) if x is None]:
+            p = pieces[i]
+            tail = self.marks.get(p[-1:], b"")
+            core = p[:-1] if tail else p
+            stem = find(core) if tail and core[-1:].isalpha() else None
+            if stem is None:
+                stem = self._word(core)
+            if stem is None:
+                rest.append(i)
+                continue
+            out[i] = stem + tail
+            learn(p, out[i])
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                young[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 512):
-            cut = [self._cut(t) for t in texts[at : at + 512]]
-            self.cache.turn()
-            young = self.cache.young
-            self._learn(set().union(*cut).difference(young))
-            out += [b"".join(map(young.__getitem__, p)) for p in cut]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
+                learn(pieces[i], out[i])
         return out
 
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
+        cut = self._cut(texts)
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\0")
+        coded = lists.flatten().dictionary_encode()
+        known = self._ids(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        flat, begin = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(size) - size
+        piece = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[piece]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begin[piece] - ends[:-1], n) + np.arange(ends[-1])]
+        places = ends[lists.offsets.to_numpy()]
+        return [ids[places[i] : places[i + 1]] if c is not None else np.frombuffer(self._plain(t), dtype="<u4") for i, (t, c) in enumerate(zip(texts, cut))]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text its ids as unsigned 32-bit integers, block by block."""
+        some, held = [], 0
+        for t in texts:
+            some.append(t)
+            held += len(t)
+            if held >= BLOCK_CHARS:
+                yield from self._block(some)
+                some, held = [], 0
+        if some:
+            yield from self._block(some)
+
 
 def encoder(path: str, keep_space: bool) -> PieceEncoder:
+    """The worker's encoder: one at a time, so that jobs with other files do not add up in a worker's memory."""
     cache = worker_cache("encoders")
     if (path, keep_space) not in cache:
+        cache.clear()
         cache[path, keep_space] = PieceEncoder(path, keep_space)
     return cache[path, keep_space]
 
 
 # --- file format -----------------------------------------------------------------------------------------------------
-# One zstandard frame a document, holding its ids as little-endian uint32; then a skippable frame with the doc_ids (int64);
-# then the seek table of zstandard's public seekable format: a skippable frame of (compressed size, decompressed size,
+# One zstandard frame a document, holding its ids as little-endian uint32; then a skippable frame with the number of leading
+# documents that have no doc_id and the doc_ids (int64, 0 for those); then the seek table of zstandard's public seekable format: a skippable frame of (compressed size, decompressed size,
 # checksum: low 32 bits of XXH64) for each frame, the number of frames, a descriptor byte and a magic number.
 
 #: Fixed values of zstandard's frame and seekable formats.
@@ -161,23 +183,24 @@ def _make_folder(path: str) -> None:
         store.create_dir(inner, recursive=True)
 
 
-def write_file(path: str, documents: Iterator[tuple[int, bytes]], level: int = 1) -> tuple[int, int, int]:
-    """Write (doc_id, ids) pairs in the order given; returns the number of documents, ids and bytes."""
+def write_file(path: str, documents: Iterator[tuple[int | None, bytes]], level: int = 1) -> tuple[int, int, int]:
+    """Write (doc_id, ids) pairs in the order given, null doc_ids first; returns the number of documents, ids and bytes."""
     import xxhash
     import zstandard
 
     press = zstandard.ZstdCompressor(level=level, write_content_size=True)
     temporary = f"{path}.{os.getpid()}-{os.urandom(4).hex()}.tmp"
-    doc_ids, entries, n_ids, size = [], [], 0, 0
+    doc_ids, entries, n_null, n_ids, size = [], [], 0, 0, 0
     with _open(temporary, "wb") as out:
         for doc_id, raw in documents:
             frame = press.compress(raw)
             out.write(frame)
-            doc_ids.append(doc_id)
+            n_null += doc_id is None
+            doc_ids.append(doc_id or 0)
             entries.append(struct.pack("<III", len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
             n_ids += len(raw) // 4
             size += len(frame)
-        names = np.array(doc_ids, dtype="<i8").tobytes()
+        names = np.array([n_null, *doc_ids], dtype="<i8").tobytes()
         table = b"".join(entries) + struct.pack("<IBI", len(entries), HAS_CHECKSUM, SEEKABLE_MAGIC)
         tail = struct.pack("<II", SKIPPABLE_IDS, len(names)) + names + struct.pack("<II", SKIPPABLE_SEEK, len(table)) + table
         out.write(tail)
@@ -197,10 +220,10 @@ class TokenFile:
         if magic != SEEKABLE_MAGIC or descriptor != HAS_CHECKSUM:
             raise ValueError(f"{path} has no seek table")
         tail = 12 * n + 9
-        self.f.seek(end - tail - 8 - 8 * n)
-        raw = self.f.read(8 * n + 8 + tail)
-        self.doc_ids = np.frombuffer(raw, dtype="<i8", count=n)
-        entries = np.frombuffer(raw, dtype="<u4", count=3 * n, offset=8 * n + 8).reshape(n, 3)
+        self.f.seek(end - tail - 16 - 8 * n)
+        raw = self.f.read(8 * n + 16 + tail)
+        self.n_null, self.doc_ids = struct.unpack("<q", raw[:8])[0], np.frombuffer(raw, dtype="<i8", count=n, offset=8)
+        entries = np.frombuffer(raw, dtype="<u4", count=3 * n, offset=8 * n + 16).reshape(n, 3)
         self.sizes, self.lengths, self.sums = entries[:, 0].astype(np.int64), entries[:, 1], entries[:, 2]
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
 
@@ -224,12 +247,13 @@ class TokenFile:
 # --- jobs ------------------------------------------------------------------------------------------------------------
 
 
-def encoded(texts: list, path: str, keep_space: bool, end_id: int) -> list[bytes]:
-    end = struct.pack("<I", end_id)
-    return [x + end for x in encoder(path, keep_space).encode(["" if t is None or t != t else t for t in texts])]
+def encoded(texts: list, path: str, keep_space: bool, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text (null: none) and the end id."""
+    end = np.array([end_id], dtype="<u4")
+    return (np.concatenate([x, end]) for x in encoder(path, keep_space).encode(["" if t is None or t != t else t for t in texts]))
 
 
-def blocks(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+def blocks(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[pd.DataFrame]:
     """Batches in slices of a few rows, so that what is made of them stays small."""
     for pdf in batches:
         for at in range(0, len(pdf), rows):
@@ -240,9 +264,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     """Encode all texts and write them in ascending doc_id order as files of one range of ids each.
 
     Returns the manifest: path, part (files in order), n_docs, n_tokens, start (ids in all files before), one row a file.
-    A task streams its documents into its file and holds one at a time; a repeated task writes the same bytes again and
-    renames them into place. Null texts are empty and hold the end id only; rows that repeat a doc_id are written each.
-    An empty table gives an empty manifest. Other columns are not looked at.
+    A task streams its documents into its file and holds one block at a time; a repeated task writes the same bytes again and
+    renames them into place. Null texts are empty and hold the end id only; rows that repeat a doc_id are written each, in the
+    order of their texts; rows with a null doc_id are written first. An empty table gives an empty manifest. Other columns are
+    not looked at.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token_files")
@@ -251,7 +276,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}.tok.zst"
-        pairs = (pair for pdf in blocks(batches) for pair in zip(pdf["doc_id"].tolist(), encoded(pdf["text"].tolist(), tokenizer, keep_space, end_id)))
+        pairs = ((None if d is pd.NA else d, x.tobytes()) for pdf in blocks(batches)
+                 for d, x in zip(pdf["doc_id"].astype("Int64"), encoded(pdf["text"].tolist(), tokenizer, keep_space, end_id)))
         first = next(pairs, None)
         if first is None:
             return
@@ -259,7 +285,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         yield pd.DataFrame({"path": [path], "part": [part], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_bytes": [size]})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").filter("doc_id is not null").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = "path string, part int, n_docs long, n_tokens long, n_bytes long"
     rows, start = [], 0
     for r in sorted(ordered.mapInPandas(write, schema).collect(), key=lambda r: r.part):  # one short row a file
@@ -278,7 +304,9 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 for at in range(0, len(f), 1024):
                     raw = [f.ids_bytes(i) for i in range(at, min(at + 1024, len(f)))]
                     n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                    out = {"doc_id": f.doc_ids[at : at + len(raw)], "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(x) for x in raw]}
+                    ids = pd.array(f.doc_ids[at : at + len(raw)], dtype="Int64")
+                    ids[: max(0, f.n_null - at)] = pd.NA
+                    out = {"doc_id": ids, "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(x) for x in raw]}
                     yield pd.DataFrame(out | ({"ids": raw} if with_ids else {}))
                     start += int(n.sum())
                 f.close()

@@ -105,7 +105,25 @@ def test_pieces_encode_like_whole_texts(name, keep):
     e = tokens.PieceEncoder(public_tokenizers.path(name), keep)
     texts = [t or "" for _, t in AWKWARD] + ["a  b", " lead", "trail ", "it's we'll  I'D \n x", "x \ty", "A\u0301 e\u0301 \u03a3\u03c3\u03c2 \u03a3", "<|endoftext|> a", "tab\t b \r\n c", "3 4.5,6 %%% $$"]
     for t, raw in zip(texts, e.encode(texts)):
-        assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert raw.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name,keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_encode_like_a_fresh_tokenizer(name, keep):
+    r = np.random.default_rng(4)
+    signs = list("abcXYZ\u00e9\u00c9\u0130\u0131\u017f\u212a\u0301\u4e2d\u0e33 \n\n  .,'\u2019!&%0123\t\r\x00\x85\xa0\u2028\u3000\U0001f600") + [" ", "'s", "<|endoftext|>", "<|startoftext|>", " and ", "The "]
+    texts = ["".join(signs[i] for i in r.integers(0, len(signs), r.integers(1, 30))) for _ in range(4000)] + ["\u0130stanbul x", "x <|endoftext|> y", "a\u0130b. \u0130,"]
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    for t, ids in zip(texts, tokens.PieceEncoder(public_tokenizers.path(name), keep).encode(texts)):
+        assert ids.tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_piece_cache_holds_few_bytes():
+    cache = common.TwoGenerations(10_000)
+    for i in range(1000):
+        cache.put(f"k{i}", b"12345678")
+    assert cache.get("k999") == b"12345678" and cache.get("k1") is None
+    assert len(cache.young) + len(cache.old) <= 2 * 10_000 // 150
 
 
 def test_token_file_random_access(tmp_path):
@@ -132,6 +150,17 @@ def test_token_files_awkward(awkward, nothing):
     assert tokens.read_token_files(tokens.write_token_files(nothing, path)).count() == 0
 
 
+def test_token_files_null_and_repeated_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, "no id b"), (3, "three"), (None, "no id a"), (0, "zero"), (-5, None), (3, "drei")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    t = Tokenizer.from_file(path)
+    want = [(d, t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    for _ in range(2):
+        got = tokens.read_token_files(tokens.write_token_files(docs.repartition(3), path), with_ids=True).orderBy("start").collect()
+        assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == want
+
+
 # --- 3 ---
 
 def test_decontamination(spark):
@@ -405,9 +434,19 @@ def test_shards_with_a_hot_text(spark):
 def test_shards_awkward(awkward, nothing):
     got = sharding.histogram_shards(awkward.unionByName(awkward), 8).toPandas()
     assert len(got) == 2 * len(AWKWARD)
+    whole = sharding.shard_documents(awkward, 8).toPandas()
+    assert set(awkward.columns) <= set(whole.columns) and whole.set_index("doc_id").text[4] == "one"
     assert sharding.histogram_shards(nothing, 8).count() == 0
 
 
+def test_shards_carry_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None if i % 4 == 0 else i, f"t{i % 7}", i, "x") for i in range(300)], "doc_id long, text string, size long, slot string")
+    got = sharding.shard_documents(docs, 8, parts_per_shard=5).toPandas()
+    assert len(got) == 300 and got.doc_id.isna().sum() == 75 and (got["size"] == 3).all()
+    assert (got.groupby("shard").slot.apply(sorted).apply(lambda x: x == list(range(len(x))))).all()
+    assert (got.text_crc32 == [zlib.crc32(t.encode()) for t in got.text]).all()
+
+
 # --- 9 ---
 
 def test_languages(spark, documents):
@@ -420,6 +459,15 @@ def test_languages(spark, documents):
     assert got.score.between(0, 1).all()
 
 
+def test_languages_of_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "the same text here", "en"), (None, "the same text here", "en"), (3, "la misma cosa aqu\u00ed", "es"), (3, "la misma cosa aqu\u00ed", "es")], "doc_id long, text string, lang string")
+    got = language.identify_languages(docs).toPandas()
+    assert len(got) == 4 and got.doc_id.isna().sum() == 2 and not got.held_out[got.doc_id.isna()].any()
+    model = language.train_language_model(docs, language.F.lit(True))
+    kept = language.known_languages(docs.withColumn("_x", language.F.array("lang")), model)
+    assert kept.columns == ["doc_id", "text", "lang", "_x"] and kept.count() <= 4
+
+
 def test_languages_awkward(awkward, nothing):
     got = language.identify_languages(awkward).toPandas().set_index("doc_id")
     assert len(got) == len(AWKWARD) and (got.lang_pred[[1, 2, 3]] == "und").all() and (got.score[[1, 2, 3]] == 0).all()
