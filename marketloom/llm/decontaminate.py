@@ -11,7 +11,7 @@ from marketloom.llm.common import materialise
 
 #: Unit words that become one typed slot after a number.
 UNITS = "mm cm m km mg g kg t ml l s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles inch inches foot feet pound pounds dollar dollars euro euros cent cents percent degree degrees".split()
-#: Words of a window, and how many windows in a row mark a document (an item with fewer windows must match whole).
+#: Words of a window, and how many windows at one distance mark a document (an item with fewer windows must match whole).
 WINDOW, RUN = 8, 3
 #: Benchmark windows up to this number are broadcast (24 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
@@ -65,34 +65,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     document, and for no two values of one type the same, so a question with changed numbers and names is caught and an
     accidental template is not. Windows with the same words count without that check; a chain whose slots differ counts by these
     alone (and n_windows is their number). Items shorter than WINDOW match as one window of their own length. A window of slots
-    alone never counts.
+    alone never counts. Items are also looked for as they read all in lower case and all in capitals, where names cannot be told
+    from words and so have to be the same.
 
     Null and empty texts hold nothing; repeated rows count once; an empty benchmark finds nothing. Rows whose id is null
     are left out. Other columns are not looked at.
     """
     own_docs, own_items = docs.select(doc_id, "text").filter(F.col(doc_id).isNotNull()), benchmark.select(item_id, "text").filter(F.col(item_id).isNotNull())
     hashes = F.transform("k", lambda x: F.xxhash64(x))
-    items = _tokens(own_items.filter("text is not null"), item_id).filter(F.size("raw") > 0).dropDuplicates(["id"])
-    items = materialise(items.select("id", _words("raw").alias("w"), _templates("raw").alias("k")), "items")
+    own_items = own_items.filter("text is not null").dropDuplicates([item_id])
+    forms = [_tokens(own_items.withColumn("text", form("text")), item_id).filter(F.size("raw") > 0).select("id", F.lit(i).alias("form"), _words("raw").alias("w"), _templates("raw").alias("k"))
+             for i, form in enumerate((F.col, F.lower, F.upper))]
+    # Forms with the same templates are one.
+    items = reduce(DataFrame.unionByName, forms).groupBy("id", "k").agg(F.min(F.struct("form", "w")).alias("x")).select("id", "x.form", "x.w", "k")
+    items = materialise(items, "items")
     plain = lambda c: F.size(F.filter(c, lambda x: ~x.isin("#", "@", "%")))
-    held = items.select("id", "k", hashes.alias("kh"), F.least(F.size("k"), F.lit(WINDOW)).alias("n"))
+    held = items.select("id", "form", "k", hashes.alias("kh"), F.least(F.size("k"), F.lit(WINDOW)).alias("n"))
     lengths = sorted(r.n for r in held.select("n").distinct().collect()) or [WINDOW]  # at most WINDOW numbers
-    item_windows = _windows(held, lengths, "id", "k", F.col("n").alias("own")).filter("n = own").filter(plain(F.slice("k", F.col("pos") + 1, F.col("n"))) > 0)
-    item_windows = materialise(item_windows.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", "n"), "item_windows")
+    item_windows = _windows(held, lengths, "id", "form", "k", F.col("n").alias("own")).filter("n = own").filter(plain(F.slice("k", F.col("pos") + 1, F.col("n"))) > 0)
+    item_windows = materialise(item_windows.select(F.col("id").alias("item"), "form", F.col("pos").alias("item_pos"), "h", "n"), "item_windows")
     n_windows = item_windows.count()
     tokens = _tokens(own_docs.filter("text is not null"), doc_id)
     at = _windows(tokens.select("id", _templates("raw").alias("k")).select("id", hashes.alias("kh")), lengths, "id").drop("n")
     small = F.broadcast(item_windows) if n_windows <= BROADCAST_WINDOWS else item_windows
-    hits = at.join(small, "h").select("id", "item", "item_pos", "pos", "n", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = at.join(small, "h").select("id", "item", "form", "item_pos", "pos", "n", (F.col("pos") - F.col("item_pos")).alias("shift"))
     hits = materialise(hits.distinct(), "template_hits")
 
-    of_item = item_windows.groupBy("item").agg(F.count("*").alias("n_item"))
-    chains = (hits.groupBy("id", "item", "shift").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("n").alias("n"))
-              .join(of_item, "item").withColumn("need", F.least(F.lit(RUN), F.greatest(F.col("n_item") - 1, F.lit(1)))).filter("n_windows >= need"))
+    of_item = item_windows.groupBy("item", "form").agg(F.count("*").alias("n_item"))
+    chains = (hits.groupBy("id", "item", "form", "shift").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("n").alias("n"))
+              .join(of_item, ["item", "form"]).withColumn("need", F.least(F.lit(RUN), F.greatest(F.col("n_item") - 1, F.lit(1)))).filter("n_windows >= need"))
     # Words of both sides, for the few documents that are left; slots must be replaced one for one.
     held_docs = own_docs.join(chains.select(F.col("id").alias(doc_id)).distinct(), doc_id, "left_semi")
     words = _tokens(held_docs, doc_id).select("id", _words("raw").alias("doc_w"))
-    sides = chains.join(words, "id").join(items.select(F.col("id").alias("item"), F.col("w").alias("item_w"), F.col("k").alias("item_k")), "item")
+    sides = chains.join(words, "id").join(items.select(F.col("id").alias("item"), "form", F.col("w").alias("item_w"), F.col("k").alias("item_k")), ["item", "form"])
     span = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("n") - 1))))
     same = F.filter("at", lambda p: F.slice("item_w", p + 1, F.col("n")) == F.slice("doc_w", p + F.col("shift") + 1, F.col("n")))
     slots = F.filter(F.transform(span, lambda i: F.struct(F.get("item_k", i).alias("type"), F.get("item_w", i).alias("a"), F.get("doc_w", i + F.col("shift")).alias("b"))), lambda s: s["type"].isin("#", "@", "%"))

@@ -193,6 +193,16 @@ def test_decontamination_checks_slots_on_windows_only(spark):
     assert got.n_windows[1] < 39 - 8
 
 
+def test_decontamination_is_blind_to_case(spark):
+    text = "A train leaves London at 9 hours and travels 300 km to reach Paris, Texas, before 12 hours pass in New York."
+    items = spark.createDataFrame([(1, text, "x")], "item_id long, text string, form string")
+    docs = spark.createDataFrame([(1, "so: " + text.lower()), (2, text.upper()), (3, "then " + text.replace("London", "Madrid").replace("9", "7")), (4, text.lower().replace("london", "madrid").replace("paris", "rome").replace("texas", "maine").replace("train", "bus")),
+                                  (None, text), (5, text), (5, text), (6, "word " * 30_000 + text)], "doc_id long, text string")
+    got = decontaminate.find_contamination(docs.withColumn("h", decontaminate.F.lit("clash")), items).toPandas()
+    assert sorted(got.doc_id) == [1, 2, 3, 5, 6] and not got.set_index("doc_id").verbatim[3]
+    assert decontaminate.mark_contamination(docs, items).count() == 8
+
+
 def test_contained_items_are_found(spark, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
     held = {d for d, t in zip(documents.doc_id, documents.text) if any(i in (t or "") for i in items.text)}
