@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import materialise
+
 WINDOW = 3
 
 
@@ -42,9 +44,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
     at = docs.select("doc_id", lines.alias("l")).filter(F.size("l") >= window)
     spans = F.transform(F.sequence(F.lit(0), F.size("l") - window), lambda i: F.array_join(F.slice("l", i + 1, F.lit(window)), "\n"))
-    each = at.select("doc_id", F.posexplode(spans).alias("pos", "w")).filter(F.length(F.trim(F.translate("w", "\n", ""))) > 0)
-    each = each.select("doc_id", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), F.col("w")).alias("h2"))
+    hashed = F.transform(spans, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"), (F.length(F.trim(F.translate(w, "\n", ""))) > 0).alias("visible")))
+    each = at.select("doc_id", F.posexplode(hashed).alias("pos", "w")).filter("w.visible").select("doc_id", "pos", "w.h1", "w.h2")
+    each = materialise(each, "line_windows")
     first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = materialise(first, "first_lines")  # so that the join may split the rows of a window that very many documents hold
     later = each.join(first, ["h1", "h2"]).filter(F.struct("doc_id", "pos") > F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
 
