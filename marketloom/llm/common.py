@@ -66,17 +66,27 @@ def worker_cache(name: str) -> dict:
 
 
 class TwoGenerations:
-    """A cache of bytes by string that holds about 2 * limit bytes: when the young half is full it becomes the old half."""
+    """A cache of bytes by string that holds about 2 * limit bytes: when the young half is full it becomes the old half.
 
-    #: About what a key, a value and their place in the table take besides their contents.
-    EACH = 150
+    A key is kept from its second time on (told by a few bits of its hash), so that the many words met once take no place.
+    """
+
+    #: About what a key, a value and their place in the table take besides their contents; places of the bits of keys met once.
+    EACH, MET = 200, 1 << 20
 
     def __init__(self, limit: int):
-        self.limit, self.young, self.old, self.held = limit, {}, {}, 0
+        self.limit, self.young, self.old, self.held, self.met = limit, {}, {}, 0, bytearray(self.MET)
+
+    def offer(self, key: str, value: bytes) -> None:
+        place = hash(key) & (self.MET - 1)
+        if self.met[place]:
+            self.put(key, value)
+        else:
+            self.met[place] = 1
 
     def put(self, key: str, value: bytes) -> None:
         if self.held >= self.limit:
-            self.old, self.young, self.held = self.young, {}, 0
+            self.old, self.young, self.held, self.met = self.young, {}, 0, bytearray(self.MET)
         self.young[key] = value
         self.held += len(key) + len(value) + self.EACH
 
@@ -88,3 +98,7 @@ class TwoGenerations:
             if value is not None:
                 self.put(key, value)
         return value
+
+    def shrink(self) -> None:
+        """At the end of a task: the old half goes."""
+        self.old = {}

@@ -227,6 +227,7 @@ def known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
                 some = batch.slice(i, 512)
                 p, known = probabilities(m, some.column(at).to_pylist())
                 yield some.filter(pa.array(known & (p.max(axis=1, initial=0.0) >= least)))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(accepted, docs.schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import materialise, worker_cache
-from marketloom.llm.tokens import blocks, encoded
+from marketloom.llm.tokens import blocks, encoded, rest
 
 #: Hashed vector, its projection, and bits of each projected dimension on the curve.
 BUCKETS, DIMENSIONS, BITS = 4096, 4, 10
@@ -87,6 +87,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
             # Two bytes an id where the vocabulary allows; the first byte says which.
             small = [(b"\x02" + x.astype("<u2").tobytes()) if not len(x) or x.max() < 65536 else b"\x04" + x.tobytes() for x in ids]
             yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "key": curve_keys(ids), "n": [len(x) for x in ids], "ids": small})
+        rest(tokenizer, False)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(keyed, "doc_id long, key long, n long, ids binary"), "tokens")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import TwoGenerations, scratch_path, worker_cache
 
 #: Bytes of distinct pieces and their ids kept in each Python worker, twice; characters of the texts encoded together.
-CACHED_BYTES, BLOCK_CHARS = 64_000_000, 4_000_000
+CACHED_BYTES, BLOCK_CHARS = 24_000_000, 2_000_000
 
 
 #: White space beside white space or at an end: there a cut could change pieces that keep their space.
@@ -82,7 +82,7 @@ class PieceEncoder:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
-        find, learn, rest = self.cache.get, self.cache.put, []
+        find, learn, rest = self.cache.get, self.cache.offer, []
         out = list(map(find, pieces))
         for i in [i for i, x in enumerate(out) if x is None]:
             p = pieces[i]
@@ -253,7 +253,13 @@ def encoded(texts: list, path: str, keep_space: bool, end_id: int) -> Iterator[n
     return (np.concatenate([x, end]) for x in encoder(path, keep_space).encode(["" if t is None or t != t else t for t in texts]))
 
 
-def blocks(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[pd.DataFrame]:
+def rest(path: str, keep_space: bool) -> None:
+    """At the end of a task: what the next one may do without goes, so that a waiting worker is small."""
+    encoder(path, keep_space).cache.shrink()
+    pa.default_memory_pool().release_unused()
+
+
+def blocks(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
     """Batches in slices of a few rows, so that what is made of them stays small."""
     for pdf in batches:
         for at in range(0, len(pdf), rows):
@@ -282,6 +288,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         if first is None:
             return
         n_docs, n_tokens, size = write_file(path, (x for some in ([first], pairs) for x in some))
+        rest(tokenizer, keep_space)
         yield pd.DataFrame({"path": [path], "part": [part], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_bytes": [size]})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
