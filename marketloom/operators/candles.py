@@ -50,7 +50,7 @@ def candle_gap(df: DataFrame, rare: float = 0.05) -> DataFrame:
 def body_size_class(df: DataFrame, n: int = 30, upper: float = 1.0, lower: float = -0.5) -> DataFrame:
     """shadow_trend and entity_trend: u long, d short, n between, against the mean of the last n candles."""
     df = candle_shape(df) if "body" not in df.columns else df
-    rel = {c: div(F.col(c) - rolling(c, n, full=False), rolling(c, n, full=False)) for c in ("body", "shadow")}
+    rel = {c: div(F.col(c) - rolling(c, n), rolling(c, n)) for c in ("body", "shadow")}
     df = df.withColumns({f"{c}_diff": x for c, x in rel.items()})
     df = df.withColumn("shadow_trend", F.when(F.col("shadow_diff") <= lower, "d").when(F.col("shadow_diff") >= upper, "u").otherwise("n"))
     long_body = (F.col("body_diff") >= 1.5 * upper) | ((F.col("body_diff") >= upper) & (F.col("shadow_trend") == "u") & (F.col("body_pct") >= 0.8))

@@ -80,7 +80,7 @@ def nvi(df: DataFrame) -> DataFrame:
 
 
 def obv(df: DataFrame) -> DataFrame:
-    step = F.when(_c("Close") > lag("Close"), _c("Volume")).when(_c("Close") < lag("Close"), -_c("Volume")).otherwise(0.0)
+    step = F.when(_c("Close") > lag("Close"), _c("Volume")).when(_c("Close") < lag("Close"), -_c("Volume"))  # null until the first move
     return df.withColumn("_s", step).withColumn("obv", F.sum("_s").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
@@ -98,7 +98,8 @@ def mfi(df: DataFrame, n: int = 14, bounds: tuple = (20, 80)) -> DataFrame:
     out = df.withColumn("_tp", (_c("High") + _c("Low") + _c("Close")) / 3)
     out = out.withColumn("_f", _c("_tp") * _c("Volume") * F.coalesce(F.signum(_c("_tp") - lag("_tp")), F.lit(0.0)))
     out = out.withColumns({"_up": rolling(F.greatest("_f", F.lit(0.0)), n, "sum"), "_dn": rolling(F.greatest(-_c("_f"), F.lit(0.0)), n, "sum")})
-    out = out.withColumn("mfi", F.lit(100) - div(F.lit(100.0), 1 + div(_c("_up"), _c("_dn")))).drop("_tp", "_f", "_up", "_dn")
+    none = (_c("_dn") == 0) & (_c("_up") > 0)
+    out = out.withColumn("mfi", F.when(none, 100.0).otherwise(F.lit(100) - div(F.lit(100.0), 1 + div(_c("_up"), _c("_dn"))))).drop("_tp", "_f", "_up", "_dn")
     return out.withColumn("mfi_signal", boundary(_c("mfi"), _c("mfi"), bounds[1], bounds[0]))
 
 
@@ -123,7 +124,7 @@ def williams_r(df: DataFrame, n: int = 14, bounds: tuple = (-20, -80)) -> DataFr
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2) -> DataFrame:
-    out = df.withColumns({"mavg": rolling("Close", n, full=False), "mstd": rolling("Close", n, "pstd", False)})
+    out = df.withColumns({"mavg": rolling("Close", n), "mstd": rolling("Close", n, "pstd")})
     return out.withColumns({"bb_high": _c("mavg") + _c("mstd") * k, "bb_low": _c("mavg") - _c("mstd") * k})
 
 

@@ -11,8 +11,8 @@ from marketloom.panel import div, lag
 
 
 def line_place(df: DataFrame, fast: str, slow: str, name: str) -> DataFrame:
-    """<name>_distance (fast - slow, against Close) and <name>_place of the body against the band between two lines; needs candle_shape."""
-    df = df.withColumns({f"{name}_distance": div(F.col(fast) - F.col(slow), F.col("Close")), "_hi": F.greatest(fast, slow), "_lo": F.least(fast, slow)})
+    """<name>_distance (fast - slow, against slow) and <name>_place of the body against the band between two lines; needs candle_shape."""
+    df = df.withColumns({f"{name}_distance": div(F.col(fast) - F.col(slow), F.col(slow)), "_hi": F.greatest(fast, slow), "_lo": F.least(fast, slow)})
     place = rule_value([("body_bottom >= _hi", "up"), ("body_top > _hi AND body_bottom < _hi AND body_bottom >= _lo", "mid_up"), ("body_top <= _hi AND body_bottom >= _lo", "mid"),
                         ("body_bottom < _lo AND body_top <= _hi AND body_top > _lo", "mid_down"), ("body_top <= _lo", "down"), ("body_top > _hi AND body_bottom < _lo", "out")], "")
     both = F.col(fast).isNotNull() & F.col(slow).isNotNull()

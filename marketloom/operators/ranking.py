@@ -103,7 +103,7 @@ def ic_by_date(df: DataFrame, pred: str, true: str, method: str = "spearman", le
     if method == "spearman":
         kept = kept.withColumns({"_rp": average_rank("_p", ["Date"]), "_rt": average_rank("_t", ["Date"])}).select("Date", F.col("_rp").alias("_p"), F.col("_rt").alias("_t"))
     out = kept.groupBy("Date").agg(F.count("*").alias("n"), F.corr("_p", "_t").alias("_ic"), F.min("_p").alias("_a"), F.max("_p").alias("_b"), F.min("_t").alias("_c"), F.max("_t").alias("_d")).filter(F.col("n") >= least)
-    return out.select("Date", "n", F.when((F.col("_a") < F.col("_b")) & (F.col("_c") < F.col("_d")), F.col("_ic")).alias("ic"))
+    return out.select("Date", "n", F.when((F.col("_a") < F.col("_b")) & (F.col("_c") < F.col("_d")), F.round("_ic", 12)).alias("ic"))
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:

@@ -31,7 +31,10 @@ def mark_positions(positions: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def backtest(signals: DataFrame, cash: float = 10_000.0, stop_profit: float | None = None, stop_loss: float | None = None, fee: float = 3.0) -> DataFrame:
-    """Per symbol: b buys what the cash less fee pays, s sells all less fee, a holding return beyond a stop sells too.
+    """Per symbol: b buys what the cash less fee pays, s sells all less fee, a holding return at or beyond a stop sells too.
+
+    The holding return counts from the last b, filled or not. A sale that brings no more than the fee is not made; the stock then
+    counts as bought for nothing, so that any stop for profit sells it.
 
     signals: symbol, Date, Close, signal (b, s, n). Adds money, stock and value for every row. The recursion over one symbol's
     rows runs in one pass of plain numbers.
@@ -43,15 +46,17 @@ def backtest(signals: DataFrame, cash: float = 10_000.0, stop_profit: float | No
         money, stock, paid, rows = cash, 0, 0.0, []
         for price, signal in zip(p["Close"], p["signal"]):
             if stock:
-                held = price / paid - 1
-                if (stop_profit is not None and held > stop_profit) or (stop_loss is not None and held < stop_loss):
+                held = (price - paid) / paid if paid else math.inf
+                if (stop_profit is not None and held >= stop_profit) or (stop_loss is not None and held <= stop_loss):
                     signal = "s"
-            if signal == "b" and money > fee:
-                n = math.floor((money - fee) / price)
-                if n > 0:
-                    money, stock, paid = money - n * price - fee, stock + n, price
-            elif signal == "s" and stock:
-                money, stock = money + stock * price - fee, 0
+            if signal == "b":
+                n, paid = max(math.floor((money - fee) / price), 0), price
+                if n:
+                    money, stock = money - n * price - fee, stock + n
+            elif signal == "s":
+                paid = 0.0
+                if stock * price > fee:
+                    money, stock = money + stock * price - fee, 0
             rows.append((signal, money, stock, money + stock * price))
         return p[["symbol", "Date", "Close"]].assign(**dict(zip(("signal", "money", "stock", "value"), map(list, zip(*rows)))))
 

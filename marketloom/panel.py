@@ -70,9 +70,10 @@ def adjust_ohlc(df: DataFrame) -> DataFrame:
 
 
 def split_adjust(df: DataFrame, older_only: bool = False) -> DataFrame:
-    """Scale AdjClose of rows up to a split that prices show: a day jump of 1.95 times or more, or to 0.45 or less, on a day with
-    Split other than 1 (or the day before one). The nearest later factor holds; factors do not compound."""
-    jump = div(F.col("Close"), lag("Close"))
+    """Scale AdjClose of rows up to a split that prices show: AdjClose of the row before is 1.95 times the row's or more, or 0.45
+    times or less, on a day with Split other than 1 (or the day before one). The nearest later factor holds; factors do not
+    compound."""
+    jump = div(lag("AdjClose"), F.col("AdjClose"))
     nxt = F.lead("Split").over(by_symbol())
     factor = F.when((jump >= 1.95) | (jump <= 0.45), F.when(F.col("Split") != 1, div(F.lit(1.0), F.col("Split"))).when(nxt != 1, div(F.lit(1.0), nxt)))
     out = df.withColumn("_f", factor)
@@ -81,13 +82,15 @@ def split_adjust(df: DataFrame, older_only: bool = False) -> DataFrame:
 
 
 def clean_bars(df: DataFrame) -> DataFrame:
-    """Missing Split and Dividend become 1 and 0, rows with nulls go; a symbol whose newest row holds a zero loses its last row."""
-    kept = df.withColumns({"Split": F.coalesce("Split", F.lit(1.0)), "Dividend": F.coalesce("Dividend", F.lit(0.0))}).dropna()
+    """Missing Split and Dividend become 1 and 0, rows with nulls go; a symbol whose newest row, as it was given, holds a zero loses
+    the last row that is left."""
     zero = F.lit(False)
     for c in ("Open", "High", "Low", "Close", "AdjClose", "Volume"):
-        zero = zero | (F.col(c) == 0)
-    kept = kept.withColumn("_newest", F.max("Date").over(Window.partitionBy("symbol")))
-    return kept.filter(~((F.col("Date") == F.col("_newest")) & zero)).drop("_newest")
+        zero = zero | F.coalesce(F.col(c) == 0, F.lit(False))
+    own = Window.partitionBy("symbol")
+    marked = df.withColumn("_newest", F.max("Date").over(own)).withColumn("_zero", F.max((F.col("Date") == F.col("_newest")) & zero).over(own))
+    kept = marked.withColumns({"Split": F.coalesce("Split", F.lit(1.0)), "Dividend": F.coalesce("Dividend", F.lit(0.0))}).dropna()
+    return kept.withColumn("_last", F.max("Date").over(own)).filter(~(F.col("_zero") & (F.col("Date") == F.col("_last")))).drop("_newest", "_zero", "_last")
 
 
 def resample(df: DataFrame, by: str = "week", literal: bool = False) -> DataFrame:

@@ -86,7 +86,8 @@ def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 R._register("a11_flatten_news", _news, "SELECT CAST(o_orderkey AS VARCHAR) AS id, any_value(o_orderstatus) AS title, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS pub_date, any_value(o_orderpriority) AS desk, 'x/' || o_orderkey AS url, any_value(o_custkey) AS word_count FROM orders GROUP BY o_orderkey")
 on_bars("p4_clean_bars", lambda b: panel.clean_bars(b.withColumns({"AdjClose": F.when(F.day("Date") != 9, F.col("Close")), "Split": F.lit(None).cast("double"), "Dividend": F.lit(None).cast("double"), "Volume": F.when(F.col("Volume") % 2 == 1, 0.0).otherwise(F.col("Volume"))})), d("Close", "Split"),
-        f'''WITH k AS (SELECT *, max("Date") OVER {ALL} AS z FROM bars WHERE day("Date") <> 9) SELECT *, 1.0 AS Split FROM k WHERE NOT ("Date" = z AND {V} % 2 = 1)''', symbol="p_brand")
+        f'''WITH n AS (SELECT *, max("Date") OVER {ALL} AS z FROM bars), f AS (SELECT *, max(CASE WHEN "Date" = z AND {V} % 2 = 1 THEN 1 ELSE 0 END) OVER {ALL} AS bad FROM n),
+            k AS (SELECT *, max("Date") OVER {ALL} AS last FROM f WHERE day("Date") <> 9) SELECT *, 1.0 AS Split FROM k WHERE NOT (bad = 1 AND "Date" = last)''', symbol="p_brand")
 
 
 # --- portfolios ---
@@ -152,7 +153,7 @@ on_bars("d2_candle_gap", candles.candle_gap, d("gap", "gap_color", "gap_top", "g
             z AS (SELECT *, CASE gap WHEN 2 THEN {L} WHEN -2 THEN pl END AS t, CASE gap WHEN 2 THEN ph WHEN -2 THEN {H} END AS b, CASE gap WHEN 2 THEN 1 WHEN -2 THEN -1 END AS k FROM y)
             SELECT *, coalesce({_FILL("k")}, 0) AS gap_color, {_FILL("t")} AS gap_top, {_FILL("b")} AS gap_bottom, ({_FILL("t")} - {_FILL("b")}) * coalesce({_FILL("k")}, 0) AS gap_distance FROM z''', symbol="l_suppkey")
 on_bars("d4_body_size", lambda b: candles.long_shadow(candles.body_size_class(b)), d("body_diff", "shadow_diff") | dict.fromkeys(("shadow_trend", "entity_trend", "long_shadow"), "s"),
-        f'''WITH s AS (SELECT *, {H} - {L} AS sh, abs({C} - {O}) AS bo FROM bars), t AS (SELECT *, bo / nullif(sh, 0) AS pct, ({H} - greatest({O}, {C})) / nullif(sh, 0) AS us, (least({O}, {C}) - {L}) / nullif(sh, 0) AS ls, bo / nullif(avg(bo) OVER {R.R(30)}, 0) - 1 AS body_diff, sh / nullif(avg(sh) OVER {R.R(30)}, 0) - 1 AS shadow_diff FROM s),
+        f'''WITH s AS (SELECT *, {H} - {L} AS sh, abs({C} - {O}) AS bo FROM bars), t AS (SELECT *, bo / nullif(sh, 0) AS pct, ({H} - greatest({O}, {C})) / nullif(sh, 0) AS us, (least({O}, {C}) - {L}) / nullif(sh, 0) AS ls, bo / nullif({R.roll("avg", "bo", 30)}, 0) - 1 AS body_diff, sh / nullif({R.roll("avg", "sh", 30)}, 0) - 1 AS shadow_diff FROM s),
             u AS (SELECT *, CASE WHEN shadow_diff <= -0.5 THEN 'd' WHEN shadow_diff >= 1 THEN 'u' ELSE 'n' END AS shadow_trend FROM t)
             SELECT *, CASE WHEN body_diff <= -0.5 THEN 'd' WHEN body_diff >= 1.5 OR (body_diff >= 1 AND shadow_trend = 'u' AND pct >= 0.8) THEN 'u' ELSE 'n' END AS entity_trend, CASE WHEN shadow_diff > 0.25 AND ls > 0.5 THEN 'u' WHEN shadow_diff > 0.25 AND us > 0.5 THEN 'd' ELSE 'n' END AS long_shadow FROM u''')
 

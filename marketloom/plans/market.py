@@ -107,7 +107,7 @@ _POS = f"""SELECT *, s1 + s2 AS position_score, CASE s1 + s2 WHEN 2 THEN 'up' WH
   CASE WHEN m18 IS NULL THEN 'n' ELSE ['r', 'n', 'g'][CAST(sign(m3 - m6) AS INTEGER) + 2] || ['r', 'n', 'g'][CAST(sign(m9 - m18) AS INTEGER) + 2] END AS ki_distance FROM (
   SELECT *, {_side('bt', 'bb', 'm3', 'm6')} AS s1, {_side('bt', 'bb', 'm9', 'm18')} AS s2 FROM (SELECT *, greatest({O}, {C}) AS bt, least({O}, {C}) AS bb, CAST(sign({C} - {O}) AS INTEGER) AS k, {", ".join(f"{R.roll('avg', C, n)} AS m{n}" for n in (3, 6, 9, 18))} FROM bars))"""
 on_bars("d3_position_score", _positioned, {"position": "s", "position_score": "d"}, _POS, symbol="p_brand")
-_SHAPED = f"""SELECT *, bo / nullif(sh, 0) AS pct, ({H} - bt) / nullif(sh, 0) AS us, (bb - {L}) / nullif(sh, 0) AS ls, bo / nullif(avg(bo) OVER {R.R(30)}, 0) - 1 AS bd, sh / nullif(avg(sh) OVER {R.R(30)}, 0) - 1 AS sd FROM (SELECT *, {H} - {L} AS sh, abs({C} - {O}) AS bo FROM ({_POS}))"""
+_SHAPED = f"""SELECT *, bo / nullif(sh, 0) AS pct, ({H} - bt) / nullif(sh, 0) AS us, (bb - {L}) / nullif(sh, 0) AS ls, bo / nullif({R.roll("avg", "bo", 30)}, 0) - 1 AS bd, sh / nullif({R.roll("avg", "sh", 30)}, 0) - 1 AS sd FROM (SELECT *, {H} - {L} AS sh, abs({C} - {O}) AS bo FROM ({_POS}))"""
 _SIZED = f"SELECT *, CASE WHEN bd <= -0.5 THEN 'd' WHEN bd >= 1.5 OR (bd >= 1 AND sd >= 1 AND pct >= 0.8) THEN 'u' ELSE 'n' END AS size, CASE WHEN position = 'up' AND {H} = {R.roll('max', H, 10).replace('CASE', '(CASE', 1)}) THEN 'u' WHEN position = 'down' AND {L} = ({R.roll('min', L, 10)}) THEN 'd' ELSE 'n' END AS extreme FROM ({_SHAPED})"
 on_bars("d5_single_candle", lambda b: _patterns(b).withColumnRenamed("cross", "doji"), dict.fromkeys(("extreme", "doji", "meteor", "hammer", "belt"), "s"),
         f"""SELECT *, CASE WHEN form = 'met' AND extreme = 'u' THEN 'd' WHEN form = 'met' AND extreme = 'd' THEN 'u' ELSE 'n' END AS meteor, CASE WHEN form = 'ham' AND extreme = 'u' THEN 'd' WHEN form = 'ham' AND extreme = 'd' THEN 'u' ELSE 'n' END AS hammer,

@@ -110,15 +110,15 @@ on_bars("g10_latest_per_symbol", panel.latest_per_symbol, d("Close", "Volume"),
 def _split_fixture(b: DataFrame) -> DataFrame:
     """Prices halve from 1998-06-01 on; the split is written on that day's or the next bar."""
     after = F.col("Date") >= F.to_date(F.lit("1998-06-01"))
-    b = b.withColumns({c: F.when(after, F.col(c) / 50).otherwise(F.col(c)) for c in ("Open", "High", "Low", "Close")}).withColumn("AdjClose", F.col("Close"))
+    b = b.withColumns({c: F.when(after, F.col(c) / 2).otherwise(F.col(c)) for c in ("Open", "High", "Low", "Close")}).withColumn("AdjClose", F.col("Close"))
     first = F.min(F.when(after, F.col("Date"))).over(panel.whole())
-    return b.withColumn("Split", F.when(F.col("Date") == first, 50.0).otherwise(1.0))
+    return b.withColumn("Split", F.when(F.col("Date") == first, 2.0).otherwise(1.0))
 
 
 on_bars("p2_split_adjust", lambda b: panel.split_adjust(_split_fixture(b)), d("AdjClose"),
         f'''SELECT symbol, "Date", c * coalesce(first_value(f IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY "Date" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS AdjClose FROM (
-            SELECT *, CASE WHEN c / lag(c) OVER {W} >= 1.95 OR c / lag(c) OVER {W} <= 0.45 THEN CASE WHEN sp <> 1 THEN 1 / sp WHEN lead(sp) OVER {W} <> 1 THEN 1 / lead(sp) OVER {W} END END AS f FROM (
-            SELECT symbol, "Date", CASE WHEN "Date" >= DATE '1998-06-01' THEN "Close" / 50 ELSE "Close" END AS c, CASE WHEN "Date" = min(CASE WHEN "Date" >= DATE '1998-06-01' THEN "Date" END) OVER {ALL} THEN 50.0 ELSE 1.0 END AS sp FROM bars))''')
+            SELECT *, CASE WHEN lag(c) OVER {W} / c >= 1.95 OR lag(c) OVER {W} / c <= 0.45 THEN CASE WHEN sp <> 1 THEN 1 / sp WHEN lead(sp) OVER {W} <> 1 THEN 1 / lead(sp) OVER {W} END END AS f FROM (
+            SELECT symbol, "Date", CASE WHEN "Date" >= DATE '1998-06-01' THEN "Close" / 2 ELSE "Close" END AS c, CASE WHEN "Date" = min(CASE WHEN "Date" >= DATE '1998-06-01' THEN "Date" END) OVER {ALL} THEN 2.0 ELSE 1.0 END AS sp FROM bars))''')
 
 # --- series ---
 on_bars("c1_rolling", lambda b: b.withColumns({"m": series.rolling("Close", 10), "s": series.rolling("Close", 10, "std"), "lo": series.rolling("Close", 10, "min", False), "total": series.rolling("Volume", 10, "sum", False)}), d("m", "s", "lo", "total"),
@@ -178,17 +178,17 @@ on_bars("b19_eom", indicators.eom, d("eom", "eom_ma_14", "eom_diff"),
         f'''SELECT *, (dd - avg(dd) OVER {ALL}) / nullif(stddev_samp(dd) OVER {ALL}, 0) AS eom_diff FROM (SELECT *, eom - eom_ma_14 AS dd FROM (SELECT *, {roll("avg", "eom", 14)} AS eom_ma_14 FROM (SELECT *, avg(e) OVER {R(20)} AS eom FROM (
             SELECT *, ({H} - {lag(H)} + {L} - {lag(L)}) * ({H} - {L}) / nullif(2 * {V}, 0) AS e FROM bars))))''')
 on_bars("b21_nvi", indicators.nvi, d("nvi"), f"SELECT *, 1000 + sum(s) OVER {RUN} AS nvi FROM (SELECT *, CASE WHEN {lag(V)} > {V} THEN ({C} / nullif({lag(C)}, 0) - 1) * 100 ELSE 0 END AS s FROM bars)")
-on_bars("b22_obv", indicators.obv, d("obv"), f"SELECT *, sum(s) OVER {RUN} AS obv FROM (SELECT *, coalesce(sign({C} - {lag(C)}), 0) * {V} AS s FROM bars)")
+on_bars("b22_obv", indicators.obv, d("obv"), f"SELECT *, sum(s) OVER {RUN} AS obv FROM (SELECT *, nullif(sign({C} - {lag(C)}), 0) * {V} AS s FROM bars)")
 on_bars("b23_vpt", indicators.vpt, d("vpt"), f"SELECT *, v + {lag('v')} AS vpt FROM (SELECT *, {V} * ({C} / nullif({lag(C)}, 0) - 1) AS v FROM bars)")
 on_bars("b24_ao", indicators.ao, d("ao", "ao_ma"), f"SELECT *, {roll('avg', 'ao', 2)} AS ao_ma FROM (SELECT *, avg(({H} + {L}) / 2) OVER {R(5)} - avg(({H} + {L}) / 2) OVER {R(34)} AS ao FROM bars)")
 on_bars("b26_mfi", indicators.mfi, d("mfi"),
-        f'''SELECT *, 100 - 100 / nullif(1 + {roll("sum", "u", 14)} / nullif({roll("sum", "w", 14)}, 0), 0) AS mfi FROM (SELECT *, greatest(f, 0.0) AS u, greatest(-f, 0.0) AS w FROM (SELECT *, tp * {V} * coalesce(sign(tp - {lag("tp")}), 0) AS f FROM (SELECT *, ({H} + {L} + {C}) / 3 AS tp FROM bars)))''')
+        f'''SELECT *, CASE WHEN {roll("sum", "w", 14).replace("CASE", "(CASE", 1)}) = 0 AND ({roll("sum", "u", 14)}) > 0 THEN 100.0 ELSE 100 - 100 / nullif(1 + {roll("sum", "u", 14)} / nullif({roll("sum", "w", 14)}, 0), 0) END AS mfi FROM (SELECT *, greatest(f, 0.0) AS u, greatest(-f, 0.0) AS w FROM (SELECT *, tp * {V} * coalesce(sign(tp - {lag("tp")}), 0) AS f FROM (SELECT *, ({H} + {L} + {C}) / 3 AS tp FROM bars)))''')
 on_bars("b30_stoch", indicators.stoch, d("stoch_k", "stoch_d", "stoch_diff"), f"SELECT *, stoch_k - stoch_d AS stoch_diff FROM (SELECT *, avg(stoch_k) OVER {R(3)} AS stoch_d FROM (SELECT *, 100 * ({C} - min({L}) OVER {R(14)}) / nullif(max({H}) OVER {R(14)} - min({L}) OVER {R(14)}, 0) AS stoch_k FROM bars))")
 _UO = lambda n: f"sum(bp) OVER {R(n)} / nullif(sum(tr) OVER {R(n)}, 0)"
 on_bars("b32_uo", indicators.uo, d("uo", "uo_diff"),
         f'''SELECT *, uo - {lag("uo")} AS uo_diff FROM (SELECT *, 100 * (4 * {_UO(7)} + 2 * {_UO(14)} + {_UO(28)}) / 7 AS uo FROM (SELECT *, {C} - least(b, {L}) AS bp, greatest(b, {H}) - least(b, {L}) AS tr FROM (SELECT *, coalesce({lag(C)}, avg({C}) OVER {ALL}) AS b FROM bars)))''')
 on_bars("b33_williams_r", indicators.williams_r, d("wr"), f"SELECT *, -100 * (max({H}) OVER {R(14)} - {C}) / nullif(max({H}) OVER {R(14)} - min({L}) OVER {R(14)}, 0) AS wr FROM bars")
-on_bars("b34_bollinger", indicators.bollinger, d("mavg", "mstd", "bb_high", "bb_low"), f"SELECT *, mavg + 2 * mstd AS bb_high, mavg - 2 * mstd AS bb_low FROM (SELECT *, avg({C}) OVER {R(20)} AS mavg, stddev_pop({C}) OVER {R(20)} AS mstd FROM bars)")
+on_bars("b34_bollinger", indicators.bollinger, d("mavg", "mstd", "bb_high", "bb_low"), f"SELECT *, mavg + 2 * mstd AS bb_high, mavg - 2 * mstd AS bb_low FROM (SELECT *, {roll("avg", C, 20)} AS mavg, {roll("stddev_pop", C, 20)} AS mstd FROM bars)")
 on_bars("b35_donchian", indicators.donchian, d("dc_high", "dc_low", "dc_middle") | {"dc_signal": "s"}, f"SELECT *, CASE WHEN {C} >= dc_high THEN 's' WHEN {C} <= dc_low THEN 'b' ELSE 'n' END AS dc_signal, (dc_high + dc_low) / 2 AS dc_middle FROM (SELECT *, max({C}) OVER {R(20)} AS dc_high, min({C}) OVER {R(20)} AS dc_low FROM bars)")
 on_bars("b37_ulcer", indicators.ulcer, d("ulcer"), f"SELECT *, sqrt({roll('avg', 'dd', 14)}) AS ulcer FROM (SELECT *, pow(100 * ({C} / nullif(max({C}) OVER {R(14)}, 0) - 1), 2) AS dd FROM bars)")
 on_bars("b38_mean_reversion", indicators.mean_reversion, d("up_rate", "down_rate"),
@@ -206,7 +206,7 @@ on_bars("b8_mass_index", _rec("mass_index"), d("mi"),
             SELECT *, {roll("sum", "x", 25)} AS mi FROM (SELECT *, e1 / nullif(e2, 0) AS x FROM h1 JOIN e2_e USING (symbol, i))''')
 on_bars("b20_force_index", _rec("force_index"), d("fi", "fi_ema"), f'WITH h AS (SELECT *, ({C} - {lag(C, 2)}) * {V} AS fi FROM bars), {ema_sql("h", "fi", 2 / 23, 22, "fi_ema")} SELECT * FROM h JOIN fi_ema_e USING (symbol, i)')
 on_bars("b28_rsi", _rec("rsi"), d("rsi", "srsi"),
-        f'''WITH h0 AS (SELECT *, {C} - {lag(C)} AS m FROM bars), h AS (SELECT *, CASE WHEN m > 0 THEN m WHEN m <= 0 THEN 0.0 END AS u, CASE WHEN m < 0 THEN -m WHEN m >= 0 THEN 0.0 END AS w FROM h0), {ema_sql("h", "u", 1 / 14, 14, "eu")}, {ema_sql("h", "w", 1 / 14, 14, "ew")}
+        f'''WITH h0 AS (SELECT *, {C} - {lag(C)} AS m FROM bars), h AS (SELECT *, CASE WHEN m > 0 THEN m WHEN m <= 0 THEN 0.0 END AS u, CASE WHEN m < 0 THEN -m WHEN m >= 0 THEN 0.0 END AS w FROM h0), {ema_sql("h", "u", 1 / 14, 0, "eu")}, {ema_sql("h", "w", 1 / 14, 0, "ew")}
             SELECT *, (rsi - min(rsi) OVER {R(14)}) / nullif(max(rsi) OVER {R(14)} - min(rsi) OVER {R(14)}, 0) AS srsi FROM (SELECT *, 100 * eu / nullif(eu + ew, 0) AS rsi FROM h JOIN eu_e USING (symbol, i) JOIN ew_e USING (symbol, i))''')
 on_bars("b27_atr", _rec("atr"), d("tr", "atr", "atr_diff"),
         f'''WITH RECURSIVE x AS (SELECT *, avg(tr) OVER {R(14)} AS m FROM (SELECT *, greatest({H} - {L}, abs({H} - {lag(C)}), abs({L} - {lag(C)})) AS tr FROM bars)),
@@ -267,7 +267,7 @@ def _scored(b: DataFrame) -> DataFrame:
 
 _SCORED = f'''SELECT *, {C} / nullif({lag(C, 20)}, 0) - 1 AS p, ln(lead({C}, 5) OVER {W} / {C}) AS f FROM bars'''
 _IC = f'''WITH s AS (SELECT * FROM ({_SCORED}) WHERE p IS NOT NULL AND f IS NOT NULL), r AS (SELECT "Date", rank() OVER (PARTITION BY "Date" ORDER BY p) + (count(*) OVER (PARTITION BY "Date", p) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY "Date" ORDER BY f) + (count(*) OVER (PARTITION BY "Date", f) - 1) / 2.0 AS rf FROM s)
-          SELECT "Date", count(*) AS n, CASE WHEN min(rp) < max(rp) AND min(rf) < max(rf) THEN corr(rp, rf) END AS ic FROM r GROUP BY "Date" HAVING count(*) >= 5'''
+          SELECT "Date", count(*) AS n, CASE WHEN min(rp) < max(rp) AND min(rf) < max(rf) THEN round(corr(rp, rf), 12) END AS ic FROM r GROUP BY "Date" HAVING count(*) >= 5'''
 on_bars("m18_ic_by_date", lambda b: ranking.ic_by_date(_scored(b), "ret_20d", "fwd_ret"), {"n": "s", "ic": "d"}, _IC, keys="Date", symbol="p_brand")
 on_bars("m18_ic_summary", lambda b: ranking.ic_summary(ranking.ic_by_date(_scored(b), "ret_20d", "fwd_ret")), {"n_dates": "s"} | d("ic_mean", "ic_std", "positive_share"),
         f"SELECT count(ic) AS n_dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic <= 0 THEN 0.0 END) AS positive_share FROM ({_IC})", keys="", symbol="p_brand")
@@ -289,17 +289,27 @@ _register("k6_order_ledger", lambda s, p: rounded(trading.order_ledger(_orders(s
              round(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) + 0.0012371, 2) + 0.0 AS position FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 
 
-def _backtested(b: DataFrame) -> DataFrame:
+def _backtested(b: DataFrame, **stops: float) -> DataFrame:
     crossed = series.crossover(b.withColumns({"fast": series.rolling("Close", 5, full=False), "slow": series.rolling("Close", 20, full=False)}), "fast", "slow", "signal")
-    return trading.backtest(crossed, 1_000_000.0)
+    return trading.backtest(crossed, 1_000_000.0, **stops)
 
 
 _SIG = f'''SELECT *, CASE WHEN (f <= 0 AND p > 0) OR (f < 0 AND p >= 0) THEN 's' WHEN (f >= 0 AND p < 0) OR (f > 0 AND p <= 0) THEN 'b' ELSE 'n' END AS signal FROM (SELECT *, lag(f) OVER {W} AS p FROM (SELECT *, avg({C}) OVER {R(5)} - avg({C}) OVER {R(20)} AS f FROM bars))'''
-on_bars("k1_backtest", _backtested, {"signal": "s", "money": "d", "stock": "s", "value": "d"},
-        f'''WITH RECURSIVE g AS ({_SIG}), rec(symbol, i, money, stock) AS (SELECT symbol, 0, 1000000.0::DOUBLE, 0::BIGINT FROM g WHERE i = 1 UNION ALL
-            SELECT g.symbol, g.i, CASE WHEN signal = 'b' AND money > 3 AND floor((money - 3) / {C}) > 0 THEN money - floor((money - 3) / {C}) * {C} - 3 WHEN signal = 's' AND stock > 0 THEN money + stock * {C} - 3 ELSE money END,
-            CASE WHEN signal = 'b' AND money > 3 THEN stock + CAST(floor((money - 3) / {C}) AS BIGINT) WHEN signal = 's' THEN 0 ELSE stock END FROM rec JOIN g ON g.symbol = rec.symbol AND g.i = rec.i + 1)
-            SELECT g.symbol, g."Date", signal, money, stock, money + stock * {C} AS value FROM g JOIN rec USING (symbol, i)''', digits=2)
+
+
+def _backtest_sql(stopped: str) -> str:
+    """Cash, stock and the price of the last b, bar by bar; stopped: when the holding return h sells."""
+    return f'''WITH RECURSIVE g AS ({_SIG}), rec(symbol, i, e, money, stock, paid) AS (
+        SELECT symbol, 0, 'n', 1000000.0::DOUBLE, 0::BIGINT, 0.0::DOUBLE FROM g WHERE i = 1 UNION ALL
+        SELECT symbol, i, e, CASE WHEN e = 'b' AND n > 0 THEN money - n * c - 3 WHEN e = 's' AND stock * c > 3 THEN money + stock * c - 3 ELSE money END,
+               CASE WHEN e = 'b' AND n > 0 THEN stock + CAST(n AS BIGINT) WHEN e = 's' AND stock * c > 3 THEN 0 ELSE stock END, CASE e WHEN 'b' THEN c WHEN 's' THEN 0.0 ELSE paid END
+        FROM (SELECT *, floor((money - 3) / c) AS n, CASE WHEN stock > 0 AND ({stopped}) THEN 's' ELSE signal END AS e
+              FROM (SELECT g.symbol, g.i, g.signal, g.{C} AS c, rec.money, rec.stock, rec.paid, CASE WHEN rec.paid > 0 THEN (g.{C} - rec.paid) / rec.paid ELSE 1e300 END AS h FROM rec JOIN g ON g.symbol = rec.symbol AND g.i = rec.i + 1)))
+        SELECT g.symbol, g."Date", e AS signal, money, stock, money + stock * {C} AS value FROM g JOIN rec USING (symbol, i)'''
+
+
+on_bars("k1_backtest", _backtested, {"signal": "s", "money": "d", "stock": "s", "value": "d"}, _backtest_sql("false"), digits=2)
+on_bars("k1_backtest_stops", lambda b: _backtested(b, stop_profit=0.2, stop_loss=-0.1), {"signal": "s", "money": "d", "stock": "s", "value": "d"}, _backtest_sql("h >= 0.2 OR h <= -0.1"), digits=2)
 
 
 def _latest_ranked(b: DataFrame) -> DataFrame:
@@ -311,7 +321,7 @@ def _latest_ranked(b: DataFrame) -> DataFrame:
 
 
 on_bars("latest_ranked", _latest_ranked, d("Close", "rate", "bb_high", "bb_low") | {"signal": "s", "place": "s"},
-        f'''SELECT *, row_number() OVER (ORDER BY rate DESC, symbol) AS place FROM (SELECT *, {C} / nullif({lag(C)}, 0) - 1 AS rate, avg({C}) OVER {R(20)} + 2 * stddev_pop({C}) OVER {R(20)} AS bb_high, avg({C}) OVER {R(20)} - 2 * stddev_pop({C}) OVER {R(20)} AS bb_low FROM ({_SIG})) WHERE i = n_rows''', symbol="p_brand")
+        f'''SELECT *, row_number() OVER (ORDER BY rate DESC, symbol) AS place FROM (SELECT *, {C} / nullif({lag(C)}, 0) - 1 AS rate, CASE WHEN i >= 20 THEN avg({C}) OVER {R(20)} + 2 * stddev_pop({C}) OVER {R(20)} END AS bb_high, CASE WHEN i >= 20 THEN avg({C}) OVER {R(20)} - 2 * stddev_pop({C}) OVER {R(20)} END AS bb_low FROM ({_SIG})) WHERE i = n_rows''', symbol="p_brand")
 
 
 def queries() -> dict[str, Query]:
