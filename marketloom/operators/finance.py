@@ -55,3 +55,13 @@ def period_rate_risk(df: DataFrame, by: str = "month", value: str = "Close") ->
     rated = df.withColumn("_rate", div(F.col(value), lag(value)) - 1).withColumn("period", F.trunc("Date", by))
     ends = rated.groupBy("symbol", "period").agg(*[c.alias(k) for k, c in _ends(value).items()], F.avg("_rate").alias("rate_mean"), F.stddev_samp("_rate").alias("rate_std"), F.count("*").alias("n")).filter("n > 1")
     return ends.select("symbol", "period", *[c.alias(k) for k, c in _measures().items()], "rate_mean", "rate_std")
+
+
+def risk_premium(expected: str, risk_free: str | float) -> Column:
+    """The expected rate less the rate without risk."""
+    return F.col(expected) - (F.col(risk_free) if isinstance(risk_free, str) else F.lit(risk_free))
+
+
+def excess_return(expected: str, real: str) -> Column:
+    """The real rate less the expected one."""
+    return F.col(real) - F.col(expected)

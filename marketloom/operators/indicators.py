@@ -153,3 +153,7 @@ def candle_shape(df: DataFrame) -> DataFrame:
     top, bottom = F.greatest("Open", "Close"), F.least("Open", "Close")
     out = df.withColumns({"color": F.when(_c("Close") > _c("Open"), 1).when(_c("Close") < _c("Open"), -1).otherwise(0), "shadow": _c("High") - _c("Low"), "body": F.abs(_c("Close") - _c("Open")), "body_top": top, "body_bottom": bottom})
     return out.withColumns({"shadow_upper_pct": div(_c("High") - _c("body_top"), _c("shadow")), "shadow_lower_pct": div(_c("body_bottom") - _c("Low"), _c("shadow")), "body_pct": div(_c("body"), _c("shadow"))})
+
+
+#: Indicators of built-in expressions by name; one row in, one row out.
+BUILT_IN = {f.__name__: f for f in (aroon, cci, dpo, ichimoku, kst, vortex, adi, cmf, eom, nvi, obv, vpt, ao, mfi, stoch, uo, williams_r, bollinger, donchian, ulcer)}

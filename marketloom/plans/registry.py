@@ -332,4 +332,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from marketloom.plans import desk, market  # noqa: E402, F401  register their queries with the functions above
+from marketloom.plans import desk, market, rules  # noqa: E402, F401  register their queries with the functions above
