@@ -83,8 +83,18 @@ on_bars("c13_fill", lambda b: b.withColumn("x", F.when(F.day("Date") % 3 == 0, F
 on_bars("c14_drop_extreme", lambda b: series.drop_extreme(b.withColumn("x", F.when(F.day("Date") == 1, 0.0).when(F.day("Date") == 2, float("inf")).when(F.day("Date") != 3, F.col("Close"))), ["x", "Volume"]), d("x"), f'SELECT *, {C} AS x FROM bars WHERE day("Date") > 3 AND {V} <> 0')
 on_bars("c15_minmax_pair", lambda b: b.withColumn("before", panel.lag("Close")).withColumns({"hi": series.minmax_pair("Close", "before"), "lo": series.minmax_pair("Close", "before", "min")}), d("hi", "lo"),
         f"SELECT *, CASE WHEN p IS NOT NULL THEN greatest({C}, p) END AS hi, CASE WHEN p IS NOT NULL THEN least({C}, p) END AS lo FROM (SELECT *, {lag(C)} AS p FROM bars)")
-on_bars("b11_psar", lambda b: recursive.recursive_block(b, ["psar"]), d("psar", "psar_up", "psar_down"), sql=False)
-on_bars("b12_stc", lambda b: recursive.recursive_block(b, ["stc"]), d("stc"), sql=False)
+on_bars("b11_psar", lambda b: recursive.recursive_block(b, ["psar"]), d("psar", "psar_up", "psar_down"),
+        f'''WITH RECURSIVE x AS (SELECT *, {R.lag(L)} AS l1, {R.lag(L, 2)} AS l2, {R.lag(H)} AS h1, {R.lag(H, 2)} AS h2 FROM bars),
+            rec(symbol, i, side, stop, hi, lo, pace) AS (SELECT symbol, i, 1, {C}, h1, l1, 0.02::DOUBLE FROM x WHERE i = 2 UNION ALL
+              SELECT symbol, i, CASE WHEN turned THEN -side ELSE side END, CASE WHEN turned THEN CASE side WHEN 1 THEN hi ELSE lo END WHEN side = 1 AND l2 < v THEN l2 WHEN side = 1 THEN least(v, l1) WHEN h2 > v THEN h2 ELSE greatest(v, h1) END,
+                     CASE WHEN turned AND side = -1 THEN {H} WHEN NOT turned AND side = 1 THEN greatest(hi, {H}) ELSE hi END, CASE WHEN turned AND side = 1 THEN {L} WHEN NOT turned AND side = -1 THEN least(lo, {L}) ELSE lo END,
+                     CASE WHEN turned THEN 0.02 WHEN (side = 1 AND {H} > hi) OR (side = -1 AND {L} < lo) THEN least(pace + 0.02, 0.1) ELSE pace END
+              FROM (SELECT *, (side = 1 AND {L} < v) OR (side = -1 AND {H} > v) AS turned FROM (SELECT x.*, side, hi, lo, pace, stop + pace * (CASE side WHEN 1 THEN hi ELSE lo END - stop) AS v FROM rec JOIN x ON x.symbol = rec.symbol AND x.i = rec.i + 1)))
+            SELECT x.*, coalesce(stop, {C}) AS psar, CASE WHEN side = 1 AND x.i > 2 THEN stop END AS psar_up, CASE WHEN side = -1 THEN stop END AS psar_down FROM x LEFT JOIN rec USING (symbol, i)''')
+_PLACE = lambda c: f"100 * ({c} - ({R.roll('min', c, 10)})) / nullif(({R.roll('max', c, 10)}) - ({R.roll('min', c, 10)}), 0)"
+on_bars("b12_stc", lambda b: recursive.recursive_block(b, ["stc"]), d("stc"),
+        f'''WITH {R.ema_sql("bars", C, 2 / 24, 23, "ef")}, {R.ema_sql("bars", C, 2 / 51, 50, "es")}, m AS (SELECT symbol, i, ef - es AS m FROM ef_e JOIN es_e USING (symbol, i)), k AS (SELECT symbol, i, {_PLACE("m").replace('"Date"', "i")} AS k FROM m), {R.ema_sql("k", "k", 0.5, 3, "f1")},
+            k2 AS (SELECT symbol, i, {_PLACE("f1").replace('"Date"', "i")} AS k FROM f1_e), {R.ema_sql("k2", "k", 0.5, 3, "stc")} SELECT * FROM bars JOIN stc_e USING (symbol, i)''')
 
 
 # --- patterns ---

@@ -216,8 +216,23 @@ on_bars("b25_kama", _rec("kama"), d("kama"),
         f'''WITH RECURSIVE x0 AS (SELECT *, abs({C} - {lag(C, 10)}) / nullif({roll("sum", "m", 10)}, 0) AS er0 FROM (SELECT *, abs({C} - {lag(C)}) AS m FROM bars)), x AS (SELECT *, last_value(er0 IGNORE NULLS) OVER {RUN} AS er FROM x0),
             rec(symbol, i, kama) AS (SELECT symbol, i, {C} FROM x WHERE i = 10 UNION ALL SELECT x.symbol, x.i, rec.kama + pow(er * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) * (x.{C} - rec.kama) FROM rec JOIN x ON x.symbol = rec.symbol AND x.i = rec.i + 1)
             SELECT * FROM x LEFT JOIN rec USING (symbol, i)''')
-for _n in ("trix", "tsi", "keltner", "adx"):
-    on_bars({"trix": "b9", "tsi": "b31", "keltner": "b36", "adx": "b1"}[_n] + f"_{_n}", _rec(_n), d(*recursive.INDICATORS[_n][1]), sql=False)
+_BY_I = lambda x: x.replace('"Date"', "i")  # noqa: E731  windows over CTEs that hold no Date
+on_bars("b9_trix", _rec("trix"), d("trix", "trix_sign", "trix_diff"),
+        f'''WITH {ema_sql("bars", C, 2 / 16, 15, "e1")}, {ema_sql("e1_e", "e1", 2 / 16, 15, "e2")}, {ema_sql("e2_e", "e2", 2 / 16, 15, "e3")}, t AS (SELECT symbol, i, 100 * (e3 / {_BY_I(lag("e3"))} - 1) AS trix FROM e3_e), {ema_sql("t", "trix", 2 / 10, 9, "trix_sign")}
+            SELECT *, trix - trix_sign AS trix_diff FROM bars JOIN t USING (symbol, i) JOIN trix_sign_e USING (symbol, i)''')
+on_bars("b31_tsi", _rec("tsi"), d("tsi", "tsi_sign"),
+        f'''WITH m AS (SELECT symbol, i, {C} - coalesce({lag(C)}, avg({C}) OVER {ALL}) AS m, abs({C} - coalesce({lag(C)}, avg({C}) OVER {ALL})) AS a FROM bars), {ema_sql("m", "m", 1 / 26, 0, "m1")}, {ema_sql("m1_e", "m1", 1 / 14, 0, "m2")}, {ema_sql("m", "a", 1 / 26, 0, "a1")}, {ema_sql("a1_e", "a1", 1 / 14, 0, "a2")},
+            t AS (SELECT symbol, i, 100 * m2 / nullif(a2, 0) AS tsi FROM m2_e JOIN a2_e USING (symbol, i)), {ema_sql("t", "tsi", 2 / 8, 7, "tsi_sign")} SELECT * FROM bars JOIN t USING (symbol, i) JOIN tsi_sign_e USING (symbol, i)''')
+on_bars("b36_keltner", _rec("keltner"), d("kc_middle", "kc_high", "kc_low"),
+        f'''WITH RECURSIVE x AS (SELECT *, avg(tr) OVER {R(10)} AS w, avg(tp) OVER {R(10)} AS kc_middle FROM (SELECT *, ({H} + {L} + {C}) / 3 AS tp, greatest({H} - {L}, abs({H} - {lag(C)}), abs({L} - {lag(C)})) AS tr FROM bars)),
+            rec(symbol, i, r) AS (SELECT symbol, i, w FROM x WHERE i <= 10 UNION ALL SELECT x.symbol, x.i, (rec.r * 13 + x.tr) / 14 FROM rec JOIN x ON x.symbol = rec.symbol AND x.i = rec.i + 1 WHERE rec.i >= 10)
+            SELECT *, kc_middle + 2 * r AS kc_high, kc_middle - 2 * r AS kc_low FROM x JOIN rec USING (symbol, i)''')
+on_bars("b1_adx", _rec("adx"), d("pdi", "mdi", "adx_strength", "adx_value", "adx_value_prediction"),
+        f'''WITH x AS (SELECT *, greatest({H} - {lag(H)}, 0) AS u0, greatest({lag(L)} - {L}, 0) AS w0, greatest({H} - {L}, abs({H} - {lag(C)}), abs({L} - {lag(C)})) AS tr FROM bars), y AS (SELECT *, CASE WHEN i > 1 THEN u0 END AS u, CASE WHEN i > 1 THEN w0 END AS w FROM x),
+            {ema_sql("y", "u", 2 / 15, 14, "eu")}, {ema_sql("y", "w", 2 / 15, 14, "ew")}, q AS (SELECT *, 100 * eu / nullif(tr, 0) AS pdi, 100 * ew / nullif(tr, 0) AS mdi FROM y JOIN eu_e USING (symbol, i) JOIN ew_e USING (symbol, i)),
+            z AS (SELECT *, pdi - mdi AS df, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM q), {ema_sql("z", "dx", 2 / 15, 14, "adx_strength")}, {ema_sql("z", "df", 2 / 6, 5, "adx_value")},
+            v AS (SELECT symbol, i, adx_value, adx_value - {_BY_I(lag("adx_value"))} AS ch FROM adx_value_e), {ema_sql("v", "ch", 0.5, 3, "ec")}, p AS (SELECT symbol, i, adx_value + ec AS g FROM v JOIN ec_e USING (symbol, i)), {ema_sql("p", "g", 2 / 6, 5, "adx_value_prediction")}
+            SELECT * FROM z JOIN adx_strength_e USING (symbol, i) JOIN adx_value_e USING (symbol, i) JOIN adx_value_prediction_e USING (symbol, i)''')
 
 # --- finance ---
 _HPR = f'SELECT symbol, arg_max({C}, "Date") / nullif(arg_min({C}, "Date"), 0) - 1 AS hpr, date_diff(\'day\', min("Date"), max("Date")) AS days FROM bars GROUP BY symbol'
