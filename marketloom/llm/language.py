@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import worker_cache
-from marketloom.llm.tokens import blocks
+from marketloom.llm.tokens import blocks, slices
 
 #: Hashed n-gram features, and n-gram lengths.
 FEATURES, LENGTHS = 1 << 15, (1, 2, 3)
@@ -53,19 +53,19 @@ def _texts(pdf: pd.DataFrame) -> list:
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all documents each feature occurs; each task sends one row a feature at most."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES + 1, dtype=np.int64), 0
-        for pdf in blocks(batches, 512):
-            for t in _texts(pdf):
+        for some in slices(batches):
+            for t in some.column("text").to_pylist():
                 hit = np.bincount(ngram_hashes(t), minlength=FEATURES) > 0
                 df[:FEATURES] += hit
                 n += 1
         df[FEATURES] = n
         at = np.flatnonzero(df)
-        yield pd.DataFrame({"feature": at.astype(np.int32), "n": df[at]})
+        yield pa.record_batch({"feature": pa.array(at, pa.int32()), "n": pa.array(df[at], pa.int64())})
 
     out = np.zeros(FEATURES + 1, dtype=np.int64)
-    for feature, n in docs.select("text").mapInPandas(count, "feature int, n long").groupBy("feature").agg(F.sum("n")).collect():
+    for feature, n in docs.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n")).collect():
         out[feature] = n
     return out[:FEATURES], int(out[FEATURES])
 
@@ -221,12 +221,9 @@ def known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for i in range(0, batch.num_rows, 512):
-                some = batch.slice(i, 512)
-                p, known = probabilities(m, some.column(at).to_pylist())
-                yield some.filter(pa.array(known & (p.max(axis=1, initial=0.0) >= least)))
+        for some in slices(batches):
+            p, known = probabilities(m, some.column("text").to_pylist())
+            yield some.filter(pa.array(known & (p.max(axis=1, initial=0.0) >= least)))
         pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(accepted, docs.schema)

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import materialise, worker_cache
-from marketloom.llm.tokens import blocks, encoded, rest
+from marketloom.llm.tokens import encoded, rest, slices
 
 #: Hashed vector, its projection, and bits of each projected dimension on the curve.
 BUCKETS, DIMENSIONS, BITS = 4096, 4, 10
@@ -81,16 +82,16 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
     """
     spark = docs.sparkSession
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in blocks(batches):
-            ids = list(encoded(some["text"].tolist(), tokenizer, False, end_id))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches):
+            ids = list(encoded(some.column("text").to_pylist(), tokenizer, False, end_id))
             # Two bytes an id where the vocabulary allows; the first byte says which.
             small = [(b"\x02" + x.astype("<u2").tobytes()) if not len(x) or x.max() < 65536 else b"\x04" + x.tobytes() for x in ids]
-            yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "key": curve_keys(ids), "n": [len(x) for x in ids], "ids": small})
+            yield pa.record_batch({"doc_id": some.column("doc_id"), "key": pa.array(curve_keys(ids), pa.int64()), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(small, pa.binary())})
         rest(tokenizer, False)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(keyed, "doc_id long, key long, n long, ids binary"), "tokens")
+    tokens = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(keyed, "doc_id long, key long, n long, ids binary"), "tokens")
     line = tokens.repartitionByRange(n, "key", "doc_id", "n").sortWithinPartitions("key", "doc_id", "n", "ids")
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

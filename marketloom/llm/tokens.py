@@ -266,6 +266,13 @@ def blocks(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.Data
             yield pdf.iloc[at : at + rows]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches a few rows at a time; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, keep_space: bool = True, end_id: int = 2) -> DataFrame:
     """Encode all texts and write them in ascending doc_id order as files of one range of ids each.
 
