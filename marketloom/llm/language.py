@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import worker_cache
+from marketloom.llm.common import small_batches, worker_cache
 from marketloom.llm.tokens import blocks, slices
 
 #: Hashed n-gram features, and n-gram lengths.
@@ -157,6 +157,7 @@ def train_language_model(docs: DataFrame, may_learn: Column, rows_per_language:
     training for the temperature. Null labels and texts without letters teach nothing; without any row the model is empty and
     predicts und. One language alone is predicted with certainty.
     """
+    small_batches(docs.sparkSession)
     pool = docs.select(F.col("text"), F.col(label_col).alias("label"), F.col("doc_id")).filter(may_learn & F.col("label").isNotNull() & F.col("text").isNotNull())
     df, n_docs = document_frequencies(pool)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
@@ -195,6 +196,7 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Of equally likely languages the first by name is taken. Rows with a null doc_id or one met before are rows like any other.
     Only the text is looked at: other columns, whatever their names, do not matter.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())  # FEATURES x languages numbers
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,6 +219,7 @@ def known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
 
     Null, empty and letterless texts have no language and go. Repeated rows share their fate; doc_id is not looked at.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import materialise
+from marketloom.llm.common import materialise, small_batches
 
 WINDOW = 3
 
@@ -55,6 +55,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def clean_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with a column _clean (text, n_lines, n_removed) beside its own; see dedup_lines."""
+    small_batches(docs.sparkSession)
     starts = repeated_windows(docs.select("doc_id", "text").filter("doc_id is not null"), window).withColumnRenamed("starts", "_starts")
 
     def cleaned(text: pd.Series, starts: pd.Series) -> pd.DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import ASCII_LOWER, SEPARATORS, materialise, worker_cache
+from marketloom.llm.common import ASCII_LOWER, SEPARATORS, materialise, small_batches, worker_cache
 from marketloom.llm.components import connected_components
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -253,6 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     given. Texts without words and nulls have no shingles and link with nothing. Rows that repeat a doc_id give equal rows. A
     null doc_id is its own component (null) and kept. An empty table gives no rows; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     bands, rows = banding(percent / 100)
     base = materialise(sketches(docs.filter("doc_id is not null"), size, bands, rows), "sketches")
     sets = base.filter("n_shingles > 0").select("doc_id", "s1", "s2")

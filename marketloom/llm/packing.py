@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import materialise, worker_cache
+from marketloom.llm.common import materialise, small_batches, worker_cache
 from marketloom.llm.tokens import encoded, rest, slices
 
 #: Hashed vector, its projection, and bits of each projected dimension on the curve.
@@ -81,6 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
     looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):

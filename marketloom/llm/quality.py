@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import words_of
+from marketloom.llm.common import small_batches, words_of
 
 #: Fixed by the contract.
 SYMBOLS = "#*$%&|<>"
@@ -117,6 +117,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     from marketloom.llm.common import materialise
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.pandas_udf(_counts, COUNTS)("text").alias("c")).select("doc_id", "c.*")
     rules = vote_columns()
     base = ("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")

@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import TwoGenerations, scratch_path, worker_cache
+from marketloom.llm.common import TwoGenerations, scratch_path, small_batches, worker_cache
 
 #: Bytes of distinct pieces and their ids kept in each Python worker, twice; characters of the texts encoded together.
-CACHED_BYTES, BLOCK_CHARS = 24_000_000, 2_000_000
+CACHED_BYTES, BLOCK_CHARS = 40_000_000, 2_000_000
 
 
 #: White space beside white space or at an end: there a cut could change pieces that keep their space.
@@ -259,14 +259,14 @@ def rest(path: str, keep_space: bool) -> None:
     pa.default_memory_pool().release_unused()
 
 
-def blocks(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+def blocks(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
     """Batches in slices of a few rows, so that what is made of them stays small."""
     for pdf in batches:
         for at in range(0, len(pdf), rows):
             yield pdf.iloc[at : at + rows]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Arrow batches a few rows at a time; nothing is copied."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -283,6 +283,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or scratch_path(spark, "token_files")
     _make_folder(folder)
 
