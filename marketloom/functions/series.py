@@ -49,6 +49,12 @@ def streak(df: DataFrame, c: str, out: str, zero_as: float | None = None, one_re
     return df.withColumn(out, F.sum("_v").over(Window.partitionBy("symbol", "_island").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0))).drop("_sign", "_run", "_new", "_v", "_island")
 
 
+def volume_streak(df: DataFrame) -> DataFrame:
+    """volume_day: how many rows in a row Volume has risen, negative for rows without a rise; the first row has none."""
+    rise = F.when(F.col("Volume") > lag("Volume"), 1).otherwise(-1)
+    return streak(df.withColumn("_rise", rise), "_rise", "volume_day").drop("_rise")
+
+
 def moving_slope(df: DataFrame, c: str, n: int) -> DataFrame:
     """Slope and intercept of the least squares line over each full window, x counted from 0 in the window."""
     df = df.withColumn("_i", F.row_number().over(by_symbol()).cast("double"))

@@ -31,23 +31,27 @@ def return_measures(df: DataFrame, start: str | None = None, end: str | None = N
     return ends.select("symbol", *[c.alias(k) for k, c in _measures().items()])
 
 
-def annual_volatility(df: DataFrame, rate: str = "rate") -> DataFrame:
-    out = df.groupBy("symbol").agg(F.var_samp(rate).alias("_v"), F.datediff(F.max("Date"), F.min("Date")).alias("_days"))
+def annual_volatility(df: DataFrame, rate: str = "rate", start: str | None = None, end: str | None = None) -> DataFrame:
+    """The days are those of the rows from start to end, the variance is that of all rows. Null for a symbol without rows there."""
+    day = F.col("Date")
+    for bound, fits in ((start, day >= F.to_date(F.lit(start))), (end, F.col("Date") <= F.to_date(F.lit(end)))):
+        day = day if bound is None else F.when(fits, day)
+    out = df.groupBy("symbol").agg(F.var_samp(rate).alias("_v"), F.datediff(F.max(day), F.min(day)).alias("_days"))
     return out.select("symbol", F.when(F.col("_days") - 1 <= 0, 0.0).otherwise(F.sqrt(F.col("_v") * div(F.lit(365.0), F.col("_days") - 1))).alias("volatility"))
 
 
-def sharpe(df: DataFrame, riskfree: float = 0.04, value: str = "Close") -> DataFrame:
+def sharpe(df: DataFrame, riskfree: float = 0.04, value: str = "Close", start: str | None = None, end: str | None = None) -> DataFrame:
     """df carries rate. (EAR - riskfree) / annual volatility."""
-    joined = return_measures(df, value=value).join(annual_volatility(df), "symbol")
+    joined = return_measures(df, start, end, value).join(annual_volatility(df, start=start, end=end), "symbol")
     return joined.select("symbol", div(F.col("ear") - riskfree, F.col("volatility")).alias("sharpe"))
 
 
-def max_drawdown(df: DataFrame, value: str = "Close") -> DataFrame:
+def max_drawdown(df: DataFrame, value: str = "Close", start: str | None = None, end: str | None = None) -> DataFrame:
     """Least over time of (lowest value from here on) / (highest so far) - 1, with two running windows."""
     past = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     future = by_symbol().rowsBetween(0, Window.unboundedFollowing)
     drop = div(F.min(value).over(future), F.max(value).over(past)) - 1
-    return df.select("symbol", drop.alias("_d")).groupBy("symbol").agg(F.min("_d").alias("max_drawdown"))
+    return between(df, start, end).select("symbol", drop.alias("_d")).groupBy("symbol").agg(F.min("_d").alias("max_drawdown"))
 
 
 def period_rate_risk(df: DataFrame, by: str = "month", value: str = "Close") -> DataFrame:

@@ -33,8 +33,11 @@ def dpo(df: DataFrame, n: int = 20) -> DataFrame:
     return crossover(out, "dpo", "_zero", "dpo_signal").drop("_zero")
 
 
-def ichimoku(df: DataFrame, short: int = 9, medium: int = 26, long: int = 52, shift: bool = True) -> DataFrame:
-    mid = lambda n: (rolling("High", n, "max", False) + rolling("Low", n, "min", False)) / 2
+def ichimoku(df: DataFrame, short: int = 9, medium: int = 26, long: int = 52, shift: bool = True, original: bool = False) -> DataFrame:
+    """Lines midway between extremes, or with original between the means of High and Low over full windows."""
+    def mid(n: int) -> Column:
+        return (rolling("High", n) + rolling("Low", n)) / 2 if original else (rolling("High", n, "max", False) + rolling("Low", n, "min", False)) / 2
+
     out = df.withColumns({"tankan": mid(short), "kijun": mid(medium), "senkou_b": mid(long), "chikan": F.lead("Close", medium).over(by_symbol())})
     out = out.withColumn("senkou_a", (_c("tankan") + _c("kijun")) / 2)
     return out.withColumns({x: lag(x, medium) for x in ("senkou_a", "senkou_b")}) if shift else out
@@ -148,6 +151,37 @@ def mean_reversion(df: DataFrame, n: int = 100, k: float = 2) -> DataFrame:
     return out.select("symbol", (_c("mu") + away).alias("up_rate"), (_c("mu") - away).alias("down_rate"))
 
 
+def keltner_bands(df: DataFrame, n: int = 10) -> DataFrame:
+    """The channel drawn from prices alone, without the true range."""
+    mean = lambda h, low: rolling((_c("High") * h + _c("Low") * low + _c("Close")) / 3, n, full=False)
+    return df.withColumns({"kc_middle": mean(1, 1), "kc_high": mean(4, -2), "kc_low": mean(-2, 4)})
+
+
+def macd_signal(df: DataFrame) -> DataFrame:
+    return crossover(df.withColumn("_zero", F.lit(0.0)), "macd_diff", "_zero", "macd_signal").drop("_zero")
+
+
+def mass_signal(df: DataFrame, start: float = 27, done: float = 26.5) -> DataFrame:
+    """Buy when the index rises through `start`, sell when it falls through `done`."""
+    out = crossover(df.withColumns({"_start": F.lit(float(start)), "_done": F.lit(float(done))}), "mi", "_start", "_rose", neg="n")
+    out = crossover(out, "mi", "_done", "_fell", pos="n")
+    return out.withColumn("mi_signal", rule_value([("_rose = 'b'", "b"), ("_fell = 's'", "s")], "n")).drop("_start", "_done", "_rose", "_fell")
+
+
+def srsi_signal(df: DataFrame, bounds: tuple = (20, 80)) -> DataFrame:
+    """The bounds are meant for 0 to 100 but srsi lies in 0 to 1, so that every value is a buy: kept so."""
+    return df.withColumn("srsi_signal", boundary(_c("srsi"), _c("srsi"), bounds[1], bounds[0], "s", "b"))
+
+
+def tsi_signals(df: DataFrame) -> DataFrame:
+    out = crossover(df.withColumn("_zero", F.lit(0.0)), "tsi", "tsi_sign", "tsi_fast_slow_signal")
+    return crossover(out, "tsi", "_zero", "tsi_centerline_signal").drop("_zero")
+
+
+def keltner_signal(df: DataFrame) -> DataFrame:
+    return df.withColumn("kc_signal", rule_value([("Close < kc_low", "b"), ("Close > kc_high", "s")], "n"))
+
+
 def candle_shape(df: DataFrame) -> DataFrame:
     """Colour, body, shadows and their shares of the range."""
     top, bottom = F.greatest("Open", "Close"), F.least("Open", "Close")

@@ -54,7 +54,7 @@ def dedupe(df: DataFrame, by: list[Column], keep: str = "last") -> DataFrame:
 
 
 def change_rate(df: DataFrame, periods: int = 1) -> DataFrame:
-    return df.withColumn("rate", div(F.col("Close"), lag("Close", periods)) - 1).withColumn("volume_change", div(F.col("Volume"), lag("Volume", periods)) - 1)
+    return df.withColumn("rate", div(F.col("Close"), lag("Close", periods)) - 1).withColumn("volume_change", F.col("Volume") - lag("Volume"))
 
 
 def heikin_ashi(df: DataFrame, dropna: bool = True) -> DataFrame:
@@ -94,7 +94,13 @@ def clean_bars(df: DataFrame) -> DataFrame:
 
 
 def resample(df: DataFrame, by: str = "week", literal: bool = False) -> DataFrame:
-    """Weekly or monthly bars. A literal week starts whenever the weekday falls below the row before's, so long gaps can merge."""
+    """Weekly or monthly bars. A literal week starts whenever the weekday falls below the row before's, so long gaps can merge.
+
+    Bars with AdjClose are scaled to it first and also give the sum of Dividend and the product of Split (0 and 1 without them)."""
+    adjusted, actions = "AdjClose" in df.columns, {}
+    if adjusted:
+        actions = {"Dividend": F.sum("Dividend") if "Dividend" in df.columns else F.lit(0.0), "Split": F.product("Split") if "Split" in df.columns else F.lit(1.0)}
+        df = adjust_ohlc(df)
     if by == "week" and literal:
         starts = F.when(F.weekday("Date") < F.weekday(lag("Date")), 1).otherwise(0)
         df = df.withColumn("_s", starts).withColumn("_p", F.sum("_s").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
@@ -102,7 +108,9 @@ def resample(df: DataFrame, by: str = "week", literal: bool = False) -> DataFram
         df = df.withColumn("_p", F.trunc("Date", by))
     out = df.groupBy("symbol", "_p").agg(
         F.min("Date").alias("_d"), F.min_by("Open", "Date").alias("Open"), F.max("High").alias("High"), F.min("Low").alias("Low"),
-        F.max_by("Close", "Date").alias("Close"), F.sum("Volume").alias("Volume"))
+        F.max_by("Close", "Date").alias("Close"), F.sum("Volume").alias("Volume"), *[x.alias(c) for c, x in actions.items()])
+    if adjusted:
+        out = out.withColumn("AdjClose", F.col("Close"))
     return out.withColumn("Date", F.col("_p") if by == "month" else F.col("_d")).drop("_p", "_d")
 
 

@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_BODY: dict[str, str] = {}
 
 #: Bars of FIXTURES B as SQL: symbol, Date, Open, High, Low, Close, Volume.
 _BARS = """
@@ -77,6 +78,7 @@ def _register(name: str, build: Query, sql: str | None) -> None:
 def on_bars(name: str, f: Callable[[DataFrame], DataFrame], columns: dict[str, str], body: str = "SELECT * FROM bars", keys: str = "symbol, Date", symbol: str = "p_type", sql: bool = True, digits: int = 4) -> None:
     """A query of f over daily bars. columns: name -> kind (d double, s other); body: SQL over bars that yields them."""
     key_cols = [k for k in keys.split(", ") if k]
+    _BODY[name] = body
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(f(panel.trade_bars(spark, sf_dir, symbol)).select(*key_cols, *columns), digits)
@@ -93,7 +95,9 @@ def d(*names: str) -> dict[str, str]:
 # --- bars ---
 on_bars("p0_bars", lambda b: b, d("Open", "High", "Low", "Close", "Volume"))
 on_bars("p0_bars_by_brand", lambda b: b, d("Open", "High", "Low", "Close", "Volume"), symbol="p_brand")
-on_bars("p5_change_rate", panel.change_rate, d("rate", "volume_change"), f'SELECT *, "Close" / nullif({lag(chr(34) + "Close" + chr(34))}, 0) - 1 AS rate, "Volume" / nullif(lag("Volume") OVER {W}, 0) - 1 AS volume_change FROM bars')
+on_bars("p5_change_rate", lambda b: series.volume_streak(panel.change_rate(b)), d("rate", "volume_change", "volume_day"),
+        f'''SELECT *, v * row_number() OVER (PARTITION BY symbol, v, i - k ORDER BY i) AS volume_day FROM (SELECT *, row_number() OVER (PARTITION BY symbol, v ORDER BY i) AS k FROM (
+            SELECT *, "Close" / nullif({lag('"Close"')}, 0) - 1 AS rate, "Volume" - {lag('"Volume"')} AS volume_change, CASE WHEN "Volume" > {lag('"Volume"')} THEN 1 ELSE -1 END AS v FROM bars))''')
 for _by, _literal in (("week", False), ("month", False)):
     on_bars(f"p6_resample_{_by}", lambda b, by=_by: panel.resample(b, by), d("Open", "High", "Low", "Close", "Volume"),
             f'''SELECT symbol, {'min("Date")' if _by == 'week' else "CAST(date_trunc('month', " + 'min("Date")) AS DATE)'} AS "Date", arg_min("Open", "Date") AS "Open", max("High") AS "High", min("Low") AS "Low", arg_max("Close", "Date") AS "Close", sum("Volume") AS "Volume"
@@ -101,6 +105,20 @@ for _by, _literal in (("week", False), ("month", False)):
 on_bars("p6_resample_week_literal", lambda b: panel.resample(b, "week", True), d("Open", "High", "Low", "Close", "Volume"),
         f'''SELECT symbol, min("Date") AS "Date", arg_min("Open", "Date") AS "Open", max("High") AS "High", min("Low") AS "Low", arg_max("Close", "Date") AS "Close", sum("Volume") AS "Volume" FROM (
             SELECT *, sum(s) OVER {RUN} AS g FROM (SELECT *, CASE WHEN isodow("Date") < isodow(lag("Date") OVER {W}) THEN 1 ELSE 0 END AS s FROM bars)) GROUP BY symbol, g''')
+
+
+def _action_fixture(b: DataFrame) -> DataFrame:
+    """Closes are halved before 1996; the first, second and tenth of a month have actions."""
+    day = F.dayofmonth("Date")
+    return b.withColumns({"AdjClose": F.col("Close") * F.when(F.col("Date") < F.to_date(F.lit("1996-01-01")), 0.5).otherwise(1.0), "Dividend": F.when(day == 1, 0.25).otherwise(0.0),
+                          "Split": F.when(day == 2, 2.0).when(day == 10, 0.5).otherwise(1.0)})
+
+
+for _by in ("week", "month"):
+    on_bars(f"p7_resample_{_by}_actions", lambda b, by=_by: panel.resample(_action_fixture(b), by), d("Open", "High", "Low", "Close", "AdjClose", "Volume", "Dividend", "Split"),
+            f'''SELECT symbol, {'min("Date")' if _by == 'week' else "CAST(date_trunc('month', " + 'min("Date")) AS DATE)'} AS "Date", arg_min(f * "Open", "Date") AS "Open", max(f * "High") AS "High", min(f * "Low") AS "Low",
+                arg_max(f * "Close", "Date") AS "Close", arg_max(f * "Close", "Date") AS AdjClose, sum("Volume") AS "Volume", sum(CASE WHEN day("Date") = 1 THEN 0.25 ELSE 0.0 END::DOUBLE) AS Dividend,
+                product(CASE day("Date") WHEN 2 THEN 2.0 WHEN 10 THEN 0.5 ELSE 1.0 END) AS Split FROM (SELECT *, CASE WHEN year("Date") < 1996 THEN 0.5::DOUBLE ELSE 1.0 END AS f FROM bars) GROUP BY symbol, date_trunc('{_by}', "Date")''')
 on_bars("p8_heikin_ashi", panel.heikin_ashi, d("H_Open", "H_High", "H_Low", "H_Close"),
         f'''SELECT symbol, "Date", ho AS H_Open, hc AS H_Close, greatest(ph, ho, hc) AS H_High, least(pl, ho, hc) AS H_Low FROM (SELECT *, ("Open" + "High" + "Low" + "Close") / 4 AS hc,
             (lag("Open") OVER {W} + lag("Close") OVER {W}) / 2 AS ho, lag("High") OVER {W} AS ph, lag("Low") OVER {W} AS pl FROM bars) WHERE ho IS NOT NULL''')
@@ -165,6 +183,9 @@ on_bars("b4_dpo", indicators.dpo, d("dpo"), f'SELECT *, {lag(C, 11)} - avg({C})
 on_bars("b5_ichimoku", indicators.ichimoku, d("tankan", "kijun", "senkou_a", "senkou_b", "chikan"),
         f'''SELECT symbol, "Date", tankan, kijun, chikan, lag((tankan + kijun) / 2, 26) OVER {W} AS senkou_a, lag(sb, 26) OVER {W} AS senkou_b FROM (SELECT *, (max({H}) OVER {R(9)} + min({L}) OVER {R(9)}) / 2 AS tankan, (max({H}) OVER {R(26)} + min({L}) OVER {R(26)}) / 2 AS kijun,
             (max({H}) OVER {R(52)} + min({L}) OVER {R(52)}) / 2 AS sb, lead({C}, 26) OVER {W} AS chikan FROM bars)''')
+on_bars("b5_ichimoku_original", lambda b: indicators.ichimoku(b, original=True), d("tankan", "kijun", "senkou_a", "senkou_b", "chikan"),
+        f'''SELECT symbol, "Date", tankan, kijun, chikan, lag((tankan + kijun) / 2, 26) OVER {W} AS senkou_a, lag(sb, 26) OVER {W} AS senkou_b FROM (SELECT *, ({roll("avg", H, 9)} + {roll("avg", L, 9)}) / 2 AS tankan,
+            ({roll("avg", H, 26)} + {roll("avg", L, 26)}) / 2 AS kijun, ({roll("avg", H, 52)} + {roll("avg", L, 52)}) / 2 AS sb, lead({C}, 26) OVER {W} AS chikan FROM bars)''')
 _ROC = ", ".join(f"{C} / nullif({lag(C, k)}, 0) - 1 AS r{j}" for j, k in enumerate((10, 15, 20, 30)))
 on_bars("b6_kst", indicators.kst, d("kst", "kst_sign", "kst_diff"),
         f'''SELECT *, (dd - avg(dd) OVER {ALL}) / nullif(stddev_samp(dd) OVER {ALL}, 0) AS kst_diff FROM (SELECT *, kst - kst_sign AS dd FROM (SELECT *, avg(kst) OVER {R(9)} AS kst_sign FROM (SELECT *, 100 * ({" + ".join(f"{j + 1} * avg(r{j}) OVER {R(n)}" for j, n in enumerate((10, 10, 10, 15)))}) AS kst FROM (SELECT *, {_ROC} FROM bars))))''')
@@ -224,8 +245,8 @@ on_bars("b31_tsi", _rec("tsi"), d("tsi", "tsi_sign"),
         f'''WITH m AS (SELECT symbol, i, {C} - coalesce({lag(C)}, avg({C}) OVER {ALL}) AS m, abs({C} - coalesce({lag(C)}, avg({C}) OVER {ALL})) AS a FROM bars), {ema_sql("m", "m", 1 / 26, 0, "m1")}, {ema_sql("m1_e", "m1", 1 / 14, 0, "m2")}, {ema_sql("m", "a", 1 / 26, 0, "a1")}, {ema_sql("a1_e", "a1", 1 / 14, 0, "a2")},
             t AS (SELECT symbol, i, 100 * m2 / nullif(a2, 0) AS tsi FROM m2_e JOIN a2_e USING (symbol, i)), {ema_sql("t", "tsi", 2 / 8, 7, "tsi_sign")} SELECT * FROM bars JOIN t USING (symbol, i) JOIN tsi_sign_e USING (symbol, i)''')
 on_bars("b36_keltner", _rec("keltner"), d("kc_middle", "kc_high", "kc_low"),
-        f'''WITH RECURSIVE x AS (SELECT *, avg(tr) OVER {R(10)} AS w, avg(tp) OVER {R(10)} AS kc_middle FROM (SELECT *, ({H} + {L} + {C}) / 3 AS tp, greatest({H} - {L}, abs({H} - {lag(C)}), abs({L} - {lag(C)})) AS tr FROM bars)),
-            rec(symbol, i, r) AS (SELECT symbol, i, w FROM x WHERE i <= 10 UNION ALL SELECT x.symbol, x.i, (rec.r * 13 + x.tr) / 14 FROM rec JOIN x ON x.symbol = rec.symbol AND x.i = rec.i + 1 WHERE rec.i >= 10)
+        f'''WITH RECURSIVE x AS (SELECT *, avg(tr) OVER {R(14)} AS w, avg(tp) OVER {R(10)} AS kc_middle FROM (SELECT *, ({H} + {L} + {C}) / 3 AS tp, greatest({H} - {L}, abs({H} - {lag(C)}), abs({L} - {lag(C)})) AS tr FROM bars)),
+            rec(symbol, i, r) AS (SELECT symbol, i, w FROM x WHERE i <= 14 UNION ALL SELECT x.symbol, x.i, (rec.r * 13 + x.tr) / 14 FROM rec JOIN x ON x.symbol = rec.symbol AND x.i = rec.i + 1 WHERE rec.i >= 14)
             SELECT *, kc_middle + 2 * r AS kc_high, kc_middle - 2 * r AS kc_low FROM x JOIN rec USING (symbol, i)''')
 on_bars("b1_adx", _rec("adx"), d("pdi", "mdi", "adx_strength", "adx_value", "adx_value_prediction"),
         f'''WITH x AS (SELECT *, greatest({H} - {lag(H)}, 0) AS u0, greatest({lag(L)} - {L}, 0) AS w0, greatest({H} - {L}, abs({H} - {lag(C)}), abs({L} - {lag(C)})) AS tr FROM bars), y AS (SELECT *, CASE WHEN i > 1 THEN u0 END AS u, CASE WHEN i > 1 THEN w0 END AS w FROM x),
@@ -234,6 +255,25 @@ on_bars("b1_adx", _rec("adx"), d("pdi", "mdi", "adx_strength", "adx_value", "adx
             v AS (SELECT symbol, i, adx_value, adx_value - {_BY_I(lag("adx_value"))} AS ch FROM adx_value_e), {ema_sql("v", "ch", 0.5, 3, "ec")}, p AS (SELECT symbol, i, adx_value + ec AS g FROM v JOIN ec_e USING (symbol, i)), {ema_sql("p", "g", 2 / 6, 5, "adx_value_prediction")}
             SELECT * FROM z JOIN adx_strength_e USING (symbol, i) JOIN adx_value_e USING (symbol, i) JOIN adx_value_prediction_e USING (symbol, i)''')
 
+on_bars("b21_nvi_ema", lambda b: recursive.recursive_block(indicators.nvi(b), ["nvi_ema"]), d("nvi_ema"), f'WITH h AS ({_BODY["b21_nvi"]}), {ema_sql("h", "nvi", 2 / 256, 255, "nvi_ema")} SELECT * FROM h JOIN nvi_ema_e USING (symbol, i)')
+
+
+def crosses(x: str, up: str = "b", down: str = "s") -> str:
+    """The way in which x passes zero."""
+    return f"CASE WHEN {x} > 0 AND {lag(x)} <= 0 OR {x} = 0 AND {lag(x)} < 0 THEN '{up}' WHEN {x} < 0 AND {lag(x)} >= 0 OR {x} = 0 AND {lag(x)} > 0 THEN '{down}' ELSE 'n' END"
+
+
+on_bars("b7_macd_signal", lambda b: indicators.macd_signal(_rec("macd")(b)), d("macd_diff") | {"macd_signal": "s"}, f"SELECT *, {crosses('macd_diff')} AS macd_signal FROM ({_BODY['c2_ema']})")
+on_bars("b8_mass_signal", lambda b: indicators.mass_signal(_rec("mass_index")(b)), d("mi") | {"mi_signal": "s"},
+        f"SELECT *, CASE WHEN {crosses('(mi - 26.5)')} = 's' THEN 's' WHEN {crosses('(mi - 27)')} = 'b' THEN 'b' ELSE 'n' END AS mi_signal FROM ({_BODY['b8_mass_index']})")
+on_bars("b29_srsi_signal", lambda b: indicators.srsi_signal(_rec("rsi")(b)), d("srsi") | {"srsi_signal": "s"}, f"SELECT *, CASE WHEN srsi < 20 THEN 'b' WHEN srsi > 80 THEN 's' ELSE 'n' END AS srsi_signal FROM ({_BODY['b28_rsi']})")
+on_bars("b31_tsi_signals", lambda b: indicators.tsi_signals(_rec("tsi")(b)), d("tsi") | {"tsi_fast_slow_signal": "s", "tsi_centerline_signal": "s"},
+        f"SELECT *, {crosses('(tsi - tsi_sign)')} AS tsi_fast_slow_signal, {crosses('tsi')} AS tsi_centerline_signal FROM ({_BODY['b31_tsi']})")
+_KC = f"CASE WHEN {C} > kc_high THEN 's' WHEN {C} < kc_low THEN 'b' ELSE 'n' END AS kc_signal"
+on_bars("b36_keltner_signal", lambda b: indicators.keltner_signal(_rec("keltner")(b)), d("kc_middle") | {"kc_signal": "s"}, f"SELECT *, {_KC} FROM ({_BODY['b36_keltner']})")
+on_bars("b36_keltner_bands", lambda b: indicators.keltner_signal(indicators.keltner_bands(b)), d("kc_middle", "kc_high", "kc_low") | {"kc_signal": "s"},
+        f"SELECT *, {_KC} FROM (SELECT *, avg(({H} + {L} + {C}) / 3) OVER {R(10)} AS kc_middle, avg((4 * {H} - 2 * {L} + {C}) / 3) OVER {R(10)} AS kc_high, avg((4 * {L} - 2 * {H} + {C}) / 3) OVER {R(10)} AS kc_low FROM bars)")
+
 # --- finance ---
 _HPR = f'SELECT symbol, arg_max({C}, "Date") / nullif(arg_min({C}, "Date"), 0) - 1 AS hpr, date_diff(\'day\', min("Date"), max("Date")) AS days FROM bars GROUP BY symbol'
 _RATES = "hpr, CASE WHEN days > 0 THEN pow(1 + hpr, 365.0 / days) - 1 END AS ear, hpr / nullif(days / 365.0, 0) AS apr, CASE WHEN days > 0 AND hpr > -1 THEN ln(pow(1 + hpr, 365.0 / days)) END AS ccr"
@@ -242,6 +282,14 @@ _AV = f'''SELECT symbol, CASE WHEN date_diff('day', min("Date"), max("Date")) <=
 on_bars("h3_annual_volatility", lambda b: finance.annual_volatility(panel.change_rate(b)), d("volatility"), _AV, keys="symbol", symbol="p_brand")
 on_bars("h6_sharpe", lambda b: finance.sharpe(panel.change_rate(b)), d("sharpe"), f"SELECT symbol, (ear - 0.04) / nullif(volatility, 0) AS sharpe FROM (SELECT symbol, {_RATES} FROM ({_HPR})) JOIN ({_AV}) USING (symbol)", keys="symbol", symbol="p_brand")
 on_bars("h7_max_drawdown", finance.max_drawdown, d("max_drawdown"), f'SELECT a.symbol, min(b.{C} / a.{C} - 1) AS max_drawdown FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.i >= a.i GROUP BY a.symbol', keys="symbol", symbol="p_brand")
+_SPAN = ("1994-01-01", "1996-12-31")
+_IN = "\"Date\" BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'"
+_AV_SPAN = f'''SELECT symbol, CASE WHEN n <= 1 THEN 0.0 ELSE sqrt(v * 365.0 / (n - 1)) END AS volatility FROM (SELECT symbol, var_samp(r) AS v, date_diff('day', min("Date") FILTER (WHERE {_IN}), max("Date") FILTER (WHERE {_IN})) AS n
+            FROM (SELECT *, {C} / nullif({lag(C)}, 0) - 1 AS r FROM bars) GROUP BY symbol)'''
+_HPR_SPAN = _HPR.replace("FROM bars", f"FROM bars WHERE {_IN}")
+on_bars("h3_annual_volatility_span", lambda b: finance.annual_volatility(panel.change_rate(b), "rate", *_SPAN), d("volatility"), _AV_SPAN, keys="symbol", symbol="p_brand")
+on_bars("h6_sharpe_span", lambda b: finance.sharpe(panel.change_rate(b), 0.04, "Close", *_SPAN), d("sharpe"), f"SELECT symbol, (ear - 0.04) / nullif(volatility, 0) AS sharpe FROM (SELECT symbol, {_RATES} FROM ({_HPR_SPAN})) JOIN ({_AV_SPAN}) USING (symbol)", keys="symbol", symbol="p_brand")
+on_bars("h7_max_drawdown_span", lambda b: finance.max_drawdown(b, "Close", *_SPAN), d("max_drawdown"), f'SELECT a.symbol, min(b.{C} / a.{C} - 1) AS max_drawdown FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.i >= a.i WHERE a.{_IN} AND b.{_IN} GROUP BY a.symbol', keys="symbol", symbol="p_brand")
 on_bars("h5_period_rate_risk", lambda b: finance.period_rate_risk(b, "month"), d("hpr", "ccr", "rate_mean", "rate_std"),
         f'''SELECT symbol, period, hpr, CASE WHEN days > 0 AND pow(1 + hpr, 365.0 / days) - 1 > -1 THEN ln(1 + (pow(1 + hpr, 365.0 / days) - 1)) END AS ccr, rate_mean, rate_std FROM (SELECT symbol, CAST(date_trunc('month', "Date") AS DATE) AS period, arg_max({C}, "Date") / nullif(arg_min({C}, "Date"), 0) - 1 AS hpr,
             date_diff('day', min("Date"), max("Date")) AS days, avg(r) AS rate_mean, stddev_samp(r) AS rate_std, count(*) AS n FROM (SELECT *, {C} / nullif({lag(C)}, 0) - 1 AS r FROM bars) GROUP BY 1, 2) WHERE n > 1''', keys="symbol, period", digits=3)
