@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.series import crossover, ffill, normalize, rule_value, streak
 from marketloom.operators.patterns import line_place
-from marketloom.panel import div, lag
+from marketloom.panel import by_symbol, div, lag
 
 
 def _sign(condition: Column) -> Column:
@@ -110,3 +110,40 @@ def simple_trends(df: DataFrame, names: Iterable[str]) -> DataFrame:
             df = df.withColumn("_before", lag(name))
         df = df.withColumn(f"{name}_trend", rule_value([(up, "u"), (down, "d")], neither)).drop("_before")
     return df
+
+
+def trend_channel(df: DataFrame, max_period: int = 60, min_period: int = 5, skip: int = 3, margin: float = 0.3, least: float = 0.001) -> DataFrame:
+    """linear_fit_high and linear_fit_low: lines through the newest highs and lows, drawn over all rows from the first one fitted.
+
+    The fit runs between extremes of the last max_period rows and half of them, the newest skip - 1 left out; one of the four is the
+    least High. A slope under `least` of the middle price gives a flat line at the extreme. Rows are counted from 0 in the fit and
+    from 1 where the lines are drawn. Only the rows looked at leave the first exchange; symbols under `skip` rows have nulls.
+    """
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("Date")))
+    tail = df.select("symbol", "Date", "High", "Low", back.alias("_back"), (F.count("*").over(Window.partitionBy("symbol")) - back).alias("_x")).filter(F.col("_back") < max_period + skip)
+    day_no = F.unix_date("Date")
+
+    def extreme(c: str, n: int, sign: int) -> Column:
+        """The first date with the greatest (or least) value of n rows."""
+        return F.max_by("Date", F.when(F.col("_back").between(skip, skip + n - 1), F.struct(F.col(c) * sign, -day_no)))
+
+    at = lambda n: F.max(F.when(F.col("_back") == n, F.col("Date")))
+    half = max_period // 2
+    ends = tail.groupBy("symbol").agg(
+        F.array(extreme("High", half, 1), extreme("Low", half, -1), extreme("High", max_period, 1), extreme("High", max_period, -1)).alias("_at"),
+        F.min(F.when(F.col("_back") <= max_period, F.col("Date"))).alias("_earliest"), at(skip).alias("_latest"), at(skip + min_period - 1).alias("_mid"))
+    ends = ends.withColumn("_end", F.coalesce(F.array_max(F.filter("_at", lambda x: x > F.col("_mid"))), "_latest"))
+    ends = ends.withColumn("_start", F.coalesce(F.array_max(F.filter("_at", lambda x: (x < F.col("_mid")) & (F.datediff("_end", x) > min_period))), "_earliest"))
+    fitted, known = F.col("Date").between(F.col("_start"), F.col("_end")), F.col("Date").between(F.col("_start"), F.col("_latest"))
+    aggregates = [F.min(F.when(fitted, F.col("_x"))).alias("_first"), F.count_if(fitted).alias("_n")]
+    for c, pick in (("High", F.max), ("Low", F.min)):
+        y = F.when(fitted, F.col(c))
+        aggregates += [F.regr_slope(y, F.col("_x").cast("double")).alias(f"_s{c}"), F.regr_intercept(y, F.col("_x").cast("double")).alias(f"_i{c}"),
+                       F.round((F.max(y) + F.min(y)) / 2, 3).alias(f"_m{c}"), F.stddev_samp(y).alias(f"_d{c}"), pick(F.when(known, F.col(c))).alias(f"_e{c}")]
+    fits = tail.join(ends.select("symbol", "_start", "_end", "_latest"), "symbol").groupBy("symbol").agg(*aggregates)
+    out = df.join(fits, "symbol", "left").withColumn("_row", F.row_number().over(by_symbol()))
+    for c, side in (("High", 1), ("Low", -1)):
+        flat = (F.col("_n") < 2) | (F.round(div(F.abs(f"_s{c}"), F.col(f"_m{c}")), 5) < least)
+        line = F.when(flat, F.col(f"_e{c}")).otherwise(F.col(f"_s{c}") * F.col("_row") + F.col(f"_i{c}"))
+        out = out.withColumn(f"linear_fit_{c.lower()}", F.when(F.col("_row") >= F.col("_first"), line + F.col(f"_d{c}") * (side * margin)))
+    return out.drop("_row", *[c for c in fits.columns if c != "symbol"])

@@ -211,3 +211,15 @@ on_bars("g7_actions", lambda b: scores.actions(fed(_DEED)(b)), s(*scores.ACTIONS
 # --- the whole analysis ---
 on_bars("g8_feature_pipeline", lambda b: analysis.feature_pipeline(b, "1997-01-01"), d("trend_score", "trigger_score", "pattern_score", "signal_day") | s("trend", "potential", "label", "signal", "pattern_description", *scores.ACTIONS), sql=False)
 on_bars("g16_as_of_replay", lambda b: analysis.as_of_replay(b, "1998-03-02", "1998-03-06", 120), {"as_of": "s"} | s("trend", "potential", "signal"), sql=False)
+
+_FIT = "f.\"Date\" BETWEEN s AND e"
+on_bars("d12_trend_channel", trends.trend_channel, d("linear_fit_high", "linear_fit_low"),
+        f'''WITH t AS (SELECT *, n_rows - i + 1 AS back FROM bars), c AS (SELECT symbol, max("Date") FILTER (WHERE back = 3) AS d3, max("Date") FILTER (WHERE back = 7) AS d7, min("Date") FILTER (WHERE back <= 60) AS d60,
+              [first("Date" ORDER BY "High" DESC, "Date") FILTER (WHERE back BETWEEN 3 AND 32), first("Date" ORDER BY "Low", "Date") FILTER (WHERE back BETWEEN 3 AND 32),
+               first("Date" ORDER BY "High" DESC, "Date") FILTER (WHERE back BETWEEN 3 AND 62), first("Date" ORDER BY "High", "Date") FILTER (WHERE back BETWEEN 3 AND 62)] AS four FROM t GROUP BY symbol),
+            u AS (SELECT symbol, d3, d7, d60, unnest(four) AS x FROM c), v AS (SELECT symbol, coalesce(max(x) FILTER (WHERE x > d7), max(d3)) AS e FROM u GROUP BY symbol),
+            w AS (SELECT symbol, max(e) AS e, max(d3) AS d3, coalesce(max(x) FILTER (WHERE x < d7 AND x < e - INTERVAL 5 DAY), max(d60)) AS s FROM u JOIN v USING (symbol) GROUP BY symbol),
+            g AS (SELECT f.symbol, min(f.i - 1) FILTER (WHERE {_FIT}) AS x0, count(*) FILTER (WHERE {_FIT}) AS n, {", ".join(f"""regr_slope("{c}", f.i - 1) FILTER (WHERE {_FIT}) AS {k}s, regr_intercept("{c}", f.i - 1) FILTER (WHERE {_FIT}) AS {k}i,
+                round((max("{c}") FILTER (WHERE {_FIT}) + min("{c}") FILTER (WHERE {_FIT})) / 2, 3) AS {k}m, stddev_samp("{c}") FILTER (WHERE {_FIT}) AS {k}d, {m}("{c}") FILTER (WHERE f."Date" BETWEEN s AND d3) AS {k}e""" for c, k, m in (("High", "h", "max"), ("Low", "l", "min")))}
+              FROM t f JOIN w USING (symbol) GROUP BY f.symbol)
+            SELECT symbol, "Date", {", ".join(f"CASE WHEN i >= x0 THEN CASE WHEN n < 2 OR round(abs({k}s) / {k}m, 5) < 0.001 THEN {k}e ELSE {k}s * i + {k}i END {way} 0.3 * {k}d END AS linear_fit_{c}" for c, k, way in (("high", "h", "+"), ("low", "l", "-")))} FROM bars JOIN g USING (symbol)''')
