@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.series import crossover, ffill, normalize, rule_value, streak
 from marketloom.operators.patterns import line_place
-from marketloom.panel import by_symbol, div, lag
+from marketloom.panel import by_symbol, div, lag, whole
 
 
 def _sign(condition: Column) -> Column:
@@ -147,3 +147,20 @@ def trend_channel(df: DataFrame, max_period: int = 60, min_period: int = 5, skip
         line = F.when(flat, F.col(f"_e{c}")).otherwise(F.col(f"_s{c}") * F.col("_row") + F.col(f"_i{c}"))
         out = out.withColumn(f"linear_fit_{c.lower()}", F.when(F.col("_row") >= F.col("_first"), line + F.col(f"_d{c}") * (side * margin)))
     return out.drop("_row", *[c for c in fits.columns if c != "symbol"])
+
+
+def renko_place(df: DataFrame) -> DataFrame:
+    """After the renko block and candle_shape: the newest bricks held until the next, their dates, rows since, and where the body lies."""
+    own = {"renko_real": F.when(F.col("renko_distance") > 0, "green").when(F.col("renko_distance") < 0, "red"), "renko_start": F.when(F.col("renko_o").isNotNull(), F.col("Date"))}
+    out = df.withColumns(own).withColumn("_next", F.min("renko_start").over(by_symbol().rowsBetween(1, Window.unboundedFollowing)))
+    out = out.withColumn("renko_end", F.when(F.col("renko_start").isNotNull(), F.coalesce("_next", F.max("Date").over(whole()))))
+    out = out.withColumns({"renko_h": F.greatest("renko_o", "renko_c"), "renko_l": F.least("renko_o", "renko_c"), "renko_color": F.col("renko_real")})
+    out = out.withColumns({c: ffill(c) for c in ("renko_o", "renko_h", "renko_l", "renko_c", "renko_color", "renko_distance", "renko_brick_number", "renko_start", "renko_end")})
+    way = F.when(F.col("renko_real").isNotNull(), 0).when(F.col("renko_color") == "green", 1).when(F.col("renko_color") == "red", -1)
+    out = streak(out.withColumn("_way", way), "_way", "renko_day")
+    top, bottom = "body_top {} renko_{}", "body_bottom {} renko_{}"
+    rules = [(" AND ".join(["renko_real IS NULL", *parts]), value) for parts, value in (
+        ((top.format(">", "h"), "body_bottom >= renko_l AND body_bottom < renko_h"), "mid_up"), ((top.format("<=", "h"), bottom.format(">=", "l")), "mid"),
+        ((top.format(">", "h"), bottom.format("<", "l")), "out"), ((bottom.format("<", "l"), "body_top > renko_l AND body_top <= renko_h"), "mid_down"))]
+    rules = [("body_bottom >= renko_h OR renko_real = 'green'", "up"), *rules, ("body_top <= renko_l OR renko_real = 'red'", "down")]
+    return out.withColumn("renko_position", rule_value(rules, "")).drop("_next", "_way")

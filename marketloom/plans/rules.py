@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom import panel
 from marketloom.functions import series
-from marketloom.operators import finance, indicators, levels, scores, trends
+from marketloom.operators import finance, indicators, levels, recursive, scores, trends
 from marketloom.plans import analysis
 from marketloom.plans import registry as R
 from marketloom.plans.registry import W, d, lag, on_bars, roll
@@ -223,3 +223,28 @@ on_bars("d12_trend_channel", trends.trend_channel, d("linear_fit_high", "linear_
                 round((max("{c}") FILTER (WHERE {_FIT}) + min("{c}") FILTER (WHERE {_FIT})) / 2, 3) AS {k}m, stddev_samp("{c}") FILTER (WHERE {_FIT}) AS {k}d, {m}("{c}") FILTER (WHERE f."Date" BETWEEN s AND d3) AS {k}e""" for c, k, m in (("High", "h", "max"), ("Low", "l", "min")))}
               FROM t f JOIN w USING (symbol) GROUP BY f.symbol)
             SELECT symbol, "Date", {", ".join(f"CASE WHEN i >= x0 THEN CASE WHEN n < 2 OR round(abs({k}s) / {k}m, 5) < 0.001 THEN {k}e ELSE {k}s * i + {k}i END {way} 0.3 * {k}d END AS linear_fit_{c}" for c, k, way in (("high", "h", "+"), ("low", "l", "-")))} FROM bars JOIN g USING (symbol)''')
+
+
+def _renko_sql(sizes: str) -> str:
+    """Bricks one row at a time from sizes (all of bars with bsz), then held and placed."""
+    held = lambda c: f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i) AS {c}"
+    return f'''WITH RECURSIVE {sizes}, z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS j FROM sized WHERE bsz > 0),
+      b(symbol, i, j, side, level, size, prev, o, n) AS (SELECT symbol, i, j, 1::BIGINT, floor({C} / bsz) * bsz, bsz, bsz, floor({C} / bsz) * bsz - bsz, 1::BIGINT FROM z WHERE j = 1 UNION ALL
+        SELECT symbol, i, j, CASE WHEN k <= -2 THEN -side ELSE side END, CASE WHEN k >= 1 THEN level + side * k * size WHEN k <= -2 THEN level - side * prev + side * (k + 1) * size ELSE level END,
+          CASE WHEN k BETWEEN -1 AND 0 THEN size ELSE bsz END, CASE WHEN k BETWEEN -1 AND 0 THEN prev ELSE size END, CASE WHEN k >= 1 THEN level WHEN k <= -2 THEN level - side * prev END, CASE WHEN k >= 1 THEN k WHEN k <= -2 THEN -k - 1 END
+        FROM (SELECT z.symbol, z.i, z.j, z.bsz, b.side, b.level, b.size, b.prev, b.side * CAST(trunc((z.{C} - b.level) / b.size) AS BIGINT) AS k FROM b JOIN z ON z.symbol = b.symbol AND z.j = b.j + 1)),
+      y AS (SELECT a.symbol, a."Date", a.i, greatest(a.{O}, a.{C}) AS bt, least(a.{O}, a.{C}) AS bb, b.o AS renko_o, CASE WHEN b.n > 0 THEN b.level END AS renko_c, CASE WHEN b.n > 0 THEN CASE WHEN b.side > 0 THEN 'green' ELSE 'red' END END AS renko_color,
+              abs(b.level - b.o) * b.side AS renko_distance, b.n AS renko_brick_number, CASE WHEN b.n > 0 THEN a."Date" END AS st, b.n > 0 AS own, max(a."Date") OVER (PARTITION BY a.symbol) AS newest FROM bars a LEFT JOIN b USING (symbol, i)),
+      e AS (SELECT *, CASE WHEN own THEN coalesce(min(st) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), newest) END AS en, last_value(CASE WHEN own THEN i END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i) AS brick FROM y),
+      h AS (SELECT symbol, "Date", i, bt, bb, own, brick, {", ".join(held(c) for c in ("renko_o", "renko_c", "renko_color", "renko_distance", "renko_brick_number", "st", "en"))} FROM e)
+      SELECT *, CAST(st AS VARCHAR) AS renko_start, CAST(en AS VARCHAR) AS renko_end, (i - brick) * CASE WHEN renko_color = 'green' THEN 1 ELSE -1 END AS renko_day,
+        CASE WHEN bt <= least(renko_o, renko_c) OR (own AND renko_color = 'red') THEN 'down' WHEN own THEN 'up' WHEN bb < least(renko_o, renko_c) AND bt <= greatest(renko_o, renko_c) THEN 'mid_down' WHEN bb < least(renko_o, renko_c) THEN 'out'
+          WHEN bt <= greatest(renko_o, renko_c) THEN 'mid' WHEN bb < greatest(renko_o, renko_c) THEN 'mid_up' WHEN bb >= greatest(renko_o, renko_c) THEN 'up' ELSE '' END AS renko_position FROM h'''
+
+
+_RENKO = d("renko_o", "renko_c", "renko_distance", "renko_brick_number", "renko_day") | s("renko_color", "renko_start", "renko_end", "renko_position")
+for _name, _block, _sizes in (
+        ("b13_renko", "renko", f'''q AS (SELECT *, avg(tr) OVER {R.R(14)} AS w FROM (SELECT *, greatest({H} - {L}, abs({H} - {lag(C)}), abs({L} - {lag(C)})) AS tr FROM bars)),
+            rec(symbol, i, r) AS (SELECT symbol, i, w FROM q WHERE i <= 14 UNION ALL SELECT q.symbol, q.i, (rec.r * 13 + q.tr) / 14 FROM rec JOIN q ON q.symbol = rec.symbol AND q.i = rec.i + 1 WHERE rec.i >= 14), sized AS (SELECT *, round_even(r, 3) AS bsz FROM q JOIN rec USING (symbol, i))'''),
+        ("b13_renko_fixed", "renko_fixed", f"sized AS (SELECT *, round_even(first_value({C}) OVER (PARTITION BY symbol ORDER BY i) * 0.077::DOUBLE, 3) AS bsz FROM bars)")):
+    on_bars(_name, lambda b, block=_block: trends.renko_place(indicators.candle_shape(recursive.recursive_block(b, [block]))), _RENKO, _renko_sql(_sizes))

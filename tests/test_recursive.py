@@ -5,6 +5,7 @@ import math
 import pandas as pd
 import pytest
 
+from marketloom.operators import indicators, trends
 from marketloom.operators.recursive import INDICATORS, recursive_block
 
 BARS = [("a", i, 10 + 4 * math.sin(i / 5) + i % 3 * 0.3, i % 4) for i in range(90)] + [("b", 0, 5.0, 1), ("c", 0, 5.0, 1), ("c", 1, 6.0, 1)]
@@ -56,3 +57,22 @@ def test_trend_cycle(bars):
     assert any(v is not None for v in want)
     for a, b in zip(got, want):
         assert (b is None and pd.isna(a)) or a == pytest.approx(b, abs=1e-6)
+
+
+def test_renko(spark, bars):
+    p = pd.DataFrame({"Close": [100.0, 101, 93, 80, 100, 101]}).assign(High=lambda x: x["Close"], Low=lambda x: x["Close"])
+    got = INDICATORS["renko_fixed"][0](p)
+    want = {"renko_o": [84.7, 92.4, None, 92.4, None, 92.4], "renko_c": [92.4, 100.1, None, 84.7, None, 100.1], "renko_distance": [7.7, 7.7, None, -7.7, None, 7.7], "renko_brick_number": [1, 1, None, 1, None, 1]}
+    for name, values in want.items():
+        assert [None if pd.isna(x) else round(x, 6) for x in got[name]] == values
+    flat = p.assign(Close=0.0, High=0.0, Low=0.0)
+    assert all(x.isna().all() for name in ("renko", "renko_fixed") for x in INDICATORS[name][0](flat).values())
+    out = trends.renko_place(indicators.candle_shape(recursive_block(spark.createDataFrame(bars), ["renko"])))
+    assert out.count() == len(bars) and trends.renko_place(indicators.candle_shape(recursive_block(spark.createDataFrame(bars).limit(0), ["renko"]))).count() == 0
+
+
+def test_channel_of_few_rows(spark, bars):
+    got = trends.trend_channel(spark.createDataFrame(bars)).toPandas()
+    assert len(got) == len(bars)
+    assert got[got["symbol"] != "a"][["linear_fit_high", "linear_fit_low"]].isna().all().all()
+    assert got[got["symbol"] == "a"].sort_values("Date")["linear_fit_high"].notna().iloc[-1]
