@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, language, lines, neardup, packing, passages, quality, sharding, tokens, urls
+from marketloom.llm import centroids, decontaminate, language, lines, neardup, negatives, packing, passages, quality, sharding, simhash, tokens, urls
 from marketloom.llm.common import table
 
 #: Fixed by the contract: host, path, verdict.
@@ -60,9 +60,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, rows.filter("vec_id % 100 = 0").select("vec_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_decontaminate, op4_line_dedup, op5_substring_dedup,
-                                    op6_url_rules, op7_near_duplicates, op8_histogram_shards, op9_language, op10_packing)}
+                                    op6_url_rules, op7_near_duplicates, op8_histogram_shards, op9_language, op10_packing, op11_centroids, op12_simhash, op13_hard_negatives)}
 
 
 OP4_SQL = """
@@ -100,5 +113,38 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, m = w.doc_id A
 """
 
 
+#: What op11's and op13's twins need of the vectors: those that take part, as integers.
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)"
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round as two tables: the nearest centroid of every vector, and the floors of the means."""
+    parts = [f"v AS (SELECT vec_id, {_WHOLE} AS q FROM embeddings WHERE {_FINITE} AND len(embedding) = 64)",
+             f"c0 AS (SELECT rn - 1 AS c, q FROM (SELECT q, row_number() OVER (ORDER BY sha256('2:' || vec_id), q) AS rn FROM v) WHERE rn <= {k})"]
+    near = "SELECT vec_id, v.q, min(struct_pack(d := list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c.c)) AS m FROM v CROSS JOIN c{} c GROUP BY vec_id, v.q"
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({near.format(i)})")
+        parts.append(f"s{i} AS (SELECT m.c AS c, i, sum(q[i]) AS s, count(*) AS n FROM a{i}, unnest(range(1, 65)) AS u(i) GROUP BY ALL)")
+        parts.append(f"m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{i} GROUP BY c)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)")
+    parts.append(f"z AS MATERIALIZED ({near.format(rounds)})")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(e.q, ',')) AS centroid_sha256 FROM z JOIN c{rounds} e ON e.c = m.c"""
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op11_centroids": _op11_sql(), "op13_hard_negatives": OP13_SQL}

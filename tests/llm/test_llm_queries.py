@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketloom.llm import common, decontaminate, language, lines, neardup, packing, passages, quality, sharding, tokens, urls
+from marketloom.llm import centroids, common, decontaminate, language, lines, neardup, negatives, packing, passages, quality, sharding, simhash, tokens, urls
 from marketloom.llm.components import connected_components
 from marketloom.llm.queries import oracle_sql, queries
 
@@ -522,6 +523,209 @@ def test_hilbert_neighbours_touch():
     assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
+# --- 11 ---
+
+def vector_rows(spark, rows):
+    return spark.createDataFrame([(*r, 1, "clash") for r in rows], "vec_id long, embedding array<double>, label int, cluster int, q string").repartition(3)
+
+
+def brute_clusters(rows, dim, k, rounds, scale=256):
+    """vec_id, cluster, distance of each kept row, in plain integers."""
+    import hashlib
+    import math
+
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v, _ in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"2:{r[0]}".encode()).hexdigest(), r[1]))
+    now = [q for _, q in order[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(q, c)), j) for j, c in enumerate(now)) for _, q in kept]
+
+    for _ in range(rounds):
+        own = assign()
+        for j in range(len(now)):
+            held = [q for (_, q), (_, c) in zip(kept, own) if c == j]
+            if held:
+                now[j] = [sum(x) // len(held) for x in zip(*held)]
+    return [(i, c, d) for (i, _), (d, c) in zip(kept, assign())]
+
+
+def test_centroids_of_awkward_rows(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, (r.integers(-3, 4, 8) / 4.0).tolist(), 0) for i in range(120)]  # many ties
+    rows += [(i, rows[3][1], 0) for i in range(200, 260)]  # copies
+    rows += [(7, [9.0] * 8, 0), (7, [-9.0] * 8, 0), (None, [0.5] * 8, 0), (300, None, 0), (301, [1.0] * 7, 0), (302, [], 0), (303, [float("nan")] + [0.0] * 7, 0),
+             (304, [float("inf")] + [0.0] * 7, 0), (305, [None] + [0.0] * 7, 0), (306, [-0.001] * 8, None)]
+    got = centroids.cluster_vectors(vector_rows(spark, rows), dim=8, k=12, rounds=5, leading=3).toPandas()
+    key = lambda x: (x[0] is None or x[0] != x[0], *map(float, x[1:]), 0 if x[0] is None or x[0] != x[0] else x[0])
+    mine = sorted(((None if x.vec_id != x.vec_id else int(x.vec_id), x.cluster, x.distance) for x in got.itertuples()), key=key)
+    assert mine == sorted(brute_clusters(rows, 8, 12, 5), key=key)
+    assert (got.inertia == got.distance.sum()).all() and (got.cluster_inertia == got.groupby("cluster").distance.transform("sum")).all()
+
+
+def test_few_and_no_vectors(spark):
+    rows = vector_rows(spark, [(1, [1.0, 2.0], 0), (2, [1.0, 2.5], 0)])
+    assert centroids.cluster_vectors(rows, dim=2).count() == 2
+    assert centroids.cluster_vectors(rows.filter("vec_id < 0"), dim=2).count() == 0
+    with pytest.raises(Exception, match="ArithmeticError"):
+        centroids.cluster_vectors(vector_rows(spark, [(1, [1e300, 2.0], 0)]), dim=2).count()
+
+
+def test_bounds_leave_few_centroids():
+    r = np.random.default_rng(3)
+    middle = r.normal(0, 200, (40, 64))
+    q = np.floor(middle[r.integers(0, 40, 2000)] + r.normal(0, 20, (2000, 64))).astype(np.int64)
+    now = np.floor(middle).astype(np.int64)
+    mean, axes = centroids.rotation(len(q), q.sum(axis=0).astype(float), (q.T @ q).astype(float))
+    chosen, least, n = centroids.nearest(q, *centroids.rotated(q, mean, axes, 16), now, *centroids.rotated(now, mean, axes, 16))
+    d = ((q[:, None, :] - now[None]) ** 2).sum(axis=2)
+    assert (chosen == d.argmin(axis=1)).all() and (least == d.min(axis=1)).all() and n < 3 * len(q)
+
+
+# --- 12 ---
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_near(ids, marks, near=4):
+    """The least id of each row's component."""
+    part = list(range(len(ids)))
+
+    def top(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    x = np.array(marks, dtype=np.uint64)
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= near) + i + 1:
+            part[top(j)] = top(i)
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(top(i), []).append(ids[i])
+    return [min((d for d in groups[top(i)] if d is not None), default=None) for i in range(len(ids))]
+
+
+def test_simhash(spark, documents):
+    got = run(spark, "op12_").set_index("doc_id")
+    marks = [brute_fingerprint(t) for t in documents.text]
+    assert got.loc[documents.doc_id].fingerprint.tolist() == [f"{x:016x}" for x in marks]
+    assert got.loc[documents.doc_id].component_id.tolist() == brute_near(documents.doc_id.tolist(), marks)
+
+
+def test_simhash_awkward(awkward, nothing, spark):
+    got = simhash.simhash_duplicates(awkward).toPandas().set_index("doc_id")
+    marks = [brute_fingerprint(t) for _, t in AWKWARD]
+    assert got.loc[[i for i, _ in AWKWARD]].fingerprint.tolist() == [f"{x:016x}" for x in marks]
+    assert got.loc[[i for i, _ in AWKWARD]].component_id.tolist() == brute_near([i for i, _ in AWKWARD], marks)
+    assert simhash.simhash_duplicates(nothing).count() == 0
+    rows = [(5, "a b c d e f"), (5, "other words of this row"), (3, "other words of this row"), (7, "a b c d e f"), (None, "alone in the world here"), (None, "a b c d e f"), (5, "a b c d e f")]
+    got = simhash.simhash_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    want = list(zip(*zip(*rows), brute_near([d for d, _ in rows], [brute_fingerprint(t) for _, t in rows])))
+    plain = lambda x: None if x is None or x != x else int(x)
+    key = lambda x: (x[1], -1 if x[0] is None else x[0])
+    assert sorted(((plain(x.doc_id), x.fingerprint, plain(x.component_id)) for x in got.itertuples()), key=key) == sorted(((d, f"{brute_fingerprint(t):016x}", c) for d, t, c in want), key=key)
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    text = " ".join(f"W{i % 97} x{i}" for i in range(3000)) + "\u00c9 \u0130\ud800"
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "_PIECE", 50)
+    assert simhash.fingerprint(text) == whole
+    assert simhash.fingerprint("a b") == brute_fingerprint("a b")
+
+
+def near_marks(n, seed=4):
+    """Patterns in groups that chain, cross every part of the bits and fall into few nodes."""
+    r = np.random.default_rng(seed)
+    out = [0, 1, (1 << 64) - 1]
+    heads = r.integers(0, 1 << 63, 8, dtype=np.uint64).tolist()
+    for h in heads:
+        x = h
+        for _ in range(n // 16):
+            for b in r.choice(64, r.integers(1, 6), replace=False):
+                x ^= 1 << int(b)
+            out.append(x)
+        out += [h ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.integers(0, 64, (n // 16, 2))]
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("size", [4, 1024])
+def test_fingerprint_links_reach_all(spark, size):
+    marks = near_marks(1200)
+    signed = np.array(marks, dtype=np.uint64).view(np.int64).tolist()
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5), 4, size)
+    assert links.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > 64).count() == 0
+    named = dict(connected_components(links).collect())
+    got = [named.get(x, x) for x in signed]
+    want = brute_near(signed, marks)
+    assert got == want
+
+
+def test_near_pairs_against_all_pairs():
+    marks = np.array(near_marks(400), dtype=np.uint64)
+    marks = marks[np.argsort(simhash.gray_rank(marks))]
+    node = np.sort(np.random.default_rng(2).integers(0, 4, len(marks)))
+    i, j = simhash.near_pairs(marks, node, 4)
+    d = np.bitwise_count(marks[:, None] ^ marks[None, :])
+    want = np.argwhere((d <= 4) & (node[:, None] == node[None, :]) & (np.arange(len(marks))[:, None] < np.arange(len(marks))[None, :]))
+    assert len(want) > 100 and sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, want.tolist()))
+
+
+# --- 13 ---
+
+def brute_negatives(rows, ask, n_pos=5, n_neg=10):
+    import math
+
+    kept = {}
+    for i, v, label in rows:
+        if i is not None and v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v):
+            kept[i] = min(kept.get(i, (label, v)), (label, v))
+    whole = {i: (label, [math.floor(256 * x) for x in v]) for i, (label, v) in kept.items()}
+    out = []
+    for a in ask:
+        if a not in whole:
+            continue
+        label, q = whole[a]
+        s = sorted((-sum(x * y for x, y in zip(q, v)), i, k) for i, (k, v) in whole.items() if i != a)
+        for p, i, _ in [x for x in s if x[2] == label][:n_pos]:
+            fit = [x for x in s if x[2] != label and 30 * -p <= 100 * -x[0] <= 90 * -p][:n_neg]
+            out += [(a, i, r, j, -p, -n) for r, (n, j, _) in enumerate(fit, 1)]
+    return sorted(out)
+
+
+def test_hard_negatives_of_awkward_rows(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, (r.integers(-2, 3, 6) / 8.0).tolist(), int(r.integers(0, 3))) for i in range(150)]  # many equal scores
+    rows += [(i, rows[5][1], 1) for i in range(400, 460)] + [(20, [0.5] * 6, 0), (20, [0.25] * 6, 0)]
+    rows += [(500, None, 1), (501, [1.0] * 6, None), (502, [None] * 6, 1), (503, [float("nan")] * 6, 1), (None, [1.0] * 6, 1), (504, [1.0, -1.0], 2), (505, [], 2), (506, [0.5] * 9, 1)]
+    ask = [0, 20, 40, 60, 401, 500, 504, 506, 999]
+    table = vector_rows(spark, rows)
+    got = negatives.hard_negatives(table, spark.createDataFrame([(i,) for i in ask], "vec_id long")).toPandas()
+    want = brute_negatives(rows, ask)
+    assert len(want) > 100 and sorted(map(tuple, got.itertuples(index=False))) == want
+    assert negatives.hard_negatives(table.filter("vec_id < 0"), table.select("vec_id")).count() == 0
+
+
+@pytest.mark.parametrize("m,k,n", [(1, 1, 1), (64, 64, 64), (65, 70, 129), (33, 0, 40), (200, 64, 90)])
+def test_strassen(m, k, n):
+    r = np.random.default_rng(m)
+    a, c = r.integers(-10 ** 6, 10 ** 6, (m, k)), r.integers(-10 ** 6, 10 ** 6, (n, k))
+    assert (negatives.strassen(a, c) == a @ c.T).all()
+
+
+def test_best_takes_the_leftmost_of_equals():
+    s = np.array([[5, 7, 7, 7, 1], [1, 1, 1, 1, 1], [3, 2, 1, 0, 9]])
+    fits = np.array([[True, True, True, True, True], [False, True, True, False, True], [False, False, False, False, True]])
+    i, j = negatives.best(s, fits, 2)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 4)]
+
+
 # --- SQL twins ---
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -529,10 +733,10 @@ def test_sql_twin(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(oracle_sql()[name]).df()
     got = queries()[name](spark, SF).toPandas()
-    key = got.columns[0]
+    key = ["anchor_id", "positive_id", "rank"] if "anchor_id" in got else got.columns[0]
     got, want = (x.sort_values(key).reset_index(drop=True).astype(object).where(lambda d: d.notna(), None) for x in (got[sorted(got)], want[sorted(got)]))
     assert got.values.tolist() == want.values.tolist()
