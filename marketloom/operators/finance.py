@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.panel import by_symbol, div, lag
+from marketloom.panel import div, lag
 
 
 def _ends(value: str) -> dict[str, Column]:
@@ -47,11 +47,31 @@ def sharpe(df: DataFrame, riskfree: float = 0.04, value: str = "Close", start: s
 
 
 def max_drawdown(df: DataFrame, value: str = "Close", start: str | None = None, end: str | None = None) -> DataFrame:
-    """Least over time of (lowest value from here on) / (highest so far) - 1, with two running windows."""
-    past = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    future = by_symbol().rowsBetween(0, Window.unboundedFollowing)
-    drop = div(F.min(value).over(future), F.max(value).over(past)) - 1
-    return between(df, start, end).select("symbol", drop.alias("_d")).groupBy("symbol").agg(F.min("_d").alias("max_drawdown"))
+    """Least over time of a value / (highest value before it or its own) - 1.
+
+    Each symbol's months are folded to (highest, lowest, worst drop), and these, in order, to the symbol's: what follows a month
+    drops at worst from the highest value before to its lowest. Only the days of a month are ever sorted. Symbols are dealt once; both
+    folds keep that partitioning.
+    """
+    def worse(a: Column, b: Column) -> Column:
+        return F.least(a, b)  # a null counts for nothing
+
+    def fold(parts: Column, hi: str, lo: str, worst: str | None) -> Column:
+        none = F.lit(None).cast("double")
+        start = F.struct(none.alias("hi"), none.alias("lo"), none.alias("worst"))
+
+        def step(s: Column, x: Column) -> Column:
+            # A value's own drop is 0, from itself; a month brings its own worst.
+            within = x[worst] if worst else F.when(x[lo].isNotNull(), 0.0)
+            return F.struct(F.greatest(s["hi"], x[hi]).alias("hi"), F.least(s["lo"], x[lo]).alias("lo"), worse(worse(s["worst"], within), div(x[lo], s["hi"]) - 1).alias("worst"))
+
+        return F.aggregate(parts, start, step)
+
+    rows = between(df, start, end).select("symbol", "Date", F.trunc("Date", "month").alias("_m"), F.col(value).cast("double").alias("v")).repartition("symbol")
+    months = rows.groupBy("symbol", "_m").agg(F.array_sort(F.collect_list(F.struct("Date", "v"))).alias("days"))
+    months = months.select("symbol", "_m", fold(F.col("days"), "v", "v", None).alias("s"))
+    whole = months.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_m", "s.hi", "s.lo", "s.worst"))).alias("months"))
+    return whole.select("symbol", fold(F.col("months"), "hi", "lo", "worst")["worst"].alias("max_drawdown"))
 
 
 def period_rate_risk(df: DataFrame, by: str = "month", value: str = "Close") -> DataFrame:

@@ -13,21 +13,6 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def aroon(df: DataFrame, n: int = 25) -> DataFrame:
-    closes = F.collect_list("Close").over(rows(n))
-    place = lambda arr, pick: F.array_position(arr, pick(arr)).cast("double") / n * 100
-    out = df.withColumn("_w", closes).withColumns({"aroon_up": place(_c("_w"), F.array_max), "aroon_down": place(_c("_w"), F.array_min)}).drop("_w")
-    return out.withColumn("aroon_gap", _c("aroon_up") - _c("aroon_down"))
-
-
-def cci(df: DataFrame, n: int = 20, c: float = 0.015) -> DataFrame:
-    out = df.withColumn("_pp", (_c("High") + _c("Low") + _c("Close")) / 3)
-    out = out.withColumns({"_m": rolling("_pp", n, full=False), "_w": F.collect_list("_pp").over(rows(n))})
-    mad = F.aggregate("_w", F.lit(0.0), lambda s, x: s + F.abs(x - _c("_m"))) / n
-    out = out.withColumn("cci", F.when(F.size("_w") >= n, div(_c("_pp") - _c("_m"), mad * c)))
-    return out.withColumn("cci_ma", rolling("cci", 5)).drop("_pp", "_m", "_w")
-
-
 def dpo(df: DataFrame, n: int = 20) -> DataFrame:
     out = df.withColumn("dpo", lag("Close", n // 2 + 1) - rolling("Close", n, full=False)).withColumn("_zero", F.lit(0.0))
     return crossover(out, "dpo", "_zero", "dpo_signal").drop("_zero")
@@ -190,4 +175,4 @@ def candle_shape(df: DataFrame) -> DataFrame:
 
 
 #: Indicators of built-in expressions by name; one row in, one row out.
-BUILT_IN = {f.__name__: f for f in (aroon, cci, dpo, ichimoku, kst, vortex, adi, cmf, eom, nvi, obv, vpt, ao, mfi, stoch, uo, williams_r, bollinger, donchian, ulcer)}
+BUILT_IN = {f.__name__: f for f in (dpo, ichimoku, kst, vortex, adi, cmf, eom, nvi, obv, vpt, ao, mfi, stoch, uo, williams_r, bollinger, donchian, ulcer)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.conditions import NUMBER, TEXT, compile_all
 from marketloom.operators.finance import annual_volatility, max_drawdown, return_measures
 from marketloom.operators.trading import backtest
 from marketloom.panel import by_symbol, div, lag, whole
@@ -81,21 +82,37 @@ def stop_orders(positions: DataFrame, loss: float | None = None, profit: float |
     return positions.filter(F.coalesce(beyond, F.lit(False)))
 
 
-#: Columns that the text of a condition may name.
-RULE_COLUMNS = ("symbol", "price", "quantity", "rate")
+#: Columns that the text of a condition may name, and their kinds; distinct texts that a table of rules may hold.
+RULE_COLUMNS = {"symbol": TEXT, "price": NUMBER, "quantity": NUMBER, "rate": NUMBER}
+MOST_TEXTS = 5000
 
 
-def condition_orders(rules: DataFrame, texts: list[str]) -> DataFrame:
-    """Rules (RULE_COLUMNS and condition) whose own condition text holds for their own row.
+def condition_orders(rules: DataFrame, columns: dict[str, str] = RULE_COLUMNS) -> DataFrame:
+    """Rules whose own condition text, read from the table, holds for their own row.
 
-    texts are the conditions that the desk allows; a rule with another text never fires.
+    Each distinct text is compiled once (functions.conditions) and checked where it stands; a text that is no condition over the
+    allowed columns never fires, see refused_conditions. The texts are what people wrote, so few: more than MOST_TEXTS raise.
     """
+    compiled, _ = compile_all(_texts(rules), columns)
     fires: Column = F.lit(False)
-    for text in texts:
-        fires = fires | ((F.col("condition") == text) & F.expr(text))
+    for text, holds in compiled.items():
+        fires = F.when(F.col("condition") == text, holds).otherwise(fires)
     return rules.filter(F.coalesce(fires, F.lit(False)))
 
 
+def refused_conditions(rules: DataFrame, columns: dict[str, str] = RULE_COLUMNS) -> DataFrame:
+    """(condition, reason) of each distinct text that cannot fire."""
+    _, refused = compile_all(_texts(rules), columns)
+    return rules.sparkSession.createDataFrame(sorted(refused.items()), "condition string, reason string")
+
+
+def _texts(rules: DataFrame) -> list[str]:
+    found = [r[0] for r in rules.select("condition").filter("condition is not null").distinct().limit(MOST_TEXTS + 1).collect()]
+    if len(found) > MOST_TEXTS:
+        raise ValueError(f"more than {MOST_TEXTS} different conditions")
+    return found
+
+
 def account_totals(positions: DataFrame, cash: DataFrame) -> DataFrame:
     """Market and net value of each (platform, account); an account without positions is worth its cash."""
     value = positions.groupBy("platform", "account").agg(F.sum("market_value").alias("market_value"), F.count("*").alias("n_positions"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom import panel
 from marketloom.operators import candles, indicators, levels, patterns, recursive, scores, trends
+from marketloom.sources.files import shared_path
 
 LINES = ["kama_fast", "kama_slow", "tankan", "kijun", "gap_top", "gap_bottom"]
 
@@ -29,15 +28,13 @@ def indicator_set(bars: DataFrame, config: dict[str, list[str]]) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir; the warehouse where that is unset) and read back.
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read back.
 
     The steps of the analysis are too many for one plan; a written table also spares the steps before it when executors are lost.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/analysis/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, f"analysis/{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def feature_pipeline(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from marketloom.operators import candles, evaluation, portfolio, ranking, tradin
 from marketloom.plans import registry as R
 from marketloom.plans.registry import ALL, C, H, L, RUN, V, W, d, lag, on_bars, rounded
 from marketloom.sources import history
+from marketloom.sources.files import shared_path
 from marketloom.streaming import quotes as streams
 
 OHLCV = ("Open", "High", "Low", "Close", "Volume")
@@ -122,8 +121,20 @@ R._register("k7_reconcile", _reconciled,
 _held = lambda b: b.withColumns({"rate": F.col("Close") / F.col("Open") - 1, "rate_inday": F.col("High") / F.col("Low") - 1})
 on_bars("k9_stop_orders", lambda b: portfolio.stop_orders(_held(b), -0.9, 3.0, None, 40.0), d("rate", "rate_inday"),
         f"SELECT * FROM (SELECT *, {C} / {O} - 1 AS rate, {H} / {L} - 1 AS rate_inday FROM bars) WHERE rate < -0.9 OR rate > 3 OR rate_inday > 40")
-on_bars("k11_condition_orders", lambda b: portfolio.condition_orders(b.select("symbol", "Date", F.col("Close").alias("price"), F.col("Volume").alias("quantity"), F.lit(0.0).alias("rate"), F.when(F.day("Date") % 2 == 0, "price > 5000").when(F.day("Date") % 3 == 0, "quantity < 30 AND price < 900").otherwise("true").alias("condition")), ["price > 5000", "quantity < 30 AND price < 900"]), d("price", "quantity"),
-        f'SELECT symbol, "Date", {C} AS price, {V} AS quantity FROM bars WHERE (day("Date") % 2 = 0 AND {C} > 5000) OR (day("Date") % 2 = 1 AND day("Date") % 3 = 0 AND {V} < 30 AND {C} < 900)')
+#: Conditions as people store them: by the day of the month, one for each; the last two are refused.
+_CONDITIONS = ["price > 5000", "quantity < 30 and price < 900", "not (price > 1000 or quantity >= 20)", "100 < price * 2 - quantity < 400", "symbol in ['PROMO', 'SMALL'] & (rate != 0)",
+               "price.apply(exit)", "price > 0; drop"]
+
+
+def _conditioned(b: DataFrame) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(t) for t in _CONDITIONS]), F.day("Date") % len(_CONDITIONS) + 1)
+    rate = F.when(F.day("Date") < 25, F.col("Close") / F.col("Open") - 1)
+    return portfolio.condition_orders(b.select("symbol", "Date", F.col("Close").alias("price"), F.col("Volume").alias("quantity"), rate.alias("rate"), text.alias("condition")))
+
+
+on_bars("k11_condition_orders", _conditioned, d("price", "quantity"),
+        f'''SELECT symbol, "Date", {C} AS price, {V} AS quantity FROM bars WHERE CASE day("Date") % 7 WHEN 0 THEN {C} > 5000 WHEN 1 THEN {V} < 30 AND {C} < 900 WHEN 2 THEN {C} <= 1000 AND {V} < 20
+            WHEN 3 THEN {C} * 2 - {V} > 100 AND {C} * 2 - {V} < 400 WHEN 4 THEN symbol IN ('PROMO', 'SMALL') AND (day("Date") >= 25 OR {C} <> {O}) ELSE false END''')
 on_bars("k12_portfolio_levels", lambda b: portfolio.portfolio_levels(b.select(F.concat(F.lit("US."), "symbol").alias("symbol"), "Date", F.col("Open").alias("latest_price")), panel.latest_per_symbol(b.withColumns({"supporter": F.min("Close").over(panel.rows(20)), "resistanter": F.max("Close").over(panel.rows(20))})).filter("symbol <> 'PROMO'")), d("latest_price", "supporter", "resistanter") | {"alert": "s"},
         f'''WITH l AS (SELECT * FROM (SELECT *, min({C}) OVER {R.R(20)} AS lo, max({C}) OVER {R.R(20)} AS hi FROM bars) WHERE i = n_rows AND symbol <> 'PROMO')
             SELECT 'US.' || b.symbol AS symbol, b."Date", coalesce(l.{C}, b.{O}) AS latest_price, lo AS supporter, hi AS resistanter, CASE WHEN l.{C} <= lo THEN 'support' WHEN l.{C} >= hi THEN 'resistant' END AS alert FROM bars b LEFT JOIN l ON l.symbol = b.symbol''')
@@ -201,8 +212,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as one stream of quotes, written batch by batch into the shared folder and read back."""
     kinds = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     quotes = spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("value") + 1.0).alias("price"), F.lit(1.0).alias("quantity"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    root = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    root = shared_path(spark, "streams")
     streams.write_updates(streams.stream_bars(quotes), f"{root}/bars", f"{root}/state").awaitTermination()
     return rounded(streams.newest_bars(spark.read.parquet(f"{root}/bars")).withColumnRenamed("start", "Date"))
 

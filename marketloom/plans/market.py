@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from marketloom.plans import registry as R
 from marketloom.plans.desk import O, OHLCV
 from marketloom.plans.registry import C, H, L, RUN, V, W, d, lag, on_bars, rounded
 from marketloom.sources import history, screener
+from marketloom.sources.files import shared_path
+from marketloom.streaming import overlay
 from marketloom.streaming import quotes as streams
 
 # --- screener: parts as listings ---
@@ -59,11 +59,9 @@ R._register("a15_screener_top", lambda s, f: screener.screener_top(screener.scre
 
 def _through(df: DataFrame, write, read) -> DataFrame:
     """What a writer stores in the shared folder, read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/stored/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "stored")
     write(df, path)
-    return read(spark, path)
+    return read(df.sparkSession, path)
 
 
 # --- bars, dates and single steps ---
@@ -184,6 +182,28 @@ on_bars("m15_train_pool", lambda b: model.train_pool(_features(b), _FEATURES, "2
 on_bars("m16_score_pool", _scored_pool, d("p_down", "p_flat", "p_up", "ml_score") | {"ml_signal": "s"}, symbol="p_brand", sql=False)
 
 
+def _boosted(b: DataFrame) -> tuple:
+    rows = _features(b)
+    return rows, model.boost_pool(rows, _FEATURES, ranking.walk_forward(b, 500, 250), rounds=12, step=0.3, depth=3)
+
+
+def _boost_metrics(b: DataFrame) -> DataFrame:
+    """Of the classes and of the return, how far the boosting went and how well it served the last fold."""
+    rows, (_, of_labels) = _boosted(b)
+    of_returns = model.boost_pool(rows, _FEATURES, ranking.walk_forward(b, 500, 250), "fwd_ret", 0, 12, 0.3, 3)[1]
+    both = of_labels.withColumn("target", F.lit("label")).unionByName(of_returns.withColumn("target", F.lit("fwd_ret")))
+    return both.withColumn("rounds", F.array_join("rounds", ","))
+
+
+def _boost_scores(b: DataFrame) -> DataFrame:
+    rows, (pool, _) = _boosted(b)
+    return model.score_pool(rows, pool, _FEATURES)
+
+
+on_bars("m15_boost_pool", _boost_metrics, {"target": "s", "n_train": "s", "n_valid": "s", "rounds": "s"} | d("accuracy", "mse"), keys="", symbol="p_brand", sql=False)
+on_bars("m16_boost_scores", _boost_scores, d("p_down", "p_flat", "p_up", "ml_score") | {"ml_signal": "s"}, symbol="p_brand", sql=False)
+
+
 # --- streams ---
 def _events(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
@@ -191,24 +211,30 @@ def _events(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("value") + 1.0).alias("price"), F.lit(1.0).alias("quantity"))
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored bars to 2024-01-20 at half their close, under the stream of all events."""
-    root = _shared(spark)
-    streams.write_updates(streams.stream_bars(_events(spark, sf_dir, True)), f"{root}/bars", f"{root}/state").awaitTermination()
-    old = panel.bars_from_ticks(_events(spark, sf_dir, False).filter("ts < TIMESTAMP '2024-01-21'").withColumn("Date", F.col("ts").cast("date")), ("ts", "seq")).withColumn("Close", F.col("Close") / 2)
-    return rounded(streams.stream_overlay(old, spark.read.parquet(f"{root}/bars")))
-
-
-R._register("s2_stream_overlay", _overlaid, R._SQL["s1_stream_bars"])
+    """A store of bars to the 28th at half their close, without the 15th; a stream of the 10th to the 25th that lacks signup runs into
+    it in three goes, each from where the last one stopped."""
+    root, day = shared_path(spark, "streams"), F.col("ts").cast("date")
+    quotes = _events(spark, sf_dir, False)
+    old = panel.bars_from_ticks(quotes.withColumn("Date", day), ("ts", "seq")).withColumn("Close", F.col("Close") / 2)
+    overlay.create_store(old.filter("Date <= DATE '2024-01-28' AND Date <> DATE '2024-01-15'"), f"{root}/store")
+    came = quotes.filter(day.between("2024-01-10", "2024-01-25") & (F.col("symbol") != "signup"))
+    for first, last in (("2024-01-10", "2024-01-14"), ("2024-01-15", "2024-01-20"), ("2024-01-21", "2024-01-25")):
+        came.filter(day.between(first, last)).write.mode("append").parquet(f"{root}/quotes")
+        bars = streams.stream_bars(spark.readStream.schema(came.schema).parquet(f"{root}/quotes")).withColumn("Date", F.col("start").cast("date")).drop("start")
+        overlay.keep_updated(bars, f"{root}/store", f"{root}/state").awaitTermination()
+    return rounded(overlay.read_store(spark, f"{root}/store").drop("batch", "month"))
+
+
+_DAILY = """SELECT event_type AS symbol, CAST(date_trunc('day', ts) AS DATE) AS "Date", arg_min(value + 1.0, (ts, event_id)) AS "Open", max(value + 1.0) AS "High", min(value + 1.0) AS "Low",
+    arg_max(value + 1.0, (ts, event_id)) AS "Close", count(*) AS "Volume" FROM events GROUP BY 1, 2"""
+_SHOWN = ", ".join(f'round("{n}" + {R._shift(4)!r}::DOUBLE, 4) + 0.0 AS "{n}"' for n in ("Open", "High", "Low", "Close", "Volume"))
+R._register("s2_stream_overlay", _overlaid, f"""WITH x AS (SELECT * REPLACE ("Close" / CASE WHEN symbol <> 'signup' AND day("Date") BETWEEN 10 AND 25 THEN 1 ELSE 2 END AS "Close")
+    FROM ({_DAILY}) WHERE day("Date") <= 28 AND (symbol <> 'signup' OR day("Date") <> 15)) SELECT symbol, CAST("Date" AS VARCHAR) AS "Date", {_SHOWN} FROM x""")
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, lo, hi = _shared(spark), F.min("price"), F.max("price")
+    root, lo, hi = shared_path(spark, "streams"), F.min("price"), F.max("price")
     levels = _events(spark, sf_dir, False).groupBy("symbol").agg((lo + (hi - lo) * 0.125).alias("supporter"), (hi - (hi - lo) * 0.25).alias("resistanter"))
     found = streams.stream_alerts(_events(spark, sf_dir, True), levels)
     found.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/alerts").awaitTermination()

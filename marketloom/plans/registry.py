@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom import panel
 from marketloom.functions import series
-from marketloom.operators import finance, indicators, ranking, recursive, trading
+from marketloom.operators import finance, indicators, ranking, recursive, scans, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -175,9 +175,9 @@ on_bars("c11_rule_score", lambda b: b.withColumns(series.rule_score([("big", "Vo
 
 # --- indicators of windows ---
 C, H, L, V = '"Close"', '"High"', '"Low"', '"Volume"'
-on_bars("b2_aroon", indicators.aroon, d("aroon_up", "aroon_down", "aroon_gap"),
+on_bars("b2_aroon", lambda b: recursive.recursive_block(b, ["aroon"]), d("aroon_up", "aroon_down", "aroon_gap"),
         f'''SELECT *, up - down AS aroon_gap, up AS aroon_up, down AS aroon_down FROM (SELECT *, list_position(w, list_max(w)) / 25.0 * 100 AS up, list_position(w, list_min(w)) / 25.0 * 100 AS down FROM (SELECT *, list({C}) OVER {R(25)} AS w FROM bars))''')
-on_bars("b3_cci", indicators.cci, d("cci", "cci_ma"),
+on_bars("b3_cci", lambda b: recursive.recursive_block(b, ["cci"]), d("cci", "cci_ma"),
         f'''SELECT *, {roll("avg", "cci", 5)} AS cci_ma FROM (SELECT *, CASE WHEN i >= 20 THEN (pp - m) / nullif(0.015 * list_avg(list_transform(w, lambda x: abs(x - m))), 0) END AS cci FROM (SELECT *, avg(pp) OVER {R(20)} AS m, list(pp) OVER {R(20)} AS w FROM (SELECT *, ({H} + {L} + {C}) / 3 AS pp FROM bars)))''')
 on_bars("b4_dpo", indicators.dpo, d("dpo"), f'SELECT *, {lag(C, 11)} - avg({C}) OVER {R(20)} AS dpo FROM bars')
 on_bars("b5_ichimoku", indicators.ichimoku, d("tankan", "kijun", "senkou_a", "senkou_b", "chikan"),
@@ -263,6 +263,7 @@ def crosses(x: str, up: str = "b", down: str = "s") -> str:
     return f"CASE WHEN {x} > 0 AND {lag(x)} <= 0 OR {x} = 0 AND {lag(x)} < 0 THEN '{up}' WHEN {x} < 0 AND {lag(x)} >= 0 OR {x} = 0 AND {lag(x)} > 0 THEN '{down}' ELSE 'n' END"
 
 
+on_bars("c2_ema_scan", scans.macd_scan, d("macd", "macd_sign", "macd_diff"), _BODY["c2_ema"])
 on_bars("b7_macd_signal", lambda b: indicators.macd_signal(_rec("macd")(b)), d("macd_diff") | {"macd_signal": "s"}, f"SELECT *, {crosses('macd_diff')} AS macd_signal FROM ({_BODY['c2_ema']})")
 on_bars("b8_mass_signal", lambda b: indicators.mass_signal(_rec("mass_index")(b)), d("mi") | {"mi_signal": "s"},
         f"SELECT *, CASE WHEN {crosses('(mi - 26.5)')} = 's' THEN 's' WHEN {crosses('(mi - 27)')} = 'b' THEN 'b' ELSE 'n' END AS mi_signal FROM ({_BODY['b8_mass_index']})")

@@ -36,8 +36,11 @@ def cross_sql(line: str) -> str:
 
 
 # --- trends ---
-on_bars("h4_premium_excess", lambda b: panel.change_rate(b).withColumns({"premium": finance.risk_premium("rate", 0.04), "excess": finance.excess_return("rate", "volume_change")}), d("premium", "excess"),
-        f"SELECT *, r - 0.04 AS premium, v - r AS excess FROM (SELECT *, {C} / nullif({lag(C)}, 0) - 1 AS r, {V} / nullif({lag(V)}, 0) - 1 AS v FROM bars)")
+# The expected rate is the mean of the ten rates before.
+on_bars("h4_premium_excess", lambda b: panel.change_rate(b).withColumn("expected", F.avg("rate").over(panel.by_symbol().rowsBetween(-10, -1))).withColumns({
+    "premium": finance.risk_premium("expected", 0.04), "excess": finance.excess_return("expected", "rate")}), d("premium", "excess"),
+        f'''SELECT *, e - 0.04 AS premium, r - e AS excess FROM (SELECT *, avg(r) OVER (PARTITION BY symbol ORDER BY "Date" ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS e
+            FROM (SELECT *, {C} / nullif({lag(C)}, 0) - 1 AS r FROM bars))''')
 
 _MID = lambda n: f"(max({H}) OVER {R.R(n)} + min({L}) OVER {R.R(n)}) / 2"
 on_bars("b14_line_trend", lambda b: trends.line_trend(indicators.candle_shape(indicators.ichimoku(b)), "ichimoku", "tankan", "kijun"),

@@ -1,4 +1,4 @@
-"""Quotes as streams: running bars, bars under the newest quotes, alerts."""
+"""Quotes as streams: running bars and alerts; overlay.py puts the bars over stored ones."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marketloom.sources.history import overlay_realtime
-
 
 def stream_bars(quotes: DataFrame, period: str = "1 day", watermark: str = "15 minutes") -> DataFrame:
     """Running bars by symbol and period of a stream (symbol, ts, seq, price, quantity); quotes behind the watermark are dropped.
@@ -34,11 +32,6 @@ def newest_bars(updates: DataFrame) -> DataFrame:
     return updates.groupBy("symbol", "start").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("symbol", "start", "r.*")
 
 
-def stream_overlay(bars: DataFrame, updates: DataFrame) -> DataFrame:
-    """Stored bars under the newest streamed bar of each symbol and date, merged when read: history is never rewritten by a batch."""
-    return overlay_realtime(bars, newest_bars(updates).withColumn("Date", F.col("start").cast("date")).drop("start"))
-
-
 def stream_alerts(quotes: DataFrame, levels: DataFrame) -> DataFrame:
     """Quotes at or beyond a level of their symbol (symbol, supporter, resistanter), a stream joined with a table."""
     out = quotes.join(levels, "symbol")
