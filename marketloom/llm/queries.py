@@ -80,15 +80,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP4_SQL = """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, i - 1 AS pos, list_transform(ls[i:i + 2], lambda x: trim(x, ' ')) AS c FROM l, unnest(range(1, len(ls) - 1)) AS u(i) WHERE len(ls) >= 3),
-r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY c ORDER BY doc_id, pos) AS rn FROM w WHERE trim(array_to_string(c, ''), ' ') <> ''),
-d AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, unnest([0, 1, 2]) AS u(k) WHERE rn > 1),
-x AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM l, unnest(range(1, len(ls) + 1)) AS u(i)),
-o AS (SELECT x.doc_id, count(*) AS n_lines, count(d.pos) AS n_removed,
+w AS (SELECT doc_id, text, i - 1 AS pos, list_transform(ls[i:i + 2], lambda x: trim(x, ' ')) AS c FROM l, unnest(range(1, len(ls) - 1)) AS u(i) WHERE len(ls) >= 3),
+r AS (SELECT doc_id, text, pos, rank() OVER (PARTITION BY c ORDER BY doc_id, text, pos) AS rn FROM w WHERE trim(array_to_string(c, ''), ' ') <> ''),
+d AS (SELECT DISTINCT doc_id, text, pos + k AS pos FROM r, unnest([0, 1, 2]) AS u(k) WHERE rn > 1),
+x AS (SELECT DISTINCT doc_id, text, i - 1 AS pos, ls[i] AS line FROM l, unnest(range(1, len(ls) + 1)) AS u(i)),
+o AS (SELECT x.doc_id, x.text, count(*) AS n_lines, count(d.pos) AS n_removed,
       string_agg(line, chr(10) ORDER BY x.pos) FILTER (WHERE d.pos IS NULL) AS kept
-      FROM x LEFT JOIN d ON x.doc_id = d.doc_id AND x.pos = d.pos GROUP BY x.doc_id)
+      FROM x LEFT JOIN d ON x.doc_id = d.doc_id AND x.text = d.text AND x.pos = d.pos GROUP BY x.doc_id, x.text)
 SELECT doc_id, CASE WHEN l.text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
-FROM l LEFT JOIN o USING (doc_id)
+FROM l LEFT JOIN o USING (doc_id, text)
 """
 
 OP6_SQL = r"""
