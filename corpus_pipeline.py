@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import materialise, table
 from marketloom.llm.decontaminate import find_contamination
 from marketloom.llm.language import known_languages, train_language_model
-from marketloom.llm.lines import clean_lines
-from marketloom.llm.neardup import near_duplicates
+from marketloom.llm.lines import TEXT_KEY, clean_lines
+from marketloom.llm.neardup import near_duplicate_rows
 from marketloom.llm.packing import pack
 
 
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the one with the least doc_id."""
-    gone = near_duplicates(docs, size=5, percent=80).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicate_rows(docs, size=5, percent=80).filter("NOT kept").select("doc_id", TEXT_KEY)
+    return docs.withColumn(TEXT_KEY, F.xxhash64("text")).join(gone, ["doc_id", TEXT_KEY], "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import ASCII_LOWER, SEPARATORS, materialise, small_batches, worker_cache
 from marketloom.llm.components import connected_components
+from marketloom.llm.lines import TEXT_KEY
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -111,15 +112,15 @@ def banding(threshold: float) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (128 bits of the set), sig (binary), keys (one long a band), of texts with words."""
+    """doc_id, TEXT_KEY, n_shingles, s1 and s2 (128 bits of the set), sig (binary), keys (one long a band), of every text."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, t in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, text_key, t in zip(pdf["doc_id"], pdf[TEXT_KEY], pdf["text"]):
                 s = np.unique(shingle_hashes(None if t is None or t != t else t, size))
                 if not len(s):
-                    out.append((doc_id, 0, 0, 0, b"", []))
+                    out.append((doc_id, text_key, 0, 0, 0, b"", []))
                     continue
                 sig = signature(s, bands * rows)
                 key = np.zeros(bands, dtype=np.uint64)
@@ -127,10 +128,10 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     key = _mixed(key * _ODD[0] + sig.reshape(bands, rows)[:, r])
                 key = _mixed(key + np.arange(bands, dtype=np.uint64) * _ODD[1]).view(np.int64)
                 one, two = s.sum(), _mixed(s * _ODD[2] + _ODD[3]).sum()
-                out.append((doc_id, len(s), int(one.view(np.int64)), int(two.view(np.int64)), sig.tobytes(), key))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "s1", "s2", "sig", "keys"])
+                out.append((doc_id, text_key, len(s), int(one.view(np.int64)), int(two.view(np.int64)), sig.tobytes(), key))
+            yield pd.DataFrame(out, columns=["doc_id", TEXT_KEY, "n_shingles", "s1", "s2", "sig", "keys"])
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, s1 long, s2 long, sig binary, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias(TEXT_KEY), "text").mapInPandas(sketch, f"doc_id long, {TEXT_KEY} long, n_shingles long, s1 long, s2 long, sig binary, keys array<long>")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -238,28 +239,19 @@ def _open_links(open_: DataFrame, texts: DataFrame, size: int, percent: int, k:
     return dealt.select("doc_id", "component", "cluster", "block", "lo", "hi", "set").groupBy("cluster", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Components of documents whose shingle sets have 100 * intersection >= percent * union.
-
-    1. Equal sets fall together by 128 bits of the set, so copies cost one representative however many there are.
-    2. Every band bucket proposes links to its least member only (as many pairs as members). Signatures discard, full sets
-       confirm, stars give components.
-    3. Buckets that still hold several components propose again with other leaders, only across components; members of one
-       component need no more links. In buckets that stay split, the prefix filter first drops the documents that cannot link
-       anywhere else; what is left is compared block by block, across components only, so that no link that the bands
-       propose is missed and no pair without a link becomes a row.
-
-    Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), one row for each row
-    given. Texts without words and nulls have no shingles and link with nothing. Rows that repeat a doc_id give equal rows. A
-    null doc_id is its own component (null) and kept. An empty table gives no rows; other columns are not looked at.
-    """
+def near_duplicate_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """near_duplicates with TEXT_KEY, which with doc_id finds the row again."""
     small_batches(docs.sparkSession)
     bands, rows = banding(percent / 100)
     base = materialise(sketches(docs.filter("doc_id is not null"), size, bands, rows), "sketches")
-    sets = base.filter("n_shingles > 0").select("doc_id", "s1", "s2")
-    heads = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("head"))
-    reps = materialise(base.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    sigs, texts = reps.select("doc_id", "sig", "n_shingles"), docs.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = base.filter("n_shingles > 0")
+    heads = sets.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", TEXT_KEY)).alias("h")).select("s1", "s2", F.col("h.doc_id").alias("doc_id"), F.col(f"h.{TEXT_KEY}").alias(TEXT_KEY))
+    # A set is known by a number of its own, doc_id below, since a doc_id may come with several texts.
+    reps = sets.join(heads, ["s1", "s2", "doc_id", TEXT_KEY], "left_semi").dropDuplicates(["s1", "s2"])
+    reps = materialise(reps.withColumnRenamed("doc_id", "head").withColumn("doc_id", F.monotonically_increasing_id()), "representatives")
+    sigs = reps.select("doc_id", "sig", "n_shingles")
+    own = docs.select(F.col("doc_id").alias("head"), F.xxhash64("text").alias(TEXT_KEY), "text").join(reps.select("head", TEXT_KEY, "doc_id"), ["head", TEXT_KEY])
+    texts = own.select("doc_id", "text").dropDuplicates(["doc_id"])
     members = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = materialise(members.join(shared, "key"), "buckets")
@@ -289,8 +281,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         found = materialise(_open_links(rest, texts, size, percent, bands * rows), "links")
         components = connected_components(links.unionByName(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    part_of = reps.select("doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("head"), F.coalesce("component", "doc_id").alias("component_id"))
-    named = sets.join(heads, ["s1", "s2"]).select("doc_id", "head").join(part_of, "head").select("doc_id", "component_id").distinct()
-    out = base.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    nulls = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nulls).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    part_of = reps.select("s1", "s2", "head", "doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    least = part_of.groupBy("component").agg(F.min("head").alias("component_id"))
+    named = materialise(part_of.select("s1", "s2", "component").join(least, "component").select("s1", "s2", "component_id"), "named_sets")
+    shown = ["doc_id", TEXT_KEY, "n_shingles", "component_id"]
+    out = sets.select("doc_id", TEXT_KEY, "n_shingles", "s1", "s2").join(named, ["s1", "s2"]).select(shown)
+    alone = base.filter("n_shingles = 0").select("doc_id", TEXT_KEY, "n_shingles", F.col("doc_id").alias("component_id"))
+    nulls = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias(TEXT_KEY), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(alone).unionByName(nulls).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Components of documents whose shingle sets have 100 * intersection >= percent * union.
+
+    1. Equal sets fall together by 128 bits of the set, so copies cost one representative however many there are.
+    2. Every band bucket proposes links to its least member only (as many pairs as members). Signatures discard, full sets
+       confirm, stars give components.
+    3. Buckets that still hold several components propose again with other leaders, only across components; members of one
+       component need no more links. In buckets that stay split, the prefix filter first drops the documents that cannot link
+       anywhere else; what is left is compared block by block, across components only, so that no link that the bands
+       propose is missed and no pair without a link becomes a row.
+
+    Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), one row for each row
+    given. Texts without words and nulls have no shingles and link with nothing. Rows that repeat a doc_id count by their own
+    texts: each has the component of its text. A null doc_id is its own component (null) and kept. An empty table gives no
+    rows; other columns are not looked at.
+    """
+    return near_duplicate_rows(docs, size, percent).drop(TEXT_KEY)
