@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import materialise, small_batches
+from marketloom.llm.lines import TEXT_KEY
 from marketloom.llm.neardup import _ODD, _mixed, shingle_hashes
 
 #: Words of the shortest passage, words of a shingle, hash functions, how many must agree, similarity in percent.
@@ -18,8 +20,8 @@ MIN_WORDS, SHINGLE, HASHES, AGREE, PERCENT = 50, 5, 4, 2, 80
 RUN, REACH = 20, 5
 #: Least of the positions around an anchor of a passage whose shingle lies around its partner too: see _may_hold.
 ENOUGH = 33
-#: Anchors of a block that is compared with others of its key; how many holders an anchor proposes in a block, by round.
-_BLOCK_ANCHORS, _RANKS = 256, (0, 4, 16, 64, 256)
+#: Anchors of a block that is compared with others of its key.
+_BLOCK_ANCHORS = 256
 
 
 class _Block:
@@ -318,8 +320,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
        the anchor is explained or no holder is left. No pair that fails the comparison is a row.
 
     Returns doc_id, n_words, n_dup_words, spans (array of start, end in words), sources (doc_ids), one row for each row given.
-    Null and empty texts have no words. Rows that share a doc_id count as one document. A null doc_id has no spans. Repeats inside
-    one document are not looked for. Other columns are not looked at.
+    Null and empty texts have no words. Rows that share doc_id and text are one document; texts that differ under one doc_id are
+    documents of their own, in order of their hash. A null doc_id has no spans. Repeats inside one document are not looked for.
+    Other columns are not looked at.
     """
     from marketloom.llm.common import words_of
 
@@ -328,11 +331,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return pd.Series([len(words_of(None if t is None or t != t else t)) for t in text], dtype="int64")
 
     small_batches(docs.sparkSession)
-    own = docs.select("doc_id", "text")
-    hashed = own.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(3), F.col("text")).alias("t2"))
-    heads = hashed.groupBy("t1", "t2").agg(F.min("doc_id").alias("head"))
-    copies = materialise(hashed.join(heads, ["t1", "t2"]).select("doc_id", "head").distinct(), "copies")
-    texts = materialise(own.join(copies.filter("doc_id = head").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    own = docs.select("doc_id", F.xxhash64("text").alias(TEXT_KEY), "text")
+    hashed = own.filter("doc_id is not null and text is not null").select("doc_id", TEXT_KEY, F.xxhash64(F.lit(3), F.col("text")).alias("t2"))
+    heads = hashed.groupBy(TEXT_KEY, "t2").agg(F.min("doc_id").alias("head"))
+    # Numbers in order of (doc_id, text key): a doc_id may come with several texts. Ranges of a sort are numbered in their order.
+    heads = materialise(heads.repartitionByRange("head", TEXT_KEY, "t2").sortWithinPartitions("head", TEXT_KEY, "t2").withColumn("node", F.monotonically_increasing_id()), "heads")
+    copies = materialise(hashed.join(heads, [TEXT_KEY, "t2"]).select("doc_id", TEXT_KEY, "head", "node").distinct(), "copies")
+    first = copies.filter("doc_id = head").select("doc_id", TEXT_KEY, "node")
+    texts = own.join(first, ["doc_id", TEXT_KEY]).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    texts = materialise(texts, "texts")
 
     width = MIN_WORDS - SHINGLE + 1
 
@@ -373,13 +380,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     spans = materialise(both.mapInPandas(verify, _SPANS), "spans")
     spans = _by_anchors(texts, spans)
-    gathered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
-    gathered = gathered.select("doc_id", _merged("spans").alias("spans"), "sources")
+    sources = spans.join(heads.select(F.col("node").alias("source"), F.col("head").alias("of")), "source")
+    gathered = sources.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("of")).alias("sources"))
+    gathered = gathered.select(F.col("doc_id").alias("node"), _merged("spans").alias("spans"), "sources")
 
-    counted = own.select("doc_id", n_words("text").alias("n_words"))
+    counted = own.select("doc_id", TEXT_KEY, n_words("text").alias("n_words"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
-    out = counted.join(copies, "doc_id", "left").join(gathered, "doc_id", "left")
+    # Only the first document of a text has spans of its own, so the join by node has no hot key.
+    columns = ["doc_id", TEXT_KEY, "head", "spans", "sources"]
+    with_spans = copies.filter("doc_id = head").join(gathered, "node", "left").select(columns)
+    with_spans = with_spans.unionByName(copies.filter("doc_id > head").select("doc_id", TEXT_KEY, "head"), allowMissingColumns=True)
+    out = counted.join(with_spans, ["doc_id", TEXT_KEY], "left")
     copy = (F.col("head") < F.col("doc_id")) & (F.col("n_words") >= MIN_WORDS)
     return out.withColumn("spans", F.when(copy, whole).otherwise(F.coalesce("spans", empty))).select(
         "doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_dup_words"), "spans",
@@ -465,11 +477,12 @@ def _by_anchors(texts: DataFrame, spans: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "source"])
 
     group = ["key", "mine", "theirs"]
-    for low, high in zip(_RANKS, _RANKS[1:]):
+    for turn in count():
+        low, high = (0 if not turn else 4 ** turn), 4 ** (turn + 1)  # holders that an open anchor proposes in a block
         if not rest.filter("open").take(1):
             break
-        count = lambda c: F.ceil(F.greatest(c, F.lit(1)) / _BLOCK_ANCHORS).cast("int")
-        blocks = rest.groupBy("key").agg(count(F.count_if("open")).alias("n_mine"), count(F.count("*")).alias("n_theirs"))
+        n_blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / _BLOCK_ANCHORS).cast("int")
+        blocks = rest.groupBy("key").agg(n_blocks(F.count_if("open")).alias("n_mine"), n_blocks(F.count("*")).alias("n_theirs"))
         numbered = rest.join(blocks, "key").withColumn("h", F.xxhash64("doc_id", "p"))
         upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
         as_open = numbered.filter("open").withColumn("mine", F.pmod("h", F.col("n_mine")).cast("int")).withColumns({"theirs": F.explode(upto("n_theirs")), "side": F.lit(1)})

@@ -119,6 +119,19 @@ def test_pieces_encode_like_a_fresh_tokenizer(name, keep):
         assert ids.tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name,keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_do_not_depend_on_what_came_before(name, keep):
+    """Each piece comes three times, alone and with a mark, in texts of one encoder."""
+    r = np.random.default_rng(12)
+    letters = list("aZ\u00e9\u0130\u0131\u01c5\u1e9e\u0345\u0301\ufb01\u2126\u00df\u03a3\u0e33\u4e2d1\u00b2") + ["I\u0307", "s\u0307"]
+    words = ["\u0130", "x\u0130", "\u0130x"] + ["".join(letters[i] for i in r.integers(0, len(letters), r.integers(1, 5))) for _ in range(1500)]
+    texts = [f"{p}{w}{m}" for w in words for p in ("", " ") for m in ("", ".", ",", ".,", "..")] * 3
+    e, fresh = tokens.PieceEncoder(public_tokenizers.path(name), keep), Tokenizer.from_file(public_tokenizers.path(name))
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    got = [x.tolist() for i in range(0, len(texts), 1000) for x in e.encode(texts[i : i + 1000])]
+    assert [(t, a) for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_piece_cache_holds_few_bytes():
     cache = common.TwoGenerations(10_000)
     for i in range(1000):
@@ -241,8 +254,45 @@ def test_line_dedup_awkward(awkward, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def brute_keyed_lines(rows):
+    """Rows of (doc_id, text) whose texts under one doc_id differ, in order of their hash; repeated rows are one document."""
+    import xxhash
+
+    key = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    seen, gone = set(), {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0], key(r[1]))):
+        ls = t.split("\n")
+        for i in range(len(ls) - 2):
+            w = tuple(x.strip(" ") for x in ls[i : i + 3])
+            if "".join(w):
+                if w in seen:
+                    gone.setdefault((d, t), set()).update(range(i, i + 3))
+                seen.add(w)
+    return sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ()))) for d, t in rows)
+
+
+def test_line_dedup_of_texts_under_one_id(spark):
+    one, other = "\n".join(f"one {i}" for i in range(6)), "\n".join(f"other {i}" for i in range(6))
+    rows = [(1, one), (5, one), (5, other), (5, other), (3, other + "\nend"), (7, f"start\n{one}\n{other}"), (7, "x\ny\nz"), (7, "x\ny\nz\nw")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == brute_keyed_lines(rows)
+    assert [r.text for r in lines.dedup_lines(spark.createDataFrame([(1, one), (5, one), (5, other)], "doc_id long, text string")).orderBy("text").collect()] == ["", one, other]
+
+
 # --- 5 ---
 
+def test_passages_of_texts_under_one_id(spark):
+    r = np.random.default_rng(11)
+    text = lambda n: " ".join(f"v{x}" for x in r.integers(0, 9000, n))
+    a, b = text(80), text(80)
+    rows = [(5, a), (5, b), (3, b), (7, a), (5, a), (9, f"{text(20)} {a} {b}"), (9, b)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    shown = sorted((r.doc_id, r.n_words, r.n_dup_words, tuple(r.sources)) for r in got)
+    # a stands first in 5, b in 3; of 9 the long text holds both.
+    assert shown == [(3, 80, 0, ()), (5, 80, 0, ()), (5, 80, 0, ()), (5, 80, 80, (3,)), (7, 80, 80, (5,)), (9, 80, 80, (3,)), (9, 180, 160, (3, 5))]
+
+
 def test_passages(spark):
     r = np.random.default_rng(3)
     word = lambda n: [f"w{x}" for x in r.integers(0, 5000, n)]
@@ -413,6 +463,20 @@ def test_near_duplicates_awkward(awkward, nothing, spark):
     assert neardup.near_duplicates(null).filter("kept").count() == 2
 
 
+def test_near_duplicates_of_texts_under_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (3, b), (7, a + " more"), (5, a), (9, None), (9, b + " more"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicate_rows(docs).collect()
+    assert len(got) == len(rows)
+    shown = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
+    assert shown == [(3, 56, 3, True), (5, 56, 3, False), (5, 56, 5, True), (5, 56, 5, True), (7, 57, 5, False), (9, 0, 9, True), (9, 0, 9, True), (9, 57, 3, False)]
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(3, b), (5, a), (5, a), (9, ""), (9, "")])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200), (300, 302), (301, 302), (303, 301)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
