@@ -25,19 +25,30 @@ def wma(c: str, n: int) -> Column:
     return out
 
 
+def going_on(df: DataFrame, x: Column, out: str) -> Column:
+    """x in new rows. In a table that goes on from stored rows, which has _was_<out>, the last of them (_anchor) gives its own value of
+    out in place of x and the others (_stored) give nothing."""
+    if f"_was_{out}" not in df.columns:
+        return x
+    return F.when(F.col("_anchor"), F.col(f"_was_{out}")).when(~F.col("_stored"), x)
+
+
 def streak(df: DataFrame, c: str, out: str, zero_as: float | None = None, one_restart: bool = False) -> DataFrame:
     """Signed running sum that starts again when the sign turns.
 
     zero_as None: a zero resets to zero; else a zero adds zero_as in the direction of the run. A null starts again, and a value
-    of 1 or -1 too with one_restart.
+    of 1 or -1 too with one_restart. Goes on from stored rows, see going_on; only the last of these and new rows hold the sum then.
     """
-    x, w = F.col(c).cast("double"), by_symbol()
+    w = by_symbol()
     running = w.rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.col("_stored") & ~F.col("_anchor") if f"_was_{out}" in df.columns else F.lit(False)
+    df = df.withColumn("_x", going_on(df, F.col(c).cast("double"), out))
+    x = F.col("_x")
     df = df.withColumn("_sign", F.signum(x))
     if zero_as is None:
         df = df.withColumn("_run", F.col("_sign"))
     else:
-        df = df.withColumn("_era", F.sum(F.when(x.isNull(), 1).otherwise(0)).over(running))
+        df = df.withColumn("_era", F.sum(F.when(x.isNull() & ~gone, 1).otherwise(0)).over(running))
         held = F.last(F.when(F.col("_sign") != 0, F.col("_sign")), True).over(Window.partitionBy("symbol", "_era").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0))
         after_null = (F.col("_era") > 0)
         df = df.withColumn("_run", F.when(x.isNull(), None).when(x == 0, F.coalesce(held, F.when(after_null, None).otherwise(F.lit(0.0)))).otherwise(F.col("_sign"))).drop("_era")
@@ -46,7 +57,7 @@ def streak(df: DataFrame, c: str, out: str, zero_as: float | None = None, one_re
         opened = opened | F.coalesce(F.abs(x) == 1, F.lit(False))
     value = x if zero_as is None else F.when(x == 0, F.col("_run") * zero_as).otherwise(x)
     df = df.withColumn("_new", F.when(opened, 1).otherwise(0)).withColumn("_v", value).withColumn("_island", F.sum("_new").over(running))
-    return df.withColumn(out, F.sum("_v").over(Window.partitionBy("symbol", "_island").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0))).drop("_sign", "_run", "_new", "_v", "_island")
+    return df.withColumn(out, F.sum("_v").over(Window.partitionBy("symbol", "_island").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0))).drop("_x", "_sign", "_run", "_new", "_v", "_island")
 
 
 def volume_streak(df: DataFrame) -> DataFrame:

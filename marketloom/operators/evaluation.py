@@ -19,6 +19,26 @@ def feature_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
+def feature_sketch(df: DataFrame, columns: list[str], quantiles: list[float] = [0.25, 0.5, 0.75], rsd: float = 0.02, accuracy: int = 10000) -> DataFrame:
+    """(feature, dtype, nulls, total, n_distinct, quantiles) from sketches that merge, so tasks send a few kilobytes a column.
+
+    n_distinct is off by about rsd (one deviation); a quantile's rank is off by 2 * total / accuracy at most. Quantiles are given of
+    numbers and dates (as days since 1970), in the order asked; null for other kinds and for columns without a value. feature_summary
+    counts exactly, at the price of a row for each column and value.
+    """
+    kinds = dict(df.dtypes)
+    share = F.lit(quantiles).cast("array<double>")
+    aggs = [F.count("*").alias("_total")]
+    for i, c in enumerate(columns):
+        x = F.unix_date(c) if kinds[c] == "date" else F.col(c)
+        ordered = kinds[c] in ("date", "tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")
+        points = F.percentile_approx(x.cast("double"), share, accuracy) if ordered else F.lit(None).cast("array<double>")
+        aggs += [F.count(c).alias(f"_n{i}"), F.approx_count_distinct(c, rsd).alias(f"_d{i}"), points.alias(f"_q{i}")]
+    cells = [F.struct(F.lit(c).alias("feature"), F.lit(kinds[c]).alias("dtype"), (F.col("_total") - F.col(f"_n{i}")).alias("nulls"), F.col("_total").alias("total"), F.col(f"_d{i}").alias("n_distinct"),
+                      F.col(f"_q{i}").alias("quantiles")) for i, c in enumerate(columns)]
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
 def limit_filter(df: DataFrame, buffer: float = 0.001, overrides: DataFrame | None = None) -> DataFrame:
     """Drop rows whose move reaches the daily price limit: 20 % for symbols 300, 301 and 688, 5 % for ST names, else 10 %.
 

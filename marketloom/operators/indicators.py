@@ -163,6 +163,11 @@ def tsi_signals(df: DataFrame) -> DataFrame:
     return crossover(out, "tsi", "_zero", "tsi_centerline_signal").drop("_zero")
 
 
+def stc_signal(df: DataFrame, bounds: tuple = (25, 75)) -> DataFrame:
+    """The bounds stand as they were given: a value under the upper one sells, only values over it buy."""
+    return df.withColumn("stc_signal", boundary(_c("stc"), _c("stc"), bounds[0], bounds[1]))
+
+
 def keltner_signal(df: DataFrame) -> DataFrame:
     return df.withColumn("kc_signal", rule_value([("Close < kc_low", "b"), ("Close > kc_high", "s")], "n"))
 

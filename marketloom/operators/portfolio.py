@@ -36,23 +36,31 @@ def portfolio_value(records: DataFrame, calendar: DataFrame) -> DataFrame:
     return events.withColumn("value", total).filter("_shown").select("Date", "value")
 
 
-def backtest_report(records: DataFrame, riskfree: float = 0.04) -> DataFrame:
-    """One row a symbol of backtest records (symbol, Date, value), the best EAR first by `place`, then rows mean and total.
+def backtest_report(records: DataFrame, riskfree: float = 0.04, portfolio: DataFrame | None = None, benchmark: str = "benchmark") -> DataFrame:
+    """One row a symbol of backtest records (symbol, Date, value), the best EAR first by `place`, the benchmark's after them, then rows
+    mean and total of all but the benchmark.
 
-    The mean and total rows sum up money alone; the rates of the whole come from this report over portfolio_value's rows.
+    The two last rows sum up money; with portfolio (Date, value), such as portfolio_value gives, they carry the rates of the whole.
     """
-    rated = records.withColumn("rate", div(F.col("value"), lag("value")) - 1)
-    ends = records.groupBy("symbol").agg(F.min("Date").alias("start_date"), F.max("Date").alias("end_date"), F.min_by("value", "Date").alias("start_money"), F.max_by("value", "Date").alias("end_money"))
-    each = ends.join(return_measures(records, value="value").select("symbol", "ear"), "symbol").join(annual_volatility(rated), "symbol").join(max_drawdown(records, "value"), "symbol")
-    each = each.withColumn("sharpe", div(F.col("ear") - riskfree, F.col("volatility")))
-    each = each.select("symbol", "start_date", "end_date", "start_money", "end_money", "ear", "sharpe", "max_drawdown")
-    sums = each.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("total", F.sum)) for c in ("start_money", "end_money")])
+    out = _rated(records, riskfree)
+    sums = out.filter(F.col("symbol") != benchmark).agg(*[f(c).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("total", F.sum)) for c in ("start_money", "end_money")])
     extra = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("symbol"), F.col(f"{n}_start_money").alias("start_money"), F.col(f"{n}_end_money").alias("end_money")) for n in ("mean", "total")])).alias("r")).select("r.*")
-    out = each.unionByName(extra, allowMissingColumns=True).withColumn("profit", F.col("end_money") - F.col("start_money"))
-    last = F.col("symbol").isin("mean", "total")
+    if portfolio is not None:
+        rates = _rated(portfolio.select(F.lit("").alias("symbol"), "Date", "value"), riskfree).select("ear", "sharpe", "max_drawdown")
+        extra = extra.join(F.broadcast(rates), how="left")  # one row
+    out = out.unionByName(extra, allowMissingColumns=True).withColumn("profit", F.col("end_money") - F.col("start_money"))
+    last = F.when(F.col("symbol") == benchmark, 1).when(F.col("symbol").isin("mean", "total"), 2).otherwise(0)
     return out.withColumns({"hpr": div(F.col("profit"), F.col("start_money")), "place": F.row_number().over(Window.orderBy(last, F.desc("ear"), "symbol"))})
 
 
+def _rated(records: DataFrame, riskfree: float) -> DataFrame:
+    """First and last date and value, EAR, Sharpe ratio and worst drawdown of each symbol's record."""
+    rates = records.withColumn("rate", div(F.col("value"), lag("value")) - 1)
+    ends = records.groupBy("symbol").agg(F.min("Date").alias("start_date"), F.max("Date").alias("end_date"), F.min_by("value", "Date").alias("start_money"), F.max_by("value", "Date").alias("end_money"))
+    each = ends.join(return_measures(records, value="value").select("symbol", "ear"), "symbol").join(annual_volatility(rates), "symbol").join(max_drawdown(records, "value"), "symbol")
+    return each.select("symbol", "start_date", "end_date", "start_money", "end_money", "ear", div(F.col("ear") - riskfree, F.col("volatility")).alias("sharpe"), "max_drawdown")
+
+
 def coverage_plan(records: DataFrame, symbols: DataFrame, start: str, end: str, mode: str | None = None) -> DataFrame:
     """(symbol, plan): cut where records cover the range (or what `mode` asks: signal, trend), else trend."""
     spans = records.groupBy("symbol").agg(F.min("Date").alias("_lo"), F.max("Date").alias("_hi"))

@@ -110,15 +110,28 @@ def ic_summary(ics: DataFrame) -> DataFrame:
     return ics.agg(F.count("ic").alias("n_dates"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_share"))
 
 
-def layered_by_date(df: DataFrame, pred: str, true: str, n: int = 5) -> DataFrame:
-    """Mean return of each of n score layers, cut on every date by rank of first appearance (ties by symbol)."""
+def _layers(df: DataFrame, pred: str, true: str, n: int) -> DataFrame:
+    """Date, layer (from 0) and _t of the rows that have both, cut on every date by rank of first appearance (ties by symbol)."""
     kept = df.select("Date", "symbol", F.col(pred).alias("_p"), F.col(true).alias("_t")).dropna()
     kept = kept.withColumns({"_r": F.row_number().over(Window.partitionBy("Date").orderBy("_p", "symbol")), "_n": F.count("*").over(Window.partitionBy("Date"))}).filter("_n > 1")
     layer = F.greatest(F.expr(f"((_r - 1) * {n} + _n - 2) div (_n - 1)"), F.lit(1)) - 1
-    daily = kept.withColumn("layer", layer.cast("int")).groupBy("Date", "layer").agg(F.avg("_t").alias("_m"))
+    return kept.select("Date", layer.cast("int").alias("layer"), "_t")
+
+
+def layered_by_date(df: DataFrame, pred: str, true: str, n: int = 5) -> DataFrame:
+    """Mean return of each of n score layers by date, and its mean over the dates."""
+    daily = _layers(df, pred, true, n).groupBy("Date", "layer").agg(F.avg("_t").alias("_m"))
     return daily.groupBy("layer").agg(F.count("*").alias("n_dates"), F.avg("_m").alias("mean_ret"))
 
 
+def layer_spread(df: DataFrame, pred: str, true: str, n: int = 5) -> DataFrame:
+    """One row: mean return of the top and the bottom layer over all rows, and their difference; null for fewer than two layers."""
+    means = _layers(df, pred, true, n).groupBy("layer").agg(F.avg("_t").alias("_m"))
+    ends = means.agg(F.max_by("_m", "layer").alias("_top"), F.min_by("_m", "layer").alias("_bottom"), F.count("*").alias("_n"))
+    several = F.col("_n") > 1
+    return ends.select(F.when(several, F.col("_top")).alias("top"), F.when(several, F.col("_bottom")).alias("bottom"), F.when(several, F.col("_top") - F.col("_bottom")).alias("spread"))
+
+
 def oos_tail(df: DataFrame, n: int = 20) -> DataFrame:
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("Date")))
     return df.withColumn("_b", back).filter(F.col("_b") <= n).drop("_b")

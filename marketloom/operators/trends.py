@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.series import crossover, ffill, normalize, rule_value, streak
+from marketloom.functions.series import crossover, ffill, going_on, normalize, rule_value, streak
 from marketloom.operators.patterns import line_place
 from marketloom.panel import by_symbol, div, lag, whole
 
@@ -27,12 +27,15 @@ def line_trend(df: DataFrame, name: str, fast: str, slow: str) -> DataFrame:
     the candle's body lies. Needs candle_shape.
 
     Adds <line>_rate and <line>_day of both, <name>_rate (their sum), <name>_distance (against slow), <name>_distance_change,
-    <name>_distance_day, <name>_direction_day (days that the distance has grown or shrunk) and <name>_place.
+    <name>_distance_day, <name>_direction_day (days that the distance has grown or shrunk), <name>_place, and the edges of the cloud
+    between the lines, <name>_cloud_top and <name>_cloud_bottom.
     """
     for line in (fast, slow):
         df = close_crossing(df.withColumn(f"{line}_rate", div(F.col(line), lag(line)) - 1), line)
     df = line_place(df, fast, slow, name)
     distance = F.col(f"{name}_distance")
+    known = distance.isNotNull()
+    df = df.withColumns({f"{name}_cloud_top": F.when(known, F.greatest(fast, slow)), f"{name}_cloud_bottom": F.when(known, F.least(fast, slow))})
     df = df.withColumns({f"{name}_rate": F.col(f"{fast}_rate") + F.col(f"{slow}_rate"), f"{name}_distance_change": distance - lag(f"{name}_distance")})
     df = df.withColumns({"_side": F.when(distance == 0, 0).otherwise(_sign(distance > 0)), "_way": _sign(F.col(f"{name}_distance_change") > 0)})
     df = streak(df, "_side", f"{name}_distance_day", zero_as=0)
@@ -56,9 +59,11 @@ def adx_trend(df: DataFrame) -> DataFrame:
         df = streak(df, f"{base}_change", move, zero_as=0).withColumn("_way", F.coalesce(F.signum(move), F.lit(0.0)))
         df = streak(df, "_way", f"{move}_day", zero_as=1).drop("_way")
         turn = F.abs(f"{move}_day") == 1
-        df = df.withColumn("_start", F.when(turn, lag(base))).withColumn(f"{move}_start", ffill("_start")).drop("_start")
+        df = df.withColumn("_start", F.when(turn, lag(base)))
+        out = f"{move}_start"
+        df = df.withColumn("_start", going_on(df, F.col("_start"), out)).withColumn(out, ffill("_start")).drop("_start")
     turn = F.abs("adx_power_day") == 1
-    df = df.withColumns({"_v": F.when(turn, value), "_d": F.when(turn, F.col("adx_direction"))})
+    df = df.withColumns({c: going_on(df, F.when(turn, x), out) for c, x, out in (("_v", value, "adx_power_start_value"), ("_d", F.col("adx_direction"), "adx_power_start_direction"))})
     df = df.withColumns({"adx_power_start_value": ffill("_v"), "adx_power_start_direction": ffill("_d")}).drop("_v", "_d")
     distance = value - F.col("adx_value_prediction")
     df = df.withColumns({"_strong": F.when(strength >= STRONG, 1).when(strength < STRONG, -1).otherwise(0), "_wave": F.when(value.between(-WAVE, WAVE), 1).otherwise(0),

@@ -57,10 +57,15 @@ def change_rate(df: DataFrame, periods: int = 1) -> DataFrame:
     return df.withColumn("rate", div(F.col("Close"), lag("Close", periods)) - 1).withColumn("volume_change", F.col("Volume") - lag("Volume"))
 
 
-def heikin_ashi(df: DataFrame, dropna: bool = True) -> DataFrame:
+def heikin_ashi(df: DataFrame, dropna: bool = True, replace: bool = False) -> DataFrame:
+    """H_Open, H_High, H_Low and H_Close; with replace they take the places of the prices."""
     out = df.withColumns({"H_Close": (F.col("Open") + F.col("High") + F.col("Low") + F.col("Close")) / 4, "H_Open": (lag("Open") + lag("Close")) / 2})
     out = out.withColumns({"H_High": F.greatest(lag("High"), "H_Open", "H_Close"), "H_Low": F.least(lag("Low"), "H_Open", "H_Close")})
-    return out.dropna(subset=["H_Open"]) if dropna else out
+    out = out.dropna(subset=["H_Open"]) if dropna else out
+    if not replace:
+        return out
+    prices = ("Open", "High", "Low", "Close")
+    return out.withColumns({c: F.col(f"H_{c}") for c in prices}).drop(*[f"H_{c}" for c in prices])
 
 
 def adjust_ohlc(df: DataFrame) -> DataFrame:
@@ -127,7 +132,17 @@ def slice_dates(df: DataFrame, start: str | None = None, end: str | None = None,
     return df if end is None else df.filter(F.col("Date") <= F.lit(end).cast("date"))
 
 
-def zone_date(epoch: str | Column, zone: str, unit: str = "s") -> Column:
-    """The calendar date at an exchange (a zone name) of an epoch time in seconds (s) or milliseconds (ms)."""
+def zone_time(epoch: str | Column, zone: str, unit: str = "ms") -> Column:
+    """The wall clock at an exchange (a zone name) of an epoch time in seconds (s), milliseconds (ms) or microseconds (us), to the second."""
     x = F.col(epoch) if isinstance(epoch, str) else epoch
-    return F.from_utc_timestamp(F.timestamp_millis(x.cast("long") if unit == "ms" else x.cast("long") * 1000), zone).cast("date")
+    return F.from_utc_timestamp(F.timestamp_seconds(F.floor(x / {"s": 1, "ms": 1000, "us": 1000000}[unit])), zone)
+
+
+def zone_date(epoch: str | Column, zone: str, unit: str = "s") -> Column:
+    """The calendar date at an exchange of an epoch time, see zone_time."""
+    return zone_time(epoch, zone, unit).cast("date")
+
+
+def plus_days(day: str | Column, n: int | Column) -> Column:
+    """A date n days later (earlier, if negative); texts like 2024-01-31 count as dates."""
+    return F.date_add((F.col(day) if isinstance(day, str) else day).cast("date"), n)

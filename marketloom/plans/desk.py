@@ -171,6 +171,21 @@ on_bars("d4_body_size", lambda b: candles.long_shadow(candles.body_size_class(b)
 # --- evaluation ---
 on_bars("m9_feature_summary", lambda b: evaluation.feature_summary(ranking.return_features(b, (5, 20)), ["Volume", "ret_5d", "logret_20d"]).select("feature", "nulls", "total", F.when(F.col("feature") == "Volume", F.col("n_distinct")).alias("n_distinct")), dict.fromkeys(("feature", "nulls", "total", "n_distinct"), "s"),
         f'''WITH x AS (SELECT *, {lag(C, 5)} AS a, {lag(C, 20)} AS b FROM bars) SELECT 'Volume' AS feature, count(*) - count({V}) AS nulls, count(*) AS total, count(DISTINCT {V}) AS n_distinct FROM x UNION ALL SELECT 'ret_5d', count(*) - count(a), count(*), NULL FROM x UNION ALL SELECT 'logret_20d', count(*) - count(b), count(*), NULL FROM x''', keys="", symbol="p_brand")
+
+
+def _sketched(b: DataFrame) -> DataFrame:
+    """Sketches beside what is counted exactly: whether each number lies within its bound."""
+    rows = ranking.return_features(b, (5, 20))
+    sketch = evaluation.feature_sketch(rows, ["Volume", "Close", "ret_5d", "symbol"])
+    exact = evaluation.feature_summary(rows, ["Volume", "Close", "ret_5d", "symbol"]).select("feature", F.col("n_distinct").alias("exact"))
+    out = sketch.join(exact, "feature").withColumn("distinct_ok", F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.1))
+    return out.select("feature", "nulls", "total", "distinct_ok", F.col("quantiles")[1].alias("median"))
+
+
+on_bars("m9_feature_sketch", lambda b: _sketched(b).withColumn("median", F.when(F.col("feature") == "Volume", F.col("median"))), dict.fromkeys(("feature", "nulls", "total", "distinct_ok"), "s") | d("median"),
+        f'''WITH x AS (SELECT *, {lag(C, 5)} AS a FROM bars), n AS (SELECT count(*) AS t FROM x)
+            SELECT 'Volume' AS feature, 0 AS nulls, t AS total, true AS distinct_ok, (SELECT quantile_disc({V}, 0.5) FROM x) AS median FROM n UNION ALL SELECT 'Close', 0, t, true, NULL FROM n
+            UNION ALL SELECT 'ret_5d', (SELECT count(*) - count(a) FROM x), t, true, NULL FROM n UNION ALL SELECT 'symbol', 0, t, true, NULL FROM n''', keys="", symbol="p_brand")
 _coded = lambda b: b.withColumns({"name": F.when(F.col("symbol").endswith("2"), "xST").otherwise("y"), "symbol": F.concat(F.when(F.col("symbol").endswith("1"), "300").otherwise("600"), "symbol")})
 on_bars("m11_limit_filter", lambda b: ranking_limit(b), d("Close"),
         f'''WITH x AS (SELECT *, abs({C} / {lag(C)} - 1) AS r, CASE WHEN symbol = 'Brand#13' THEN 0.5 WHEN symbol LIKE '%1' THEN 0.2 WHEN symbol LIKE '%2' THEN 0.05 ELSE 0.1 END AS lim FROM bars)

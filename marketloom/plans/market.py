@@ -66,6 +66,19 @@ def _through(df: DataFrame, write, read) -> DataFrame:
 
 # --- bars, dates and single steps ---
 on_bars("a1_a2_stored_bars", lambda b: _through(b.withColumns({"AdjClose": F.col("Close"), "Dividend": F.lit(0.0), "Split": F.lit(1.0)}), history.save_bars, history.load_bars), d(*OHLCV), symbol="p_brand")
+_stocked = lambda b: b.withColumns({"AdjClose": F.col("Close"), "Dividend": F.lit(0.0), "Split": F.lit(1.0)})
+on_bars("a1_csv_bars", lambda b: _through(_stocked(b), lambda df, p: history.save_bars(df, p, "csv"), lambda s, p: history.load_bars(s, p, "csv")), d(*OHLCV), symbol="p_brand")
+
+
+def _bucketed(b: DataFrame) -> DataFrame:
+    """Means over stored bars in buckets; the table's name is new each time, its files lie in the shared folder."""
+    path = shared_path(b.sparkSession, "stored")
+    name = f"bars_{path.rsplit('/', 1)[1]}"
+    history.save_bar_table(b, name, 8, path)
+    return history.load_bar_table(b.sparkSession, name).withColumn("mean", series.rolling("Close", 20))
+
+
+on_bars("a2_bucketed_bars", _bucketed, d("Close", "mean"), f"SELECT *, {R.roll('avg', C, 20)} AS mean FROM bars")
 on_bars("p3_adjust_ohlc", lambda b: panel.adjust_ohlc(b.withColumn("AdjClose", F.col("Close") * F.when(F.year("Date") < 1998, 0.5).otherwise(1.0))), d("Open", "High", "Low", "Close"),
         'SELECT symbol, "Date", ' + ", ".join(f'{c} * CASE WHEN year("Date") < 1998 THEN 0.5 ELSE 1 END AS "{n}"' for c, n in ((O, "Open"), (H, "High"), (L, "Low"), (C, "Close"))) + " FROM bars")
 on_bars("p9_slice_dates", lambda b: panel.slice_dates(b, "1997-01-01", "1997-06-30", 31), d("Close"), """SELECT * FROM bars WHERE "Date" BETWEEN DATE '1996-12-01' AND DATE '1997-06-30'""", symbol="p_brand")
@@ -233,6 +246,18 @@ R._register("s2_stream_overlay", _overlaid, f"""WITH x AS (SELECT * REPLACE ("Cl
     FROM ({_DAILY}) WHERE day("Date") <= 28 AND (symbol <> 'signup' OR day("Date") <> 15)) SELECT symbol, CAST("Date" AS VARCHAR) AS "Date", {_SHOWN} FROM x""")
 
 
+def _by_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clicks and views trade in New York, all else in Shanghai; the stream comes as one batch."""
+    root = shared_path(spark, "streams")
+    bars = streams.stream_exchange_bars(_events(spark, sf_dir, True), {"c": "America/New_York", "v": "America/New_York", "": "Asia/Shanghai"})
+    streams.write_updates(bars.withColumnRenamed("Date", "start"), f"{root}/bars", f"{root}/state").awaitTermination()
+    return rounded(streams.newest_bars(spark.read.parquet(f"{root}/bars")).withColumnRenamed("start", "Date"))
+
+
+R._register("s1_stream_exchange_bars", _by_exchange, f"""WITH x AS ({_DAILY.replace("date_trunc('day', ts)", "CASE WHEN event_type IN ('click', 'view') THEN ts - INTERVAL 5 HOUR ELSE ts + INTERVAL 8 HOUR END")})
+    SELECT symbol, CAST("Date" AS VARCHAR) AS "Date", {_SHOWN} FROM x""")
+
+
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, lo, hi = shared_path(spark, "streams"), F.min("price"), F.max("price")
     levels = _events(spark, sf_dir, False).groupBy("symbol").agg((lo + (hi - lo) * 0.125).alias("supporter"), (hi - (hi - lo) * 0.25).alias("resistanter"))

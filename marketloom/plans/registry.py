@@ -396,4 +396,5 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from marketloom.plans import desk, market, rules  # noqa: E402, F401  register their queries with the functions above
+from marketloom.plans import desk, market, rules  # noqa: E402, F401, I001  register their queries with the functions above
+from marketloom.plans import columns  # noqa: E402, F401  shows columns of the others' queries

@@ -12,19 +12,42 @@ KEY = ["symbol", "Date"]
 
 
 def load_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Bars of a folder that save_bars wrote, or of one CSV file a symbol (named <symbol>.csv, with a header).
+    """Bars of a folder that save_bars wrote, or of CSV files with a header: one a symbol, <symbol>.csv or in symbol=<symbol>/.
 
-    Symbols of a saved folder are directories, so a filter on symbol reads that symbol's files alone.
+    Symbols of a saved folder are directories, so a filter on symbol reads that symbol's files alone. Small files share tasks:
+    Spark packs them up to spark.sql.files.maxPartitionBytes.
     """
+    order = [c.split()[0] for c in BARS.split(", ")]
     if fmt == "parquet":
-        return spark.read.schema(f"{BARS}, symbol string").parquet(path).select("symbol", *[c.split()[0] for c in BARS.split(", ")])
-    rows = spark.read.schema(BARS).csv(path, header=True)
-    return rows.withColumn("symbol", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+        return spark.read.schema(f"{BARS}, symbol string").parquet(path).select("symbol", *order)
+    # The schema names the columns of the files alone; the path says the symbol in either layout.
+    rows = spark.read.schema(BARS).option("recursiveFileLookup", True).csv(path, header=True, enforceSchema=False)
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    part = lambda pattern: F.nullif(F.regexp_extract(F.input_file_name(), pattern, 1), F.lit(""))
+    # Names of files come encoded; names of folders were encoded when they were written too.
+    symbol = F.coalesce(plain(plain(part(r"symbol=([^/]+)/[^/]*$"))), plain(part(r"([^/]+)\.csv$")))
+    return rows.select(symbol.alias("symbol"), *order)
 
 
-def save_bars(bars: DataFrame, path: str) -> None:
-    """Write bars by symbol, sorted by Date; a symbol's rows meet in one task, as its file needs."""
-    bars.repartition("symbol").sortWithinPartitions("symbol", "Date").write.partitionBy("symbol").mode("overwrite").parquet(path)
+def save_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write bars by symbol, sorted by Date; a symbol's rows meet in one task, as its file needs. fmt csv writes headers too."""
+    rows = bars.select("symbol", *[c.split()[0] for c in BARS.split(", ")]).repartition("symbol").sortWithinPartitions("symbol", "Date")
+    out = rows.write.partitionBy("symbol").mode("overwrite")
+    out.csv(path, header=True) if fmt == "csv" else out.parquet(path)
+
+
+def save_bar_table(bars: DataFrame, name: str, buckets: int = 64, path: str | None = None) -> None:
+    """Write bars as a table in buckets by symbol, each file sorted by symbol and Date.
+
+    Windows, groupings and joins by symbol over the table (load_bar_table) need no exchange, and each bucket is one file, whose
+    rows are already in the windows' order. buckets is fixed for the life of a table: as many as its readers have cores, or more.
+    """
+    out = bars.repartition(buckets, "symbol").write.bucketBy(buckets, "symbol").sortBy("symbol", "Date").mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(name)
+
+
+def load_bar_table(spark: SparkSession, name: str) -> DataFrame:
+    return spark.table(name)
 
 
 def normalize_quotes(df: DataFrame, names: dict[str, str], order: str) -> DataFrame:

@@ -18,6 +18,26 @@ def stream_bars(quotes: DataFrame, period: str = "1 day", watermark: str = "15 m
     return bars.select("symbol", F.col("window.start").alias("start"), "Open", "High", "Low", "Close", "Volume")
 
 
+def stream_exchange_bars(quotes: DataFrame, zones: dict[str, str], late: str = "15 minutes", prefix: int = 1) -> DataFrame:
+    """Running daily bars by the calendar of each symbol's exchange, of a stream (symbol, ts, seq, price, quantity).
+
+    zones maps the first `prefix` characters of a symbol to a zone name; '' is the zone of all others, and without it they are
+    left out. A quote belongs to the date at its exchange, which may differ from the date in UTC and be 23 or 25 hours long.
+
+    The end of that day is the event time. A day takes quotes until the stream has seen a day that ends a day and `late` after it, that
+    is, through the whole next day; then its state goes, and quotes that come still later are dropped. The state is one small row
+    a symbol and open day.
+    """
+    zone = F.lit(zones.get("")).cast("string")
+    for start, name in zones.items():
+        zone = F.when(F.substring("symbol", 1, prefix) == start, name).otherwise(zone) if start else zone
+    dated = quotes.withColumn("_zone", zone).filter("_zone is not null").withColumn("Date", F.from_utc_timestamp("ts", F.col("_zone")).cast("date"))
+    ends = dated.withColumn("day_end", F.to_utc_timestamp(F.date_add("Date", 1).cast("timestamp"), F.col("_zone"))).withWatermark("day_end", f"1 day {late}")
+    at = F.struct("ts", "seq")
+    return ends.groupBy("symbol", "Date", "day_end").agg(
+        F.min_by("price", at).alias("Open"), F.max("price").alias("High"), F.min("price").alias("Low"), F.max_by("price", at).alias("Close"), F.sum("quantity").alias("Volume")).drop("day_end")
+
+
 def write_updates(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append each batch's changed bars under batch=<id>. A batch that runs again overwrites its own folder, so nothing doubles."""
     def put(batch: DataFrame, number: int) -> None:
