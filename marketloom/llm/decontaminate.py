@@ -24,10 +24,11 @@ _GAPS = r"[\x00\x03-\x2f:;<=>?@\[\]\\^_`{|}~\u00a0\u00ab\u00bb\u00bf\u00a1\u2013
 def _tokens(docs: DataFrame, id_col: str) -> DataFrame:
     """id, raw: the words of a text, as an array of the row; names and units carry a leading mark.
 
-    Whole-text passes mark what a split would lose: a name is capitalised after a lower-case letter, comma or colon and one
-    space; a unit follows a number. Inner . and , of numbers go, so that a number is one word.
+    Whole-text passes mark what a split would lose: a name is a word of a capital and a small letter or more, wherever it stands;
+    names that follow each other after one blank are one; a unit follows a number. Inner . and , of numbers go, so that a number is
+    one word.
     """
-    marked = F.regexp_replace("text", r"(?<=[\p{Ll},;:]) (?=\p{Lu})", " \x01")
+    marked = F.regexp_replace(F.regexp_replace("text", r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{Ll})", "\x01"), "(?<=\\p{L}) \x01(?<=\x01[\\p{L}'\u2019]{2,40} \x01)", "\x01")
     counted = F.regexp_replace(F.regexp_replace("m", rf"(?<=\d)[ -]?(?=(?:{'|'.join(UNITS)})\b)", " \x02"), r"(?<=\d)[.,](?=\d)", "")
     docs = docs.select(id_col, marked.alias("m"))
     marked = F.when(F.col("m").rlike(r"\d"), counted).otherwise(F.col("m"))
@@ -50,6 +51,18 @@ def _spans(k: str, n: int) -> Column:
     return F.when(F.size(k) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(k, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _variants(k: Column, w: Column) -> Column:
+    """Windows of templates k in which each name of one word stands as @ or as the word of w, in every combination (2 ** WINDOW at most)."""
+    spots = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (F.get(k, i) == "@") & ~F.get(w, i).contains("\x01"))
+
+    def one(mask: Column) -> Column:
+        bit = lambda i: F.getbit(mask, (F.array_position(spots, i) - 1).cast("int"))
+        return F.transform(k, lambda x, i: F.when(F.array_contains(spots, i), F.when(bit(i) == 1, F.get(w, i)).otherwise(x)).otherwise(x))
+
+    masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size(spots)).cast("long") - 1)
+    return F.transform(masks, one)
+
+
 def _windows(hashed: DataFrame, lengths: list[int], *keep) -> DataFrame:
     """pos and h of the windows of each of the lengths."""
     each = [hashed.select(*keep, F.posexplode(_spans("kh", n)).alias("pos", "h"), F.lit(n).alias("n")) for n in lengths]
@@ -65,8 +78,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     document, and for no two values of one type the same, so a question with changed numbers and names is caught and an
     accidental template is not. Windows with the same words count without that check; a chain whose slots differ counts by these
     alone (and n_windows is their number). Items shorter than WINDOW match as one window of their own length. A window of slots
-    alone never counts. Items are also looked for as they read all in lower case and all in capitals, where names cannot be told
-    from words and so have to be the same.
+    alone never counts. A name of the item also matches its own word in small letters, in every combination (2 ** WINDOW rows of a
+    window at most, on the item's side); names of several words do so where the whole copy is in small letters or in capitals.
 
     Null and empty texts hold nothing; repeated rows count once; an empty benchmark finds nothing. Rows whose id is null
     are left out. Other columns are not looked at.
@@ -80,10 +93,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     items = reduce(DataFrame.unionByName, forms).groupBy("id", "k").agg(F.min(F.struct("form", "w")).alias("x")).select("id", "x.form", "x.w", "k")
     items = materialise(items, "items")
     plain = lambda c: F.size(F.filter(c, lambda x: ~x.isin("#", "@", "%")))
-    held = items.select("id", "form", "k", hashes.alias("kh"), F.least(F.size("k"), F.lit(WINDOW)).alias("n"))
-    lengths = sorted(r.n for r in held.select("n").distinct().collect()) or [WINDOW]  # at most WINDOW numbers
-    item_windows = _windows(held, lengths, "id", "form", "k", F.col("n").alias("own")).filter("n = own").filter(plain(F.slice("k", F.col("pos") + 1, F.col("n"))) > 0)
-    item_windows = materialise(item_windows.select(F.col("id").alias("item"), "form", F.col("pos").alias("item_pos"), "h", "n"), "item_windows")
+    lengths = sorted(r.n for r in items.select(F.least(F.size("k"), F.lit(WINDOW)).alias("n")).distinct().collect()) or [WINDOW]  # at most WINDOW numbers
+    at = F.explode(F.sequence(F.lit(0), F.size("k") - F.col("n"))).alias("item_pos")
+    each = items.select("id", "form", "k", "w", F.least(F.size("k"), F.lit(WINDOW)).alias("n")).select("id", "form", "n", "k", "w", at)
+    window = lambda c: F.slice(c, F.col("item_pos") + 1, F.col("n"))
+    each = each.select("id", "form", "item_pos", "n", window("k").alias("k"), window("w").alias("w")).withColumn("k", F.explode(_variants(F.col("k"), F.col("w"))))
+    item_windows = each.filter(plain("k") > 0).select(F.col("id").alias("item"), "form", "item_pos", F.xxhash64(F.transform("k", lambda x: F.xxhash64(x))).alias("h"), "n").distinct()
+    item_windows = materialise(item_windows, "item_windows")
     n_windows = item_windows.count()
     tokens = _tokens(own_docs.filter("text is not null"), doc_id)
     at = _windows(tokens.select("id", _templates("raw").alias("k")).select("id", hashes.alias("kh")), lengths, "id").drop("n")
@@ -91,7 +107,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     hits = at.join(small, "h").select("id", "item", "form", "item_pos", "pos", "n", (F.col("pos") - F.col("item_pos")).alias("shift"))
     hits = materialise(hits.distinct(), "template_hits")
 
-    of_item = item_windows.groupBy("item", "form").agg(F.count("*").alias("n_item"))
+    of_item = item_windows.groupBy("item", "form").agg(F.count_distinct("item_pos").alias("n_item"))
     chains = (hits.groupBy("id", "item", "form", "shift").agg(F.count("*").alias("n_windows"), F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("n").alias("n"))
               .join(of_item, ["item", "form"]).withColumn("need", F.least(F.lit(RUN), F.greatest(F.col("n_item") - 1, F.lit(1)))).filter("n_windows >= need"))
     # Words of both sides, for the few documents that are left; slots must be replaced one for one.

@@ -217,6 +217,56 @@ def test_decontamination_is_blind_to_case(spark):
     assert decontaminate.mark_contamination(docs, items).count() == 8
 
 
+_PUZZLES = [
+    "{n0} has {a} pens. {n1} has {b} pens. {n2} gets {c} more from the teacher after lunch.",
+    "{n0} asked {n1}, {n2}, {n3} and {n4} to bring {a} red apples each for the school party.",
+    "A bus leaves {p0} at {a} hours and travels {b} km to {p1} before it turns back at noon.",
+    "In {p0} the price of bread rose by {a} percent, while in {p1} it fell by {b} percent within a year.",
+    "{n0} walks {a} km every morning. {n1} walks twice as far, and {n2} rides a bicycle to {p0} instead.",
+    "If {n0} buys {a} kg of rice for {b} dollars, how much does {n1} pay for {c} kg of the same rice?",
+]
+_NAMES = ["Anna", "Ben", "Cara", "Uma", "Victor", "Wesley", "Tom", "Susan", "Boris", "Kim", "Mary Ann", "John Paul"]
+_PLACES = ["Paris", "Rome", "New York", "Oslo", "San Marino", "Lima"]
+
+
+def _puzzle(r, text):
+    names, places = [str(x) for x in r.permutation(_NAMES)], [str(x) for x in r.permutation(_PLACES)]
+    numbers = [str(x) for x in r.permutation(np.arange(2, 60))[:3]]
+    return text.format(**{f"n{i}": names[i] for i in range(5)}, **{f"p{i}": places[i] for i in range(2)}, a=numbers[0], b=numbers[1], c=numbers[2])
+
+
+def test_decontamination_recall_of_other_values(spark):
+    """Copies with other names, places and numbers, and with some names in small letters, inside other text; and texts that only look alike."""
+    r = np.random.default_rng(21)
+    filler = lambda n: " ".join(f"z{x}" for x in r.integers(0, 4000, n))
+    items, docs, want = [], [], {}
+    for i, text in enumerate(_PUZZLES):
+        items.append((i, _puzzle(r, text)))
+        for k in range(8):
+            copy = _puzzle(r, text) if k < 5 else items[-1][1]
+            if k >= 5:  # the item itself, with some of its capitals lost or a line broken before them
+                copy = re.sub(r"\b[A-Z][a-z]+", lambda m: m[0].lower() if r.random() < 0.5 else m[0], copy) if k < 7 else copy.replace(", ", ",\n")
+            want[len(docs)] = i
+            docs.append((len(docs), f"{filler(20)}. {copy} {filler(20)}"))
+    clean = ["Anna has 5 pens. Ben likes books. Cara gets up early and walks to the teacher every day of the week.", "A bus leaves late at 9 hours because the driver travels home first and then turns back to the city.",
+             "In Paris the price of bread is a matter of state, while in Rome the bakers decide it among themselves.", "If Anna buys rice she pays in dollars, and the shop gives her a bag of the same size every week."]
+    docs += [(1000 + i, f"{filler(20)} {t} {filler(20)}") for i, t in enumerate(clean)]
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id) for x in found}
+    assert not {d for d, _ in got if d >= 1000}
+    hit = [(d, i) in got for d, i in want.items()]
+    assert np.mean(hit) >= 0.9, [docs[d] for (d, i), h in zip(want.items(), hit) if not h]
+    assert got <= {(d, i) for d, i in want.items()}
+
+
+def test_decontamination_of_awkward_rows(awkward, nothing, spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "x"), (None, "x", "x"), (2, None, "x"), (3, "", "x"), (4, "same " * 40, "x")], "item_id long, text string, doc_id string")
+    got = decontaminate.mark_contamination(awkward.unionByName(awkward), items).toPandas()
+    assert len(got) == 2 * len(AWKWARD) and set(got[got.contaminated].doc_id) == {5, 6, 8}
+    assert not decontaminate.mark_contamination(awkward, items.filter("item_id < 0")).filter("contaminated").count()
+    assert decontaminate.mark_contamination(nothing, items).count() == 0
+
+
 def test_contained_items_are_found(spark, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
     held = {d for d, t in zip(documents.doc_id, documents.text) if any(i in (t or "") for i in items.text)}
