@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.series import rolling, rule_value
@@ -40,21 +40,57 @@ def candle_context(df: DataFrame) -> DataFrame:
     return candle_gap(candle_place(body_size_class(df)))
 
 
+#: Fixed values of the candle patterns: shares of the day's range that bodies and shadows have, how far ranges and bodies differ from
+#: their means, how near two extremes are (of Close), how good a place is, and rows of an extreme.
+LINE_BODY, DOJI_BODY, SMALL_BODY, SOLID_BODY, FULL_BODY = 0.05, 0.15, 0.3, 0.5, 0.75
+NO_SHADOW, SOME_SHADOW, LONG_SHADOW, LIKE_SHADOWS = 0.05, 0.15, 0.6, 0.05
+STILL, CALM, BUSY, WILD = -1, -0.5, 1, 1.5
+FLAT, NEARLY_FLAT, GOOD_PLACE, EXTREME_ROWS = 0.002, 0.004, 0.33, 10
+
+_TOP, _BOTTOM = "position = 'up'", "position = 'down'"
+_PEAK, _TROUGH = f"{_TOP} AND extreme = 'u'", f"{_BOTTOM} AND extreme = 'd'"
+_SPIKE = f"shadow_diff > {BUSY} AND entity_trend <> 'u' AND body_pct BETWEEN {LINE_BODY} AND {SMALL_BODY}"
+_BELT = f"entity_trend <> 'd' AND body_pct > {SOLID_BODY}"
+_PAIR = "_1_entity_trend <> 'd' AND entity_trend <> 'd'"
+_RISES, _FALLS = "_1_color = -1 AND color = 1", "_1_color = 1 AND color = -1"
+
+#: Patterns of one candle in stages (a stage reads the columns of those before), and of several: letter by condition, the last that holds.
+ONE_CANDLE = [
+    {"extreme": {f"{_TOP} AND High = _max": "u", f"{_BOTTOM} AND Low = _min": "d"},
+     "window": {"gap > 1": "u", "gap < -1": "d"},
+     "cross": {f"body_pct < {DOJI_BODY} AND (shadow_diff < {CALM} OR (shadow_diff < 0 AND body_diff < {CALM}))": "d", f"body_pct < {DOJI_BODY} AND shadow_diff > {WILD}": "u",
+               f"body_pct < {LINE_BODY} OR (shadow_diff < {STILL} AND body_diff < {STILL})": "d"}},
+    {"_shape": {f"{_SPIKE} AND shadow_upper_pct < {NO_SHADOW} AND shadow_lower_pct >= {LONG_SHADOW}": "u", f"{_SPIKE} AND shadow_lower_pct < {NO_SHADOW} AND shadow_upper_pct >= {LONG_SHADOW}": "d"}},
+    {"meteor": {f"{_PEAK} AND _shape = 'd'": "d", f"{_TROUGH} AND _shape = 'd'": "u"},
+     "hammer": {f"{_PEAK} AND _shape = 'u'": "d", f"{_TROUGH} AND _shape = 'u'": "u"},
+     "belt": {f"{_BELT} AND {_BOTTOM} AND shadow_lower_pct <= {NO_SHADOW} AND shadow_upper_pct >= {SOME_SHADOW} AND color = 1": "u",
+              f"{_BELT} AND {_TOP} AND shadow_upper_pct <= {NO_SHADOW} AND shadow_lower_pct >= {SOME_SHADOW} AND color = -1": "d"}},
+]
+SEVERAL_CANDLES = {
+    "flat": {f"`cross` = 'n' AND {_TOP} AND (_high_diff <= {FLAT} OR (_high_diff <= {NEARLY_FLAT} AND rate <= 0 AND _upper_diff BETWEEN -{LIKE_SHADOWS} AND {LIKE_SHADOWS}))": "d",
+             f"`cross` = 'n' AND {_BOTTOM} AND _low_diff <= {FLAT} AND (place_score > {GOOD_PLACE} OR color = 1)": "u"},
+    "engulfing": {f"place = 'out' AND {_BOTTOM} AND {_PAIR} AND body_pct > {FULL_BODY} AND {_RISES}": "u", f"place = 'out' AND {_TOP} AND {_PAIR} AND body_pct > {FULL_BODY} AND {_FALLS}": "d"},
+    "harami": {f"place = 'mid' AND {_BOTTOM} AND {_PAIR} AND _1_body_pct > {SOLID_BODY} AND body_pct > {FULL_BODY} AND {_RISES}": "u",
+               f"place = 'mid' AND {_TOP} AND {_PAIR} AND _1_body_pct > {SOLID_BODY} AND body_pct > {FULL_BODY} AND {_FALLS}": "d"},
+    "piercing": {f"place = 'mid_down' AND _1_position = 'down' AND {_RISES} AND entity_trend = 'u' AND _1_entity_trend <> 'd' AND _1__middle < body_top": "u",
+                 f"place = 'mid_up' AND _1_position = 'up' AND {_FALLS} AND entity_trend = 'u' AND _1_entity_trend <> 'd' AND _1__middle > body_bottom": "d"},
+    "star": {f"_1_place = 'down' AND place = 'up' AND {_BOTTOM} AND (ki_distance = 'rr' OR _1_extreme = 'd') AND _1_position = 'down' AND color = 1 AND entity_trend <> 'd'"
+             " AND (entity_trend = 'u' OR _middle > _2_body_top) AND _1_entity_trend <> 'u' AND _1_body_top < _2_body_bottom AND _1_body_top < body_bottom": "u",
+             f"_1_place = 'up' AND place = 'down' AND {_TOP} AND (ki_distance = 'gg' OR _1_extreme = 'u') AND _1_position = 'up' AND _2_color = 1 AND color = -1"
+             " AND (entity_trend = 'u' OR _middle < _2__middle) AND _1_entity_trend <> 'u'": "d"},
+}
+
+
+def _letters(rules: dict[str, dict[str, str]]) -> dict[str, Column]:
+    return {name: rule_value(list(conditions.items()), "n") for name, conditions in rules.items()}
+
+
 def single_candle(df: DataFrame) -> DataFrame:
     """extreme, window, cross, meteor, hammer and belt, each u, d or n. Needs candle_context and position."""
-    df = df.withColumns({"_max": rolling("High", 10, "max"), "_min": rolling("Low", 10, "min")})
-    df = df.withColumns({"extreme": rule_value([("position = 'up' AND High = _max", "u"), ("position = 'down' AND Low = _min", "d")], "n"),
-                         "window": rule_value([("gap > 1", "u"), ("gap < -1", "d")], "n"),
-                         "cross": rule_value([("body_pct < 0.15 AND (shadow_diff < -0.5 OR (shadow_diff < 0 AND body_diff < -0.5))", "d"), ("body_pct < 0.15 AND shadow_diff > 1.5", "u"),
-                                              ("body_pct < 0.05 OR (shadow_diff < -1 AND body_diff < -1)", "d")], "n")})
-    small = "shadow_diff > 1 AND entity_trend <> 'u' AND body_pct BETWEEN 0.05 AND 0.3"
-    df = df.withColumn("_shape", rule_value([(f"{small} AND shadow_upper_pct < 0.05 AND shadow_lower_pct >= 0.6", "u"), (f"{small} AND shadow_lower_pct < 0.05 AND shadow_upper_pct >= 0.6", "d")], "n"))
-    top, bottom = "position = 'up' AND extreme = 'u'", "position = 'down' AND extreme = 'd'"
-    solid = "entity_trend <> 'd' AND body_pct > 0.5"
-    return df.withColumns({"meteor": rule_value([(f"{top} AND _shape = 'd'", "d"), (f"{bottom} AND _shape = 'd'", "u")], "n"),
-                           "hammer": rule_value([(f"{top} AND _shape = 'u'", "d"), (f"{bottom} AND _shape = 'u'", "u")], "n"),
-                           "belt": rule_value([(f"{solid} AND position = 'down' AND shadow_lower_pct <= 0.05 AND shadow_upper_pct >= 0.15 AND color = 1", "u"),
-                                               (f"{solid} AND position = 'up' AND shadow_upper_pct <= 0.05 AND shadow_lower_pct >= 0.15 AND color = -1", "d")], "n")}).drop("_max", "_min", "_shape")
+    df = df.withColumns({"_max": rolling("High", EXTREME_ROWS, "max"), "_min": rolling("Low", EXTREME_ROWS, "min")})
+    for stage in ONE_CANDLE:
+        df = df.withColumns(_letters(stage))
+    return df.drop("_max", "_min", "_shape")
 
 
 def multi_candle(df: DataFrame) -> DataFrame:
@@ -63,15 +99,5 @@ def multi_candle(df: DataFrame) -> DataFrame:
     df = df.withColumns({f"_1_{c}": lag(c) for c in ("color", "body_top", "body_bottom", "_middle", "body_pct", "position", "entity_trend", "place", "extreme", "shadow_upper_pct", "High", "Low")}
                         | {f"_2_{c}": lag(c, 2) for c in ("color", "body_top", "body_bottom", "_middle")})
     df = df.withColumns({"_high_diff": F.abs(div(F.col("High") - F.col("_1_High"), F.col("Close"))), "_low_diff": F.abs(div(F.col("Low") - F.col("_1_Low"), F.col("Close"))), "_upper_diff": F.col("shadow_upper_pct") - F.col("_1_shadow_upper_pct")})
-    solid = "_1_entity_trend <> 'd' AND entity_trend <> 'd'"
-    turn_up, turn_down = "_1_color = -1 AND color = 1", "_1_color = 1 AND color = -1"
-    df = df.withColumns({
-        "flat": rule_value([("`cross` = 'n' AND position = 'up' AND (_high_diff <= 0.002 OR (_high_diff <= 0.004 AND rate <= 0 AND _upper_diff BETWEEN -0.05 AND 0.05))", "d"),
-                            ("`cross` = 'n' AND position = 'down' AND _low_diff <= 0.002 AND (place_score > 0.33 OR color = 1)", "u")], "n"),
-        "engulfing": rule_value([(f"place = 'out' AND position = 'down' AND {solid} AND body_pct > 0.75 AND {turn_up}", "u"), (f"place = 'out' AND position = 'up' AND {solid} AND body_pct > 0.75 AND {turn_down}", "d")], "n"),
-        "harami": rule_value([(f"place = 'mid' AND position = 'down' AND {solid} AND _1_body_pct > 0.5 AND body_pct > 0.75 AND {turn_up}", "u"), (f"place = 'mid' AND position = 'up' AND {solid} AND _1_body_pct > 0.5 AND body_pct > 0.75 AND {turn_down}", "d")], "n"),
-        "piercing": rule_value([(f"place = 'mid_down' AND _1_position = 'down' AND {turn_up} AND entity_trend = 'u' AND _1_entity_trend <> 'd' AND _1__middle < body_top", "u"),
-                                (f"place = 'mid_up' AND _1_position = 'up' AND {turn_down} AND entity_trend = 'u' AND _1_entity_trend <> 'd' AND _1__middle > body_bottom", "d")], "n"),
-        "star": rule_value([("_1_place = 'down' AND place = 'up' AND position = 'down' AND (ki_distance = 'rr' OR _1_extreme = 'd') AND _1_position = 'down' AND color = 1 AND entity_trend <> 'd' AND (entity_trend = 'u' OR _middle > _2_body_top) AND _1_entity_trend <> 'u' AND _1_body_top < _2_body_bottom AND _1_body_top < body_bottom", "u"),
-                            ("_1_place = 'up' AND place = 'down' AND position = 'up' AND (ki_distance = 'gg' OR _1_extreme = 'u') AND _1_position = 'up' AND _2_color = 1 AND color = -1 AND (entity_trend = 'u' OR _middle < _2__middle) AND _1_entity_trend <> 'u'", "d")], "n")})
+    df = df.withColumns(_letters(SEVERAL_CANDLES))
     return df.drop("_middle", "_high_diff", "_low_diff", "_upper_diff", *[c for c in df.columns if c.startswith(("_1_", "_2_"))])

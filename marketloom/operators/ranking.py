@@ -48,8 +48,10 @@ def volume_features(df: DataFrame, windows: tuple = (5, 20)) -> DataFrame:
 
 
 def relative_strength(df: DataFrame, benchmark: DataFrame, windows: tuple = (5, 20, 60), beta: int = 60) -> DataFrame:
-    """Return minus the benchmark's on common dates, and the rolling beta. benchmark: Date, Close; one symbol's history."""
-    own = df.join(F.broadcast(benchmark.select("Date", F.col("Close").alias("_bench"))), "Date")
+    """Return minus the benchmark's on common dates, and the rolling beta. benchmark: Date, Close; one symbol's history, or it raises."""
+    one = F.when(F.count("*") == 1, F.max("Close")).otherwise(F.raise_error(F.lit("the benchmark has several rows of a date")).cast("double"))
+    # One row a date: a few thousand, however many symbols there are.
+    own = df.join(F.broadcast(benchmark.groupBy("Date").agg(one.alias("_bench"))), "Date")
     rate = lambda c, n: div(F.col(c), lag(c, n)) - 1
     own = own.withColumns({f"rel_strength_{w}d": rate("Close", w) - rate("_bench", w) for w in windows} | {"_s": rate("Close", 1), "_b": rate("_bench", 1)})
     slope = div(F.covar_samp("_s", "_b").over(rows(beta)), F.var_samp("_b").over(rows(beta)))

@@ -11,6 +11,7 @@ from marketloom import panel
 from marketloom.operators import indicators, portfolio, ranking, recursive, trends
 from marketloom.plans import market, nightly
 from marketloom.plans import registry as R
+from marketloom.plans.analysis import staged
 from marketloom.plans.desk import O
 from marketloom.plans.registry import _BODY, C, H, L, V, W, d, lag, on_bars, rounded
 
@@ -103,11 +104,11 @@ _CUT = "2000-12-31"
 
 def _night(b: DataFrame) -> DataFrame:
     """What two nights add to the state of all days before; the first takes a month, the second the rest."""
-    state = nightly.state_of(nightly.causal_features(b.filter(F.col("Date") <= F.lit(_CUT).cast("date"))))
-    day = F.col("Date")
-    first, state = nightly.night(state, b.filter((day > F.lit(_CUT).cast("date")) & (day <= F.date_add(F.lit(_CUT).cast("date"), 31))))
-    second, _ = nightly.night(state, b.filter(day > F.date_add(F.lit(_CUT).cast("date"), 31)))
-    return first.unionByName(second)
+    day, cut = F.col("Date"), F.lit(_CUT).cast("date")
+    state = staged(nightly.state_of(nightly.causal_features(b.filter(day <= cut))), "state")
+    first = staged(nightly.night(state, b.filter((day > cut) & (day <= F.date_add(cut, 31)))), "night")
+    state = staged(nightly.next_state(state, first), "state")
+    return first.unionByName(nightly.night(state, b.filter(day > F.date_add(cut, 31))))
 
 
 _AFTER = f"""WHERE "Date" > DATE '{_CUT}'"""

@@ -121,11 +121,16 @@ def state_of(features: DataFrame) -> DataFrame:
     return features.withColumn("_back", back).filter(F.col("_back") <= TAIL).drop("_back")
 
 
-def night(state: DataFrame, day: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Features of the day's bars (any number of new dates a symbol), and the state for the next night.
+def next_state(state: DataFrame, done: DataFrame) -> DataFrame:
+    """The state for the next night, of a state and the features that night gave for it; symbols without a new bar keep theirs."""
+    return state_of(state.unionByName(done))
 
-    Both come from one table of state rows and new rows, dealt by symbol. Symbols without a new bar keep their state; symbols that the
-    state does not know start with the bars given. Bars no newer than a symbol's state are left out.
+
+def night(state: DataFrame, day: DataFrame) -> DataFrame:
+    """Features of the day's bars (any number of new dates a symbol), with what next_state needs.
+
+    State rows and new rows are dealt by symbol once. Symbols that the state does not know start with the bars given. Bars no newer
+    than a symbol's state are left out. Write the result, and the state made from it, before the next night.
     """
     old = state.withColumn("_stored", F.lit(True))
     last = state.groupBy("symbol").agg(F.max("Date").alias("_last"))
@@ -139,5 +144,4 @@ def night(state: DataFrame, day: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Bars come after all that is stored, so places tell old from new.
     rows = rows.withColumns({"_n_old": F.count_if("_stored").over(Window.partitionBy("symbol")), "_place": F.row_number().over(panel.by_symbol())})
     near = rows.filter(F.col("_place") > F.col("_n_old") - ANCHORS).withColumn("_anchor", F.col("_place") == F.col("_n_old")).drop("_n_old", "_place")
-    done = _runs(near).filter("NOT _stored").select(state.columns)
-    return done, state_of(state.unionByName(done))
+    return _runs(near).filter("NOT _stored").select(state.columns)
