@@ -83,7 +83,7 @@ def test_quality_agrees_with_labels(spark):
     folder = "/root/testdata/sf0.01"
     got = quality.score_quality(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("good")), "doc_id").toPandas()
     by_kept, by_base = (got.kept == (got.good == 1)).mean(), (~got.base_failed == (got.good == 1)).mean()
-    assert len(got) > 500 and by_kept > 0.95 and by_kept > by_base + 0.02
+    assert len(got) > 300 and by_kept > 0.95 and by_kept > by_base + 0.02
     rank = got.quality.rank()
     good = got.good == 1
     auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
