@@ -88,8 +88,8 @@ class PieceEncoder:
             p = pieces[i]
             tail = self.marks.get(p[-1:], b"")
             core = p[:-1] if tail else p
-            # A mark joins what stands before it unless that is a letter, also as the tokenizer sees it.
-            stem = find(core) if tail and (core if self.keep_space else core.lower())[-1:].isalpha() else None
+            # A mark joins what stands before it unless that is a letter, also in lower case: a dotted capital I ends in a mark there.
+            stem = find(core) if tail and core[-1:].isalpha() and (self.keep_space or core[-1] != "\u0130") else None
             if stem is None:
                 stem = self._word(core)
             if stem is None:
