@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import materialise
+from marketloom.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the least node that it reaches.
 
-    Alternates the two stars until a round changes nothing; each round is written to the shared folder. Self loops, repeated and
+    Alternates the two stars until a round changes nothing; each round is written to the shared folder
+    and the one before it removed. Self loops, repeated and
     mirrored edges are harmless; an empty table has no nodes. All joins have one row a node on one side, and a node with very
     many neighbours spreads over tasks because a join's large partitions are split.
     """
@@ -35,7 +36,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == mark or seen[0] == 0:
             break
         mark = seen
-        now = materialise(_small_star(_large_star(now)).distinct(), "stars")
+        now, old = materialise(_small_star(_large_star(now)).distinct(), "stars"), now
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     heads = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import ASCII_LOWER, SEPARATORS, materialise, small_batches, worker_cache
+from marketloom.llm.common import ASCII_LOWER, SEPARATORS, discard, materialise, small_batches, worker_cache
 from marketloom.llm.components import connected_components
 from marketloom.llm.lines import TEXT_KEY
 
@@ -190,7 +190,9 @@ def _can_link(open_docs: DataFrame, texts: DataFrame, size: int, threshold: floa
     held = each.groupBy("h").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("crosses"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h"))
     prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return each.join(held, "h").withColumn("_place", order).filter((F.col("_place") <= prefix) & F.col("crosses")).select("doc_id").distinct()
+    able = materialise(each.join(held, "h").withColumn("_place", order).filter((F.col("_place") <= prefix) & F.col("crosses")).select("doc_id").distinct(), "able")
+    discard(each)
+    return able
 
 
 #: Documents of a block in which open links are looked for.
@@ -262,7 +264,9 @@ def near_duplicate_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
         nonlocal links, tried
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         pairs_new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        found = materialise(_confirmed(materialise(_alike(pairs_new, sigs, percent / 100, bands * rows), "alike"), texts, size, percent), "links")
+        alike = materialise(_alike(pairs_new, sigs, percent / 100, bands * rows), "alike")
+        found = materialise(_confirmed(alike, texts, size, percent), "links")
+        discard(alike)
         tried = pairs if tried is None else tried.unionByName(pairs_new)
         links = found if links is None else links.unionByName(found)
         return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -276,7 +280,7 @@ def near_duplicate_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
         if turn < 3:
             components = verify(open_.filter(F.col("component") != F.col("leader.component")).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")))
             continue
-        able = materialise(_can_link(open_.select("doc_id", "component").distinct(), texts, size, percent / 100), "able")
+        able = _can_link(open_.select("doc_id", "component").distinct(), texts, size, percent / 100)
         rest = materialise(open_.select("key", "doc_id", "component").join(able, "doc_id", "left_semi"), "open")
         found = materialise(_open_links(rest, texts, size, percent, bands * rows), "links")
         components = connected_components(links.unionByName(found).select(F.col("a").alias("u"), F.col("b").alias("v")))

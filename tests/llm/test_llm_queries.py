@@ -525,6 +525,22 @@ def test_near_duplicates_awkward(awkward, nothing, spark):
     assert neardup.near_duplicates(null).filter("kept").count() == 2
 
 
+def test_scratch_goes_early(spark, tmp_path, monkeypatch):
+    """A written table leaves no shuffle files behind, rounds of components no earlier round."""
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    counts = common.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not shuffles() - before and counts.count() == 7
+    common.discard(counts)
+    monkeypatch.setattr(common, "shared_dir", lambda _: tmp_path.as_uri())
+    path = connected_components(spark.range(1, 40).selectExpr("id - 1 AS u", "id AS v"))
+    assert {r.component for r in path.collect()} == {0}
+    assert len(list((tmp_path / "marketloom").iterdir())) == 1
+
+
 def test_near_duplicates_of_texts_under_one_id(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(5, a), (5, b), (3, b), (7, a + " more"), (5, a), (9, None), (9, b + " more"), (9, "")]
