@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import TwoGenerations, scratch_path, small_batches, worker_cache
 
 #: Bytes of distinct pieces and their ids kept in each Python worker, twice; characters of the texts encoded together.
-CACHED_BYTES, BLOCK_CHARS = 40_000_000, 2_000_000
+CACHED_BYTES, BLOCK_CHARS = 60_000_000, 8_000_000
 
 
 #: White space beside white space or at an end: there a cut could change pieces that keep their space.
@@ -83,9 +83,12 @@ class PieceEncoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
         find, learn, rest = self.cache.get, self.cache.offer, []
-        out = list(map(find, pieces))
+        out = list(map(self.cache.young.get, pieces))
         for i in [i for i, x in enumerate(out) if x is None]:
             p = pieces[i]
+            out[i] = find(p)
+            if out[i] is not None:
+                continue
             tail = self.marks.get(p[-1:], b"")
             core = p[:-1] if tail else p
             # A mark joins what stands before it unless that is a letter, also in lower case: a dotted capital I ends in a mark there.
@@ -109,14 +112,11 @@ class PieceEncoder:
         lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\0")
         coded = lists.flatten().dictionary_encode()
         known = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        flat, begin = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(size) - size
-        piece = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[piece]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin[piece] - ends[:-1], n) + np.arange(ends[-1])]
-        places = ends[lists.offsets.to_numpy()]
-        return [ids[places[i] : places[i + 1]] if c is not None else np.frombuffer(self._plain(t), dtype="<u4") for i, (t, c) in enumerate(zip(texts, cut))]
+        ids = pa.array(known, pa.large_binary()).take(coded.indices)
+        _, ends, flat = ids.buffers()
+        places = (np.frombuffer(ends, dtype=np.int64, count=len(ids) + 1, offset=8 * ids.offset)[lists.offsets.to_numpy()] // 4).tolist()
+        flat = np.frombuffer(flat or b"", dtype="<u4", count=places[-1])
+        return [flat[places[i] : places[i + 1]] if c is not None else np.frombuffer(self._plain(t), dtype="<u4") for i, (t, c) in enumerate(zip(texts, cut))]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """For each text its ids as unsigned 32-bit integers, block by block."""
@@ -260,14 +260,14 @@ def rest(path: str, keep_space: bool) -> None:
     pa.default_memory_pool().release_unused()
 
 
-def blocks(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+def blocks(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
     """Batches in slices of a few rows, so that what is made of them stays small."""
     for pdf in batches:
         for at in range(0, len(pdf), rows):
             yield pdf.iloc[at : at + rows]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Arrow batches a few rows at a time; nothing is copied."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

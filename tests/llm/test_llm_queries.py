@@ -144,6 +144,16 @@ def test_ids_do_not_depend_on_what_came_before(name, keep):
     assert [(t, a) for t, a, b in zip(texts, got, want) if a != b] == []
 
 
+def test_kept_pieces_are_found_without_a_call(monkeypatch):
+    """Pieces of the cache's young half come in one pass; only the others are asked for one by one."""
+    own = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = ["river stone, river cloud.", "", "stone cloud; river\nlamp"]
+    first = [x.tolist() for _ in range(3) for x in own.encode(texts)][-3:]
+    asked = []
+    monkeypatch.setattr(own.cache, "get", lambda key: asked.append(key))
+    assert [x.tolist() for x in own.encode(texts)] == first and not asked
+
+
 def test_piece_cache_holds_few_bytes():
     cache = common.TwoGenerations(10_000)
     for i in range(1000):
