@@ -39,6 +39,12 @@ def test_line_stage(stages):
     assert dict(zip(got.doc_id, got.text)) == want and (got.n_chars == got.text.str.len()).all()
 
 
+def test_line_stage_calls_python_once(spark):
+    """The filter on what was cleaned is not pushed below it, where it would clean each text again in a second worker."""
+    plan = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_near_dedup_stage(stages):
     parts = brute_components(list(zip(stages["line dedup"].doc_id, stages["line dedup"].text)), 5, 80)
     assert set(stages["MinHash near-dedup"].doc_id) == {d for d, (_, root) in parts.items() if d == root}
