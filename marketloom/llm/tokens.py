@@ -24,6 +24,8 @@ CACHED_BYTES, BLOCK_CHARS = 60_000_000, 8_000_000
 #: White space beside white space or at an end: there a cut could change pieces that keep their space.
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD_SPACE = rf"{_SPACES}{_SPACES}|^{_SPACES}|{_SPACES}$"
+#: A mark between a letter and a single space or line end.
+_MARK = r"(\p{L})([.,])[ \n]"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,7 +40,9 @@ class PieceEncoder:
 
     Texts are cut at single spaces and line ends between two visible characters, where the pre-tokenizers of both files always
     end a piece, so the ids of a text are those of its pieces. With keep_space (byte-level files) a piece keeps the space
-    before it, and a text with white space beside white space is encoded whole, as is any text that holds a special token. The
+    before it, and a text with white space beside white space is encoded whole, as is any text that holds a special token.
+    Without it the file lower-cases: a text of Latin-1 characters, where that is letter by letter, is lower-cased first and also
+    cut before a . or , that ends a word, since there a run of letters ends, so that forms of one word are one piece. The
     pieces of a block of texts are numbered by Arrow's dictionary encoding, so Python sees each distinct one once. A new piece
     of letters, with one . or , after them perhaps, goes straight to the tokenizer's model; any other goes through the whole
     tokenizer.
@@ -64,10 +68,26 @@ class PieceEncoder:
         """Each text with \\0 between its pieces; None where it has to be encoded whole."""
         whole = ["\0" in t or any(s in t for s in self.special) for t in texts]
         if not self.keep_space:
+            texts = self._plain_forms(texts, whole)
             return [None if w else t.replace("\n", "\0").replace(" ", "\0") for t, w in zip(texts, whole)]
         odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD_SPACE).to_pylist()
         return [None if w or o else t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t, w, o in zip(texts, whole, odd)]
 
+    def _plain_forms(self, texts: list[str], whole: list[bool]) -> list[str]:
+        """Latin-1 texts lower-cased and with \\0 on both sides of marks that end a word; other texts, and those that are encoded whole, as they are."""
+        out, at = list(texts), []
+        for i, (t, w) in enumerate(zip(texts, whole)):
+            if w or not (t.isascii() or max(t) <= "\xff"):
+                continue
+            t = t.lower()
+            if not any(s in t for s in self.special):  # in capitals it is no special token
+                out[i] = t
+                at.append(i)
+        marked = pc.replace_substring_regex(pa.array([out[i] for i in at], pa.large_string()), _MARK, "\\1\0\\2\0")
+        for i, t in zip(at, marked.to_pylist()):
+            out[i] = t
+        return out
+
     def _word(self, core: str) -> bytes | None:
         """Ids of letters that need no normalising but lower case, perhaps after a space; None for anything else."""
         letters = core[1:] if core[:1] == " " else core
@@ -84,11 +104,13 @@ class PieceEncoder:
         """Ids of distinct pieces."""
         find, learn, rest = self.cache.get, self.cache.offer, []
         out = list(map(self.cache.young.get, pieces))
+        has_old = bool(self.cache.old)
         for i in [i for i, x in enumerate(out) if x is None]:
             p = pieces[i]
-            out[i] = find(p)
-            if out[i] is not None:
-                continue
+            if has_old:
+                out[i] = find(p)
+                if out[i] is not None:
+                    continue
             tail = self.marks.get(p[-1:], b"")
             core = p[:-1] if tail else p
             # A mark joins what stands before it unless that is a letter, also in lower case: a dotted capital I ends in a mark there.

@@ -154,6 +154,17 @@ def test_kept_pieces_are_found_without_a_call(monkeypatch):
     assert [x.tolist() for x in own.encode(texts)] == first and not asked
 
 
+def test_forms_of_a_word_are_one_piece(monkeypatch):
+    """Capitals and marks do not make a word new, in texts where lower case is letter by letter."""
+    own = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = ["River, river. RIVER\nriver, \u00c9t\u00e9. \u00e9t\u00e9", "<|ENDOFTEXT|> a. b, c", "a). b.. c,. d. , e.", "\u0130. \u0130, \u03a3. J\u030c, H\u0331. x"]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    asked, ids = [], own._ids
+    monkeypatch.setattr(own, "_ids", lambda pieces: asked.append(pieces) or ids(pieces))
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert [x.tolist() for x in own.encode(texts[:1])] == want[:1] and sorted(asked[1]) == [",", ".", "river", "\u00e9t\u00e9"]
+
+
 def test_piece_cache_holds_few_bytes():
     cache = common.TwoGenerations(10_000)
     for i in range(1000):
