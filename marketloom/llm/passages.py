@@ -402,22 +402,27 @@ _SPANS = "doc_id long, start long, end long, source long"
 
 
 def _common_enough(rows: DataFrame) -> DataFrame:
-    """The anchors with ENOUGH positions around them whose shingles lie around another anchor of the key too; no other finds a partner."""
+    """The anchors with ENOUGH positions around them whose shingles lie around another anchor of the key too; no other finds a partner.
+
+    A shingle that one anchor of a key has alone is a group of one row, which names its anchor, so the shingles are grouped once
+    and joined with nothing.
+    """
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
                 some = pdf.iloc[at : at + 1024]
                 sets = [np.frombuffer(x, dtype=np.uint32) for x in some["ctx"]]
-                n = [len(x) for x in sets]
-                yield pd.DataFrame({"key": np.repeat(some["key"].to_numpy(), n), "doc_id": np.repeat(some["doc_id"].to_numpy(), n),
-                                    "p": np.repeat(some["p"].to_numpy(), n), "s": np.concatenate(sets).astype(np.int64)})
-
-    each = rows.select("key", "doc_id", "p", "ctx").mapInPandas(shingles, "key long, doc_id long, p long, s long").groupBy("key", "s", "doc_id", "p").agg(F.count("*").alias("n"))
-    each = materialise(each, "anchor_shingles")
-    often = materialise(each.groupBy("key", "s").agg(F.count("*").alias("holders")).filter("holders > 1").select("key", "s"), "common_shingles")
-    enough = each.join(often, ["key", "s"], "left_semi").groupBy("key", "doc_id", "p").agg(F.sum("n").alias("n")).filter(F.col("n") >= ENOUGH)
-    return rows.join(enough.select("key", "doc_id", "p"), ["key", "doc_id", "p"], "left_semi")
+                row = np.repeat(np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
+                code, n = np.unique(row << 32 | np.concatenate(sets).astype(np.int64), return_counts=True)
+                row = code >> 32
+                yield pd.DataFrame({c: some[c].to_numpy()[row] for c in ("key", "doc_id", "p")} | {"s": code & 0xFFFFFFFF, "n": n})
+
+    each = rows.select("key", "doc_id", "p", "ctx").mapInPandas(shingles, "key long, doc_id long, p long, s long, n long")
+    alone = each.groupBy("key", "s").agg(F.count("*").alias("holders"), *(F.min(c).alias(c) for c in ("doc_id", "p", "n"))).filter("holders = 1")
+    lone = alone.groupBy("key", "doc_id", "p").agg(F.sum("n").alias("lone"))
+    held = F.length("ctx") / 4 - F.coalesce("lone", F.lit(0))
+    return rows.join(lone, ["key", "doc_id", "p"], "left").filter(held >= ENOUGH).select(rows.columns)
 
 
 def _by_anchors(texts: DataFrame, spans: DataFrame) -> DataFrame:

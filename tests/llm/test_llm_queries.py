@@ -446,6 +446,18 @@ def test_passages_reach_every_holder(spark):
     assert all(set(range(14, 74)) <= held[300 + f] and not held[200 + f] for f in range(6))
 
 
+def test_hot_anchors_are_pruned_without_a_join_of_shingles(spark):
+    r = np.random.default_rng(6)
+    rows = [(int(key), d, int(p), r.choice([5, 40, 400, 1 << 31, 1 << 32][key], 91).astype(np.uint32)) for key in range(5) for d in range(12) for p in r.choice(900, 1 + d % 2, replace=False)]
+    rows = [(key, d, p, (ctx if ctx.max() < 400 else ctx + np.uint32(d % 3))[: 91 - 7 * d]) for key, d, p, ctx in rows] + [(9, 1, 3, np.arange(91, dtype=np.uint32)), (9, 2, 5, np.arange(58, 150, dtype=np.uint32)[:91]), (9, 3, 5, np.arange(200, 291, dtype=np.uint32))]
+    holders = Counter((key, s) for key, _, _, ctx in rows for s in set(ctx.tolist()))
+    want = {(key, d, p) for key, d, p, ctx in rows if sum(holders[key, s] > 1 for s in ctx.tolist()) >= passages.ENOUGH}
+    df = spark.createDataFrame([(key, d, p, d > 0, ctx.tobytes()) for key, d, p, ctx in rows], "key long, doc_id long, p long, open boolean, ctx binary")
+    out = passages._common_enough(df)
+    assert out.columns == df.columns and {(x.key, x.doc_id, x.p) for x in out.collect()} == want and 0 < len(want) < len(rows) and (9, 1, 3) in want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # of one row an anchor
+
+
 def test_compact_windows_cover_each_subsequence_once():
     r = np.random.default_rng(0)
     for h in (r.integers(0, 1000, 60), r.integers(0, 3, 60), np.zeros(60, dtype=int)):
