@@ -209,7 +209,8 @@ def _open_links(open_: DataFrame, texts: DataFrame, size: int, percent: int, k:
     threshold = percent / 100
     least = threshold - 4 * sqrt(threshold * (1 - threshold) / k)
     first = open_.groupBy("key").agg(F.min("doc_id").alias("u"))
-    clusters = connected_components(open_.join(first, "key").select("u", F.col("doc_id").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    named = connected_components(open_.join(first, "key").select("u", F.col("doc_id").alias("v")))
+    clusters = named.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / _BLOCK_DOCS).cast("int").alias("blocks"))
     rows = clusters.join(blocks, "cluster").join(open_.select("doc_id", "component").distinct(), "doc_id").join(texts, "doc_id")
 
@@ -238,7 +239,11 @@ def _open_links(open_: DataFrame, texts: DataFrame, size: int, percent: int, k:
                     out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.select("doc_id", "component", "cluster", "block", "lo", "hi", "set").groupBy("cluster", "lo", "hi").applyInPandas(compare, "a long, b long")
+    found = dealt.select("doc_id", "component", "cluster", "block", "lo", "hi", "set").groupBy("cluster", "lo", "hi").applyInPandas(compare, "a long, b long")
+    found = materialise(found, "links")
+    for spent in (named, sets):
+        discard(spent)
+    return found
 
 
 def near_duplicate_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -251,48 +256,70 @@ def near_duplicate_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     # A set is known by a number of its own, doc_id below, since a doc_id may come with several texts.
     reps = sets.join(heads, ["s1", "s2", "doc_id", TEXT_KEY], "left_semi").dropDuplicates(["s1", "s2"])
     reps = materialise(reps.withColumnRenamed("doc_id", "head").withColumn("doc_id", F.monotonically_increasing_id()), "representatives")
+    # Only representatives need signatures and keys from here on.
+    full, base = base, materialise(base.select("doc_id", TEXT_KEY, "n_shingles", "s1", "s2"), "sets")
+    discard(full)
+    sets = base.filter("n_shingles > 0")
     sigs = reps.select("doc_id", "sig", "n_shingles")
     own = docs.select(F.col("doc_id").alias("head"), F.xxhash64("text").alias(TEXT_KEY), "text").join(reps.select("head", TEXT_KEY, "doc_id"), ["head", TEXT_KEY])
-    texts = own.select("doc_id", "text").dropDuplicates(["doc_id"])
+    # Written, so that whole texts are not shuffled again for each round that confirms.
+    texts = materialise(own.select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
     members = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = materialise(members.join(shared, "key"), "buckets")
 
-    links = tried = None
+    links = tried = components = None
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nonlocal links, tried
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        pairs_new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        alike = materialise(_alike(pairs_new, sigs, percent / 100, bands * rows), "alike")
+    def joined(found: DataFrame) -> None:
+        """Components with the links found; without a new one they stay."""
+        nonlocal links, components
+        if components is not None and not found.take(1):
+            return discard(found)
+        links = found if links is None else links.unionByName(found)
+        old, components = components, connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if old is not None:
+            discard(old)
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal tried
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        alike = materialise(_alike(pairs, sigs, percent / 100, bands * rows), "alike")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialise(_confirmed(alike, texts, size, percent), "links")
         discard(alike)
-        tried = pairs if tried is None else tried.unionByName(pairs_new)
-        links = found if links is None else links.unionByName(found)
-        return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        joined(found)
 
-    components = verify(members.filter("a < doc_id").select("a", F.col("doc_id").alias("b")))
+    verify(members.filter("a < doc_id").select("a", F.col("doc_id").alias("b")))
     for turn in (1, 2, 3):
         named = members.select("key", "doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                          F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("leader")).filter("lo < hi")
         open_ = named.join(mixed.select("key", "leader"), "key")
         if turn < 3:
-            components = verify(open_.filter(F.col("component") != F.col("leader.component")).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")))
+            verify(open_.filter(F.col("component") != F.col("leader.component")).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")))
             continue
+        open_ = materialise(open_.select("key", "doc_id", "component"), "open")
         able = _can_link(open_.select("doc_id", "component").distinct(), texts, size, percent / 100)
-        rest = materialise(open_.select("key", "doc_id", "component").join(able, "doc_id", "left_semi"), "open")
-        found = materialise(_open_links(rest, texts, size, percent, bands * rows), "links")
-        components = connected_components(links.unionByName(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rest = materialise(open_.join(able, "doc_id", "left_semi"), "open")
+        for spent in (open_, able, tried, members):
+            discard(spent)
+        joined(_open_links(rest, texts, size, percent, bands * rows))
+        discard(rest)
 
     part_of = reps.select("s1", "s2", "head", "doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     least = part_of.groupBy("component").agg(F.min("head").alias("component_id"))
     named = materialise(part_of.select("s1", "s2", "component").join(least, "component").select("s1", "s2", "component_id"), "named_sets")
     shown = ["doc_id", TEXT_KEY, "n_shingles", "component_id"]
+    for spent in (links, components, texts, reps):
+        discard(spent)
     out = sets.select("doc_id", TEXT_KEY, "n_shingles", "s1", "s2").join(named, ["s1", "s2"]).select(shown)
     alone = base.filter("n_shingles = 0").select("doc_id", TEXT_KEY, "n_shingles", F.col("doc_id").alias("component_id"))
+    out = materialise(out.unionByName(alone), "near_duplicates")
+    for spent in (base, named):
+        discard(spent)
     nulls = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias(TEXT_KEY), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(alone).unionByName(nulls).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.unionByName(nulls).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

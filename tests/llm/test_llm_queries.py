@@ -574,6 +574,27 @@ def test_scratch_goes_early(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "marketloom").iterdir())) == 1
 
 
+def test_near_duplicates_leaves_its_result_alone(spark, documents, tmp_path, monkeypatch):
+    """Sketches, texts, buckets, pairs and links go before the result is read; nothing of them is read again."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: tmp_path.as_uri())
+    got = neardup.near_duplicates(spark.createDataFrame(documents[["doc_id", "text"]].head(60), "doc_id long, text string"))
+    assert [p.name.partition("-")[0] for p in (tmp_path / "marketloom").iterdir()] == ["near_duplicates"]
+    assert got.count() == 60
+
+
+def test_components_by_few_exchanges(spark, monkeypatch):
+    """A round of the stars deals rows out four times; a task for each of many partitions costs log and files each time."""
+    from marketloom.llm import components
+
+    plans = []
+    monkeypatch.setattr(components, "materialise", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), common.materialise(df, name))[1])
+    edges = [(i, j) for i in range(30) for j in (i + 1, 2 * i + 3, 0)] * 2
+    named = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.component for r in named.collect()} == {0} and sorted(r.node for r in named.collect()) == sorted({x for e in edges for x in e})
+    stars = [p for n, p in plans if n == "stars"]
+    assert sum(p.count("Exchange") for p in stars[2:4]) <= 4
+
+
 def test_near_duplicates_of_texts_under_one_id(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(5, a), (5, b), (3, b), (7, a + " more"), (5, a), (9, None), (9, b + " more"), (9, "")]
