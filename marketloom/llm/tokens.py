@@ -26,6 +26,8 @@ _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _ODD_SPACE = rf"{_SPACES}{_SPACES}|^{_SPACES}|{_SPACES}$"
 #: A mark between a letter and a single space or line end.
 _MARK = r"(\p{L})([.,])[ \n]"
+#: The same behind Latin letters, which are letters in every version of Unicode's tables, with what follows.
+_LATIN_MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,])([ \n])"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,7 +42,8 @@ class PieceEncoder:
 
     Texts are cut at single spaces and line ends between two visible characters, where the pre-tokenizers of both files always
     end a piece, so the ids of a text are those of its pieces. With keep_space (byte-level files) a piece keeps the space
-    before it, and a text with white space beside white space is encoded whole, as is any text that holds a special token.
+    before it, and a . or , between a Latin letter and such a space is a piece of its own, since there a run of letters ends; a text
+    with white space beside white space is encoded whole, as is any text that holds a special token.
     Without it the file lower-cases: a text of Latin-1 characters, where that is letter by letter, is lower-cased first and also
     cut before a . or , that ends a word, since there a run of letters ends, so that forms of one word are one piece. The
     pieces of a block of texts are numbered by Arrow's dictionary encoding, so Python sees each distinct one once. A new piece
@@ -70,7 +73,9 @@ class PieceEncoder:
         if not self.keep_space:
             texts = self._plain_forms(texts, whole)
             return [None if w else t.replace("\n", "\0").replace(" ", "\0") for t, w in zip(texts, whole)]
-        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD_SPACE).to_pylist()
+        texts = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_pylist()
+        texts = pc.replace_substring_regex(texts, _LATIN_MARK, "\\1\0\\2\\3").to_pylist()
         return [None if w or o else t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t, w, o in zip(texts, whole, odd)]
 
     def _plain_forms(self, texts: list[str], whole: list[bool]) -> list[str]:

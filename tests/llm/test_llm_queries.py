@@ -165,6 +165,16 @@ def test_forms_of_a_word_are_one_piece(monkeypatch):
     assert [x.tolist() for x in own.encode(texts[:1])] == want[:1] and sorted(asked[1]) == [",", ".", "river", "\u00e9t\u00e9"]
 
 
+def test_marks_are_pieces_of_their_own_where_spaces_are_kept(monkeypatch):
+    own = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    texts = ["a river, a river. a river\n\u00c9t\u00e9.\n\u00c9t\u00e9, x", "a.b c,. d. , e.", "\u4e2d. \u00d7. \u02b0. \u0130. 3. x'. A\u0301. y"]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    asked, ids = [], own._ids
+    monkeypatch.setattr(own, "_ids", lambda pieces: asked.append(pieces) or ids(pieces))
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert [x.tolist() for x in own.encode(texts[:1])] == want[:1] and sorted(asked[1]) == sorted(["a", " river", ",", " a", ".", "\n", "\u00c9t\u00e9", " x"])
+
+
 def test_piece_cache_holds_few_bytes():
     cache = common.TwoGenerations(10_000)
     for i in range(1000):
