@@ -60,17 +60,22 @@ def word_hashes(text: str | None) -> np.ndarray:
         end = min(at + _BLOCK, len(raw))
         while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
             end += 1
-        part = np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at)
-        letters, gaps, powers, inverse = _tables(len(part) + 1)
-        inside = np.concatenate([[False], ~gaps[part], [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edges[::2], edges[1::2]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(letters[part] * powers[: len(part)], dtype=np.uint64)])
-        out.append(_mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _ODD[1]))
+        out.append(hashes_of_bytes(raw[at:end])[0])
         at = end
     return np.concatenate(out)
 
 
+def hashes_of_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some bytes, and where they start."""
+    part = np.frombuffer(raw, dtype=np.uint8)
+    letters, gaps, powers, inverse = _tables(len(part) + 1)
+    inside = np.concatenate([[False], ~gaps[part], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(letters[part] * powers[: len(part)], dtype=np.uint64)])
+    return _mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _ODD[1]), first
+
+
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """64-bit hashes of all shingles of `size` words in order; the whole sequence as one where it has fewer words.
 

@@ -7,12 +7,12 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import materialise, small_batches
+from marketloom.llm.common import discard, materialise, small_batches
 from marketloom.llm.lines import TEXT_KEY
-from marketloom.llm.neardup import _ODD, _mixed, shingle_hashes
+from marketloom.llm.neardup import _ODD, _mixed, hashes_of_bytes, shingle_hashes
 
 #: Words of the shortest passage, words of a shingle, hash functions, how many must agree, similarity in percent.
 MIN_WORDS, SHINGLE, HASHES, AGREE, PERCENT = 50, 5, 4, 2, 80
@@ -20,20 +20,55 @@ MIN_WORDS, SHINGLE, HASHES, AGREE, PERCENT = 50, 5, 4, 2, 80
 RUN, REACH = 20, 5
 #: Least of the positions around an anchor of a passage whose shingle lies around its partner too: see _may_hold.
 ENOUGH = 33
-#: Anchors of a block that is compared with others of its key.
-_BLOCK_ANCHORS = 256
+#: Anchors of a block that is compared with others of its key; shingles of two blocks that are compared at once.
+_BLOCK_ANCHORS, _BLOCK_COLUMNS = 512, 4096
+#: Bytes of the texts that are hashed together.
+_TOGETHER = 1 << 17
+
+
+def shingles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes of each text in one array, and how many each has; texts of under SHINGLE words have none.
+
+    Short texts are hashed together: most of the time of hashing them one by one goes into the calls.
+    """
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    out, n, at = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], 0
+    while at < len(raws):
+        if len(raws[at]) >= _TOGETHER:
+            h = shingle_hashes(texts[at], SHINGLE)
+            if len(h) == 1 and len(hashes_of_bytes(raws[at])[1]) < SHINGLE:
+                h = h[:0]
+            out.append(h)
+            n.append(np.array([len(h)]))
+            at += 1
+            continue
+        end, size = at, 0
+        while end < len(raws) and size + len(raws[end]) < _TOGETHER:
+            size += len(raws[end]) + 1
+            end += 1
+        end = max(end, at + 1)
+        words, first = hashes_of_bytes(b"\n".join(raws[at:end]))
+        ends = np.cumsum([len(x) + 1 for x in raws[at:end]])
+        per = np.diff(np.searchsorted(first, ends), prepend=0)
+        at = end
+        n.append(np.maximum(per - SHINGLE + 1, 0))
+        if len(words) < SHINGLE:
+            continue
+        m = len(words) - SHINGLE + 1
+        h = np.full(m, SHINGLE, dtype=np.uint64)
+        for i in range(SHINGLE):
+            h = _mixed(h * _ODD[i % 5] + words[i : m + i])
+        text = np.repeat(np.arange(len(per)), per)
+        out.append(h[text[:m] == text[SHINGLE - 1 :]])
+    return np.concatenate(out), np.concatenate(n)
 
 
 class _Block:
     """The shingles of some texts in one array, with the place of each text in it."""
 
     def __init__(self, doc_ids: list, texts: list):
-        self.h, n = [], []
-        for t in texts:
-            self.h.append(shingle_hashes(t, SHINGLE))
-            n.append(len(self.h[-1]))
-        self.h = np.concatenate([np.empty(0, dtype=np.uint64), *self.h])
-        self.doc_id, self.n = np.array(doc_ids, dtype=np.int64), np.array(n, dtype=np.int64)
+        self.h, self.n = shingles_of(texts)
+        self.doc_id = np.array(doc_ids, dtype=np.int64)
         self.end = np.cumsum(self.n)
         self.begin = self.end - self.n
 
@@ -42,34 +77,35 @@ class _Block:
 
         margin: positions at both ends of a text that are left out. Ties go to a position drawn by its number.
         """
+        per = np.maximum(self.n - 2 * margin - width + 1, 0)
+        if not per.any():
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         bits = np.uint64(max(1, len(v).bit_length()))
         low = (np.uint64(1) << bits) - np.uint64(1)
         odd, back = np.uint64(0x9E3779B1), np.uint64(pow(0x9E3779B1, -1, 1 << 64))
-        best = (_mixed(v) & ~low) | ((np.arange(len(v), dtype=np.uint64) * odd) & low)
+        best = (v & ~low) | ((np.arange(len(v), dtype=np.uint64) * odd) & low)
         step = 1
         while step * 2 <= width:
             best, step = np.minimum(best[:-step], best[step:]), step * 2
         if step < width:
             best = np.minimum(best[: len(best) - (width - step)], best[width - step :])
-        per = np.maximum(self.n - 2 * margin - width + 1, 0)
-        text = np.repeat(np.arange(len(per)), per)
-        first = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.begin + margin, per)
-        at = ((best[first] & low) * back & low).astype(np.int64)
-        new = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
-        return at[new], text[new]
-
-    def keys(self, f: int, width: int) -> np.ndarray:
-        """Keys of the compact windows of hash function f."""
-        v = _mixed(self.h * _ODD[f] + np.uint64(f + 1))
-        return v[self.centres(v, width)[0]].view(np.int64)
+        # Places of windows inside one text; a place counts where its least value is new, as it is at the first place of a text.
+        edge = np.zeros(len(best) + 1, dtype=np.int8)
+        first = (self.begin + margin)[per > 0]
+        edge[first] += 1
+        edge[first + per[per > 0]] -= 1
+        new = np.concatenate([[True], best[1:] != best[:-1]])
+        new[first] = True
+        at = np.flatnonzero(new & (np.cumsum(edge[:-1], dtype=np.int8) > 0))
+        return ((best[at] & low) * back & low).astype(np.int64), np.searchsorted(self.end, at, side="right")
 
     def windows(self, f: int, width: int) -> tuple[np.ndarray, ...]:
         """Key, text, left, centre, right (in the text) of the compact windows of hash function f."""
         v = _mixed(self.h * _ODD[f] + np.uint64(f + 1))
         at, text = self.centres(v, width)
-        left, right = _extents(_mixed(v[at]).tolist(), at.tolist(), self.begin[text].tolist(), self.end[text].tolist())
-        begin = self.begin[text]
-        return v[at].view(np.int64), text, left - begin, at - begin, right - begin
+        begin, value = self.begin[text], v[at]
+        left, right = _extents(value.tolist(), at.tolist(), begin.tolist(), self.end[text].tolist())
+        return value.view(np.int64), text, left - begin, at - begin, right - begin
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Key, text and position of the anchors: the least shingle of every RUN - 2 * REACH in a row, keyed with REACH on each side.
@@ -113,23 +149,21 @@ def compact_windows(h: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return list(zip(left.tolist(), at.tolist(), right.tolist()))
 
 
-class _Texts:
-    """The shingles of the texts met last, for pairs that lie together."""
-
-    def __init__(self, limit: int = 64):
-        self.limit, self.held = limit, {}
+def _with_shingles(pdf: pd.DataFrame, chars: int = 400_000) -> Iterator[tuple]:
+    """(row, shingles of ta, shingles of tb) of pairs of texts; a text that several pairs near each other have is hashed once."""
+    at, size = 0, (pdf["ta"].str.len() + pdf["tb"].str.len()).to_numpy()
+    cut = np.cumsum(size) // chars
+    while at < len(pdf):
+        end = int(np.searchsorted(cut, cut[at], side="right"))
+        some, at = pdf.iloc[at:end], end
+        texts = dict(zip(some["a"], some["ta"])) | dict(zip(some["b"], some["tb"]))
+        h, n = shingles_of(list(texts.values()))
+        held = dict(zip(texts, np.split(h, np.cumsum(n)[:-1])))
+        for row in some.itertuples(index=False):
+            yield row, held[row.a], held[row.b]
 
-    def __call__(self, doc_id: int, text: str) -> np.ndarray:
-        h = self.held.pop(doc_id, None)
-        if h is None:
-            h = shingle_hashes(text, SHINGLE)
-            if len(self.held) >= self.limit:
-                del self.held[next(iter(self.held))]
-        self.held[doc_id] = h
-        return h
 
-
-def _blocks(batches: Iterator[pd.DataFrame], chars: int = 2_000_000) -> Iterator[_Block]:
+def _blocks(batches: Iterator[pd.DataFrame], chars: int = 500_000) -> Iterator[_Block]:
     """Some texts at a time."""
     ids, texts, held = [], [], 0
     for pdf in batches:
@@ -182,22 +216,28 @@ def _proposals(key: np.ndarray, side: np.ndarray, ids: np.ndarray, at: np.ndarra
     number[common] = np.arange(len(common))
     column, place = number[codes], np.zeros(len(sets), dtype=np.int64)
     place[mine], place[theirs] = np.arange(len(mine)), np.arange(len(theirs))
-    own = of_mine & (column >= 0)
-    times = np.bincount(place[row[own]] * len(common) + column[own], minlength=len(mine) * len(common)).reshape(len(mine), -1).astype(np.float32)
-    held = np.zeros((len(theirs), len(common)), dtype=np.float32)
-    own = ~of_mine & (column >= 0)
-    held[place[row[own]], column[own]] = 1
-    shared = times @ held.T
-    shared[(shared < ENOUGH) | (ids[theirs][None, :] >= ids[mine][:, None])] = 0
-    i, j = np.nonzero(shared)
-    if not len(i):
-        return []
-    width, places, has = int(size[mine].max()), np.full((len(mine), int(size[mine].max())), -1), held > 0
-    line, n = place[row[of_mine]], size[mine]
+    width, n = int(size[mine].max()), size[mine]
+    line = place[row[of_mine]]
     offset = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+    places = np.full((len(mine), width), -1)
     places[line, offset] = column[of_mine]
     new, first = np.zeros(places.shape, dtype=bool), np.unique(line * len(values) + codes[of_mine], return_index=True)[1]
     new[line[first], offset[first]] = True
+    own = ~of_mine & (column >= 0)
+    has = np.zeros((len(theirs), len(common)), dtype=bool)
+    has[place[row[own]], column[own]] = True
+    shared, distinct = (np.zeros((len(mine), len(theirs)), dtype=np.float32) for _ in range(2))
+    for k in range(0, len(common), _BLOCK_COLUMNS):
+        m = min(_BLOCK_COLUMNS, len(common) - k)
+        own = of_mine & (column >= k) & (column < k + m)
+        times = np.bincount(place[row[own]] * m + column[own] - k, minlength=len(mine) * m).reshape(len(mine), m)
+        held = has[:, k : k + m].astype(np.float32).T
+        shared += times.astype(np.float32) @ held
+        distinct += (times > 0).astype(np.float32) @ held
+    shared[(shared < ENOUGH) | (distinct < _least(new, n)[:, None]) | (ids[theirs][None, :] >= ids[mine][:, None])] = 0
+    i, j = np.nonzero(shared)
+    if not len(i):
+        return []
     for k in range(0, len(i), 4096):
         x, y = i[k : k + 4096], j[k : k + 4096]
         both = has[y[:, None], np.maximum(places[x], 0)] & (places[x] >= 0)
@@ -214,6 +254,17 @@ def _proposals(key: np.ndarray, side: np.ndarray, ids: np.ndarray, at: np.ndarra
     return out
 
 
+def _least(new: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Least number of different shared shingles of each row with which _may_hold can say yes: that of the easiest part, without breaks."""
+    width = MIN_WORDS - SHINGLE + 1
+    if new.shape[1] < width:
+        return np.zeros(len(new))
+    sums = np.concatenate([np.zeros((len(new), 1), dtype=np.int64), np.cumsum(new, axis=1)], axis=1)
+    d = sums[:, width:] - sums[:, :-width]
+    inside = np.arange(d.shape[1])[None, :] + width <= size[:, None]
+    return np.where(inside, np.maximum(PERCENT * d - 300 * d // width, 0) / 100, np.inf).min(axis=1)
+
+
 def _may_hold(shared: np.ndarray, new: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For rows of shared positions (the first size of each count): whether a part of a passage may lie there.
 
@@ -324,11 +375,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     documents of their own, in order of their hash. A null doc_id has no spans. Repeats inside one document are not looked for.
     Other columns are not looked at.
     """
-    from marketloom.llm.common import words_of
-
     @F.pandas_udf("long")
     def n_words(text: pd.Series) -> pd.Series:
-        return pd.Series([len(words_of(None if t is None or t != t else t)) for t in text], dtype="int64")
+        # bytes.split() cuts at the six separators only.
+        return pd.Series([0 if t is None or t != t else len(t.encode("utf-8", "surrogatepass").split()) for t in text], dtype="int64")
 
     small_batches(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64("text").alias(TEXT_KEY), "text")
@@ -338,25 +388,23 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     heads = materialise(heads.repartitionByRange("head", TEXT_KEY, "t2").sortWithinPartitions("head", TEXT_KEY, "t2").withColumn("node", F.monotonically_increasing_id()), "heads")
     copies = materialise(hashed.join(heads, [TEXT_KEY, "t2"]).select("doc_id", TEXT_KEY, "head", "node").distinct(), "copies")
     first = copies.filter("doc_id = head").select("doc_id", TEXT_KEY, "node")
-    texts = own.join(first, ["doc_id", TEXT_KEY]).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    texts = materialise(texts, "texts")
+    texts = own.filter("doc_id is not null and text is not null").dropDuplicates(["doc_id", TEXT_KEY])
+    texts = materialise(texts.join(first, ["doc_id", TEXT_KEY]).select(F.col("node").alias("doc_id"), "text"), "texts")
 
     width = MIN_WORDS - SHINGLE + 1
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _blocks(batches):
-            yield pd.DataFrame({"key": np.concatenate([block.keys(f, width) for f in range(HASHES)])})
-
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches):
             for f in range(HASHES):
                 key, text, left, centre, right = block.windows(f, width)
                 after = block.h[np.minimum(block.begin[text] + centre + SHINGLE, block.end[text] - 1)].view(np.int64)
-                yield pd.DataFrame({"key": key, "ctx": after, "f": np.int32(f), "doc_id": block.doc_id[text], "l": left, "c": centre, "r": right})
+                yield pd.DataFrame({"key": key, "ctx": after, "f": np.int32(f), "doc_id": block.doc_id[text], "l": left.astype(np.int32), "c": centre.astype(np.int32), "r": right.astype(np.int32)})
 
-    # Written, so that the join below may split the rows of a key that very many windows have.
-    repeated = materialise(texts.mapInPandas(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated_keys")
-    live = materialise(texts.mapInPandas(windows, "key long, ctx long, f int, doc_id long, l long, c long, r long").join(repeated, "key"), "windows")
+    # Written: they are made once and read twice, and the join may split the rows of a key that very many windows have.
+    every = materialise(texts.mapInPandas(windows, "key long, ctx long, f int, doc_id long, l int, c int, r int"), "all_windows")
+    repeated = materialise(_in_two_documents(every).select("key"), "repeated_keys")
+    live = materialise(every.join(repeated, "key"), "windows")
+    discard(every)
 
     def links(*by: str) -> DataFrame:
         first = live.groupBy(*by).agg(F.min(F.struct("doc_id", "l", "c", "r")).alias("a"), F.max("doc_id").alias("z")).filter("a.doc_id < z").drop("z")
@@ -364,20 +412,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return live.join(first, list(by)).filter("doc_id > a.doc_id").select(F.col("a.doc_id").alias("a"), F.col("doc_id").alias("b"), F.struct("f", "a.l", "a.c", "a.r", F.col("l").alias("bl"), F.col("c").alias("bc"), F.col("r").alias("br")).alias("m"))
 
     pairs = links("key").unionByName(links("key", "ctx")).groupBy("a", "b").agg(F.collect_set("m").alias("m"))
-    pairs = materialise(pairs.filter(F.size(F.array_distinct(F.transform("m", lambda x: x["f"]))) >= AGREE), "passage_pairs")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "m", "ta", "tb"))
+    pairs = pairs.filter(F.size(F.array_distinct(F.transform("m", lambda x: x["f"]))) >= AGREE)
+    pairs = materialise(pairs.withColumn("m", _flat("m", *_MATCH)), "passage_pairs")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = _Texts()
         for pdf in batches:
             rows = []
-            for a, b, m, ta, tb in zip(pdf["a"], pdf["b"], pdf["m"], pdf["ta"], pdf["tb"]):
-                matches = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in m]
-                for lo, hi in _matched_spans(shingles(a, ta), shingles(b, tb), matches):
-                    rows.append((b, lo, hi + SHINGLE - 1, a))
+            for x, a, b in _with_shingles(pdf):
+                rows += [(x.b, lo, hi + SHINGLE - 1, x.a) for lo, hi in _matched_spans(a, b, x.m.reshape(-1, len(_MATCH)).tolist())]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "source"])
 
+    both = _with_texts(pairs, texts)
     spans = materialise(both.mapInPandas(verify, _SPANS), "spans")
     spans = _by_anchors(texts, spans)
     sources = spans.join(heads.select(F.col("node").alias("source"), F.col("head").alias("of")), "source")
@@ -399,13 +444,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 _SPANS = "doc_id long, start long, end long, source long"
+_MATCH = ("f", "l", "c", "r", "bl", "bc", "br")
+
+
+def _in_two_documents(rows: DataFrame) -> DataFrame:
+    """The keys that more than one document has, and the first of these."""
+    return rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("z")).filter("least < z").drop("z")
+
+
+def _flat(structs: str | Column, *fields: str) -> Column:
+    """An array of structs as one array of numbers, which reaches Python as a numpy array."""
+    return F.flatten(F.transform(structs, lambda x: F.array(*(x[f].cast("long") for f in fields))))
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, m of pairs, and the texts of a and b."""
+    return (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "m", "ta", "tb"))
 
 
 def _common_enough(rows: DataFrame) -> DataFrame:
     """The anchors with ENOUGH positions around them whose shingles lie around another anchor of the key too; no other finds a partner.
 
     A shingle that one anchor of a key has alone is a group of one row, which names its anchor, so the shingles are grouped once
-    and joined with nothing.
+    and joined with nothing. Not part of repeated_passages any more: each shingle around each anchor is a row here.
     """
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -431,19 +493,19 @@ def _by_anchors(texts: DataFrame, spans: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches):
             key, text, at = block.anchors()
-            yield pd.DataFrame({"key": key, "doc_id": block.doc_id[text], "p": at})
+            yield pd.DataFrame({"key": key, "doc_id": block.doc_id[text], "p": at.astype(np.int32)})
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         far = MIN_WORDS - SHINGLE
         for pdf in batches:
             for at in range(0, len(pdf), 256):
-                rows: dict = {}
-                for d, t, each in zip(*(pdf[c].iloc[at : at + 256] for c in ("doc_id", "text", "each"))):
-                    h = shingle_hashes(t, SHINGLE).astype(np.uint32)
-                    for x in each:
-                        key, p, is_open = (x[c] for c in ("key", "p", "open"))
+                some, rows = pdf.iloc[at : at + 256], {}
+                h, n = shingles_of(some["text"].tolist())
+                h, end = h.astype(np.uint32), np.cumsum(n)
+                for d, each, lo, hi in zip(some["doc_id"], some["each"], (end - n).tolist(), end.tolist()):
+                    for key, p, is_open in each.reshape(-1, 3).tolist():
                         # Anchors of a document that look alike all around need one row.
-                        rows.setdefault((key, d, h[max(0, p - far) : p + far + 1].tobytes(), is_open), p)
+                        rows.setdefault((key, d, h[max(lo, lo + p - far) : min(hi, lo + p + far + 1)].tobytes(), bool(is_open)), p)
                 yield pd.DataFrame([(key, d, p, is_open, ctx) for (key, d, ctx, is_open), p in rows.items()], columns=["key", "doc_id", "p", "open", "ctx"])
 
     def explained(rows: DataFrame, by: DataFrame) -> DataFrame:
@@ -456,34 +518,30 @@ def _by_anchors(texts: DataFrame, spans: DataFrame) -> DataFrame:
         """Only the keys that still have open anchors."""
         return rows.join(rows.filter("open").select("key").distinct(), "key", "left_semi")
 
-    places = texts.mapInPandas(keys, "key long, doc_id long, p long")
-    repeated = materialise(places.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("z")).filter("least < z").drop("z"), "repeated_anchors")
+    places = materialise(texts.mapInPandas(keys, "key long, doc_id long, p int"), "all_anchors")
+    repeated = materialise(_in_two_documents(places), "repeated_anchors")
     live = places.join(repeated, "key").withColumn("open", F.col("doc_id") > F.col("least")).drop("least")
     live = materialise(explained(live, spans), "anchors")
-    each = with_open(live).groupBy("doc_id").agg(F.collect_list(F.struct("key", "p", "open")).alias("each")).join(texts, "doc_id")
+    discard(places)
+    each = with_open(live).groupBy("doc_id").agg(F.collect_list(F.struct("key", "p", F.col("open").cast("int").alias("open"))).alias("each"))
+    each = each.withColumn("each", _flat("each", "key", "p", "open")).join(texts, "doc_id")
     rest = materialise(each.select("doc_id", "text", "each").mapInPandas(contexts, "key long, doc_id long, p long, open boolean, ctx binary"), "contexts")
     # Of holders that look alike all around an anchor, the first stands for all.
     first = rest.groupBy("key", F.xxhash64("ctx").alias("like")).agg(F.min("doc_id").alias("doc_id"))
     marked = rest.withColumn("like", F.xxhash64("ctx"))
     rest = marked.filter("open").unionByName(marked.filter("NOT open").join(first, ["key", "like", "doc_id"], "left_semi")).drop("like")
-    sizes = materialise(rest.groupBy("key").agg(F.count("*").alias("n")), "anchor_sizes")
-    hot = sizes.filter(F.col("n") > _BLOCK_ANCHORS).select("key")
-    if hot.take(1):
-        rest = rest.join(hot, "key", "left_anti").unionByName(_common_enough(materialise(rest.join(hot, "key", "left_semi"), "hot_contexts")))
     rest = materialise(with_open(rest), "contexts")
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = _Texts()
         for pdf in batches:
             rows = []
-            for a, b, m, ta, tb in zip(pdf["a"], pdf["b"], pdf["m"], pdf["ta"], pdf["tb"]):
-                found = _around(shingles(a, ta), shingles(b, tb), sorted((x["pa"], x["pb"]) for x in m))
-                rows += [(b, lo, hi + SHINGLE - 1, a) for lo, hi in found]
+            for x, a, b in _with_shingles(pdf):
+                rows += [(x.b, lo, hi + SHINGLE - 1, x.a) for lo, hi in _around(a, b, sorted(map(tuple, x.m.reshape(-1, 2).tolist())))]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "source"])
 
     group = ["key", "mine", "theirs"]
     for turn in count():
-        low, high = (0 if not turn else 4 ** turn), 4 ** (turn + 1)  # holders that an open anchor proposes in a block
+        low, high = (0 if not turn else 4 * 16 ** (turn - 1)), 4 * 16**turn  # holders that an open anchor proposes in a block
         if not rest.filter("open").take(1):
             break
         n_blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / _BLOCK_ANCHORS).cast("int")
@@ -511,9 +569,11 @@ def _by_anchors(texts: DataFrame, spans: DataFrame) -> DataFrame:
         columns = [*group, "side", "doc_id", "p", "ctx"]
         near = as_open.select(columns).unionByName(as_held.select(columns)).repartition(*group).sortWithinPartitions(*group)
         proposed = materialise(near.mapInPandas(propose, "key long, a long, b long, pa long, pb long"), "proposals")
-        pairs = proposed.filter("a is not null").groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("m"))
-        both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-                .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "m", "ta", "tb"))
+        pairs = proposed.filter("a is not null").groupBy("a", "b").agg(_flat(F.collect_set(F.struct("pa", "pb")), "pa", "pb").alias("m"))
+        both = _with_texts(pairs, texts)
+        if turn:  # few documents are left
+            of = materialise(proposed.filter("a is not null").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "of_proposals")
+            both = _with_texts(pairs, texts.join(of, "doc_id", "left_semi"))
         found = materialise(both.mapInPandas(around, _SPANS), "spans")
         spans = spans.unionByName(found)
         more = proposed.filter("a is null").select("key", F.col("b").alias("doc_id"), F.col("pb").alias("p"), F.lit(True).alias("more")).distinct()

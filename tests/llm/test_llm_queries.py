@@ -468,6 +468,42 @@ def test_hot_anchors_are_pruned_without_a_join_of_shingles(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # of one row an anchor
 
 
+def test_hot_anchors_make_no_rows_of_shingles(spark, monkeypatch):
+    monkeypatch.setattr(passages, "_common_enough", None)
+    r = np.random.default_rng(14)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 90000, n)]
+    line, passage = word(28), word(60)
+    passage[16:44] = line
+    near = passage.copy()
+    near[50] = "other"
+    docs = {d: word(30) + line + word(30) for d in range(1, 601)}
+    docs |= {700: word(20) + passage + word(9), 701: word(40) + near, 704: word(9) + ["again"] * 80, 705: ["again"] * 60}
+    got = passages.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert {d: [tuple(x) for x in got.spans[d]] for d in docs if len(got.spans[d])} == {701: [(40, 100)], 705: [(0, 60)]}
+    assert list(got.sources[701]) == [700] and list(got.sources[705]) == [704]
+
+
+def test_shingles_of_many_texts_at_once():
+    r = np.random.default_rng(15)
+    texts = [(" " * int(r.integers(1, 3))).join(r.choice(["a", "B", "\u00e9t\u00e9", "\u3000x", "b\nc", "\t"], int(n))) for n in [0, 1, 4, 5, 6, 900, 3, 40000, 2, 7]] + ["", "\n", "x" * 200_000, "end of it all now"]
+    h, n = passages.shingles_of(texts)
+    want = [passages.shingle_hashes(t, passages.SHINGLE) if len(t.encode().split()) >= passages.SHINGLE else np.empty(0, dtype=np.uint64) for t in texts]
+    assert n.tolist() == [len(x) for x in want] and (h == np.concatenate(want)).all()
+    assert [len(x) for x in passages.shingles_of([])] == [0, 0]
+
+
+def test_least_is_a_bound_of_may_hold():
+    r = np.random.default_rng(16)
+    n, width = 4000, 91
+    new = r.random((n, width)) < r.choice([0.1, 0.6, 1], (n, 1))
+    shared = np.repeat(r.random((n, 13)) < r.choice([0.3, 0.7, 0.9], (n, 1)), 7, axis=1)
+    size = r.integers(30, width + 1, n)
+    inside = np.arange(width)[None, :] < size[:, None]
+    new, shared = new & inside, shared & inside
+    holds, least = passages._may_hold(shared, new, size), passages._least(new, size)
+    assert 100 < holds.sum() < n - 100 and ((shared & new).sum(axis=1) >= least)[holds].all() and ((shared & new).sum(axis=1) < least).sum() > 100
+
+
 def test_compact_windows_cover_each_subsequence_once():
     r = np.random.default_rng(0)
     for h in (r.integers(0, 1000, 60), r.integers(0, 3, 60), np.zeros(60, dtype=int)):
