@@ -24,6 +24,8 @@ CACHED_BYTES, BLOCK_CHARS = 60_000_000, 8_000_000
 #: White space beside white space or at an end: there a cut could change pieces that keep their space.
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD_SPACE = rf"{_SPACES}{_SPACES}|^{_SPACES}|{_SPACES}$"
+#: Marks of which a run behind a letter, at the end of a piece, is a piece of the pre-tokenizers of both files.
+MARKS = ".,!?;:#$%&*+-/<=>@^_|~()[]{}\""
 #: A mark between a letter and a single space or line end.
 _MARK = r"(\p{L})([.,])[ \n]"
 #: The same behind Latin letters, which are letters in every version of Unicode's tables, with what follows.
@@ -47,7 +49,7 @@ class PieceEncoder:
     Without it the file lower-cases: a text of Latin-1 characters, where that is letter by letter, is lower-cased first and also
     cut before a . or , that ends a word, since there a run of letters ends, so that forms of one word are one piece. The
     pieces of a block of texts are numbered by Arrow's dictionary encoding, so Python sees each distinct one once. A new piece
-    of letters, with one . or , after them perhaps, goes straight to the tokenizer's model; any other goes through the whole
+    of letters, with a run of MARKS after them perhaps, goes straight to the tokenizer's model; any other goes through the whole
     tokenizer.
     """
 
@@ -62,7 +64,7 @@ class PieceEncoder:
         self.cache = TwoGenerations(CACHED_BYTES)
         self.bytes = _byte_letters()
         self.space = self.bytes[32]
-        self.marks = {m: self._plain(m) for m in ".,"}
+        self.marks = {"": b""}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -93,52 +95,79 @@ class PieceEncoder:
             out[i] = t
         return out
 
-    def _word(self, core: str) -> bytes | None:
-        """Ids of letters that need no normalising but lower case, perhaps after a space; None for anything else."""
+    def _tail(self, run: str) -> bytes:
+        """Ids of a run of marks behind a letter."""
+        ids = self.marks.get(run)
+        if ids is None:
+            ids = self._plain(run)
+            if len(run) <= 4 and len(self.marks) < 10_000:
+                self.marks[run] = ids
+        return ids
+
+    def _raw(self, core: str) -> str | None:
+        """What the model gets for letters that need no normalising but lower case, perhaps after a space; None for anything else."""
         letters = core[1:] if core[:1] == " " else core
         if not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0250"):
             return None
         raw = core if self.keep_space else core.lower()
         if not self.keep_space and not raw.isalpha():  # a dotted capital I becomes a letter and a mark
             return None
-        raw = raw.replace(" ", self.space) if raw.isascii() else raw.encode().decode("latin-1").translate(self.bytes)
-        ids = [t.id for t in self.model.tokenize(raw)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return raw.replace(" ", self.space) if raw.isascii() else raw.encode().decode("latin-1").translate(self.bytes)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
-        find, learn, rest = self.cache.get, self.cache.offer, []
-        out = list(map(self.cache.young.get, pieces))
-        has_old = bool(self.cache.old)
-        for i in [i for i, x in enumerate(out) if x is None]:
+        cache, out = self.cache, list(map(self.cache.young.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if cache.old:
+            old = list(map(cache.old.get, [pieces[i] for i in missing]))
+            for i, x in zip(missing, old):
+                if x is not None:
+                    out[i] = x
+                    cache.put(pieces[i], x)
+            missing = [i for i, x in zip(missing, old) if x is None]
+        rest, learnt, tails, flat, ends = [], [], {}, [], [0]
+        tokenize, space, keep_space = self.model.tokenize, self.space, self.keep_space
+        for i in missing:
             p = pieces[i]
-            if has_old:
-                out[i] = find(p)
-                if out[i] is not None:
+            if keep_space and p.isascii() and p[1:].isalpha() and p[0] == " ":
+                raw = space + p[1:]
+            else:
+                core, tail = p, b""
+                if p[-1:] in MARKS:
+                    core = p.rstrip(MARKS)
+                    tail = self._tail(p[len(core) :])
+                # Marks join what stands before them unless that is a letter, also in lower case: a dotted capital I ends in a mark there.
+                stem = cache.get(core) if tail and core[-1:].isalpha() and (keep_space or core[-1] != "\u0130") else None
+                if stem is not None:
+                    out[i] = stem + tail
+                    cache.offer(p, out[i])
                     continue
-            tail = self.marks.get(p[-1:], b"")
-            core = p[:-1] if tail else p
-            # A mark joins what stands before it unless that is a letter, also in lower case: a dotted capital I ends in a mark there.
-            stem = find(core) if tail and core[-1:].isalpha() and (self.keep_space or core[-1] != "\u0130") else None
-            if stem is None:
-                stem = self._word(core)
-            if stem is None:
-                rest.append(i)
-                continue
-            out[i] = stem + tail
-            learn(p, out[i])
+                raw = self._raw(core)
+                if raw is None:
+                    rest.append(i)
+                    continue
+                if tail:
+                    tails[i] = tail
+            flat += [t.id for t in tokenize(raw)]
+            ends.append(len(flat))
+            learnt.append(i)
+        # The ids of all new words become bytes at once.
+        together = np.array(flat, dtype="<u4").tobytes()
+        for i, lo, hi in zip(learnt, ends, ends[1:]):
+            out[i] = together[4 * lo : 4 * hi] + tails.get(i, b"") if tails else together[4 * lo : 4 * hi]
+        cache.offer_all([pieces[i] for i in learnt], [out[i] for i in learnt])
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
                 out[i] = np.array(e.ids, dtype="<u4").tobytes()
-                learn(pieces[i], out[i])
+                cache.offer(pieces[i], out[i])
         return out
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
         cut = self._cut(texts)
         lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\0")
         coded = lists.flatten().dictionary_encode()
-        known = self._ids(coded.dictionary.to_pylist())
+        known = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids = pa.array(known, pa.large_binary()).take(coded.indices)
         _, ends, flat = ids.buffers()
         places = (np.frombuffer(ends, dtype=np.int64, count=len(ids) + 1, offset=8 * ids.offset)[lists.offsets.to_numpy()] // 4).tolist()

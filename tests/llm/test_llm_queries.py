@@ -175,6 +175,30 @@ def test_marks_are_pieces_of_their_own_where_spaces_are_kept(monkeypatch):
     assert [x.tolist() for x in own.encode(texts[:1])] == want[:1] and sorted(asked[1]) == sorted(["a", " river", ",", " a", ".", "\n", "\u00c9t\u00e9", " x"])
 
 
+@pytest.mark.parametrize("name, keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_runs_of_marks_behind_new_words_need_no_whole_tokenizer(name, keep):
+    r = np.random.default_rng(17)
+    e, fresh = tokens.PieceEncoder(public_tokenizers.path(name), keep), Tokenizer.from_file(public_tokenizers.path(name))
+    letters, marks = list("abcxyzABZ\u00e4\u00f1\u00c9\u0130\u0131\u00df"), [*tokens.MARKS, "'", "1", "\u0301"]
+    word = lambda x, n: "".join(r.choice(x, int(n)))
+    texts = [" ".join(word(letters, r.integers(1, 9)) + word(marks, r.choice([0, 1, 2, 3, 7])) for _ in range(40)) for _ in range(250)]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert ids.tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+    whole = []
+
+    class Counted:
+        def __getattr__(self, key):
+            return getattr(fresh, key)
+
+        def encode_batch_fast(self, pieces, **more):
+            whole.extend(pieces)
+            return fresh.encode_batch_fast(pieces, **more)
+
+    e.tokenizer = Counted()
+    list(e.encode(["Neuwort!! andereswort*** drittes$$$ noch-eins viertes?! ende."]))
+    assert {x.strip() for x in whole} == {"noch-eins"}
+
+
 def test_piece_cache_holds_few_bytes():
     cache = common.TwoGenerations(10_000)
     for i in range(1000):
